@@ -26,6 +26,73 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
 FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY 1) c ON c.x = n.doc_id"""
 
 
+def op9(docs: str = "documents") -> str:
+    from .quality import Risk
+
+    risk = Risk()
+    value = {
+        "symbols": "n_symbols / greatest(word_chars, 1)", "capitals": "n_upper / greatest(word_chars, 1)",
+        "word_length": "word_chars / greatest(n_words, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
+    }
+    tests = ", ".join(f"('{r}', {c}::DOUBLE)" for r, g in risk.grid.items() for c in g)
+    pick = " ".join(f"WHEN '{r}' THEN {r}" for r in risk.grid)
+    limits = ", ".join(f"max(CASE WHEN rule = '{r}' THEN cutoff END) AS c_{r}" for r in risk.grid)
+    hit = " OR ".join(f"coalesce({r} > c_{r}, false)" for r in risk.grid)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM {docs}),
+w AS (
+  SELECT doc_id, lang, t, regexp_extract_all(t, {WORDS}) AS w, row_number() OVER () AS id,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
+g AS (
+  SELECT id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS k FROM g) WHERE k > 1),
+c AS (SELECT id, sum(least(8, coalesce(i - p, 8))) AS n FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM r) GROUP BY 1),
+b AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN c USING (id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in value.items())} FROM b),
+y AS (SELECT m.*, q.quality FROM m JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id) WHERE q.quality IS NOT NULL),
+x AS (SELECT lang, quality, doc_id % 2 = 0 AS even, rule, cutoff, CASE rule {pick} END > cutoff AS hit FROM y, (VALUES {tests}) v(rule, cutoff)),
+s AS (
+  SELECT lang, rule, cutoff, count(*) FILTER (even AND quality <> 1) AS bad, count(*) FILTER (even AND quality = 1) AS good,
+    count(*) FILTER (NOT even AND quality = 1) AS n, count(*) FILTER (even AND quality <> 1 AND hit) AS bad_out,
+    count(*) FILTER (even AND quality = 1 AND hit) AS good_out, count(*) FILTER (NOT even AND quality = 1 AND hit) AS k
+  FROM x GROUP BY ALL),
+z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) AS r, (SELECT count(*) FROM (SELECT DISTINCT lang FROM y)) * {len(risk.grid)} AS m
+  FROM (SELECT *, bad_out / greatest(bad, 1) - good_out / greatest(good, 1) AS gain FROM s)),
+d AS (
+  SELECT lang, {limits} FROM z WHERE r = 1 AND bad_out > 0 AND gain > 0 AND n > 0 AND list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk.alpha}) + (n - i) * ln(1 - {risk.alpha})))) <= {risk.delta} / m
+  GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({hit}) AS kept
+FROM m LEFT JOIN d ON m.lang IS NOT DISTINCT FROM d.lang"""
+
+
+def op10() -> str:
+    hard = r"\### Assistant: </turn> ok"
+    return rf"""
+WITH a AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{hard}' UNION ALL SELECT -7, 1, 'assistant', '{hard}'),
+e AS (
+  SELECT *, length('### ' || role || ': ' || text || '</turn>' || chr(10)) + length(text) - length(replace(text, '\', ''))
+    + (length(text) - length(replace(text, '</turn>', ''))) / 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{{3,}}'), lambda x: length(x) - 2)), 0) AS n
+  FROM a)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars, true AS round_trip
+FROM e GROUP BY 1"""
+
+
 ORACLE: dict[str, str] = {
+    "op9_quality_rules": op9(),
+    "op10_chat_format": op10(),
     "op5_ngram_jaccard_join": op5(),
 }
