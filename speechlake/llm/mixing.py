@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, word_count
 from .sharding import bucket_count, prefix_sums
 
 CHUNK = 1 << 14
@@ -151,3 +151,26 @@ def taken_words(sized: DataFrame, mix: Mix) -> DataFrame:
     sources = targets(sized, mix).alias("s")
     none = sized.where("size = 0").alias("d").join(sources, F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.unionByName(none.select(*columns, F.lit(0).cast("long").alias("taken")))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The mixture as rows of ``docs`` (doc_id, text, source, n_chars and others): one row per document, pass and run of blocks taken.
+
+    A run is a stretch of neighbouring blocks, so a pass that takes all of a document gives its text unchanged; a shorter
+    run gives the words it spans with the space between them. n_chars is the new text's. Documents that aren't taken, empty
+    ones among them, are in no row. Numbers stay those of the documents, once for each pass or run.
+    """
+    numbered = docs.withColumn("_key", F.monotonically_increasing_id())
+    sized = materialize(numbered.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sized")
+    taken = mixture(sized, mix)
+    order = Window.partitionBy("doc_id", "pass").orderBy("word_from")
+    fresh = F.col("word_from") != F.coalesce(F.lag(F.col("word_from") + F.col("words")).over(order), F.lit(-1))
+    runs = taken.withColumn("_new", F.when(fresh, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(order))
+    runs = runs.groupBy("doc_id", "size", "pass", "_run").agg(F.min("word_from").alias("_from"), F.sum("words").alias("_words"))
+    runs = materialize(runs.select(F.col("doc_id").alias("_key"), "_from", "_words", (F.col("_words") == F.col("size")).alias("_all")), "mix-runs")
+    joined = numbered.join(runs, "_key")
+    pieces_ = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(pieces_, (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), "")
+    text = F.when(F.col("_all"), F.col("text")).otherwise(part)
+    out = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -129,6 +129,28 @@ def cutoffs(labelled: DataFrame, risk: Risk) -> DataFrame:
     return chosen.where(binomial_tail(F.col("k"), F.col("n"), risk.alpha) <= risk.delta / F.col("m")).select("stratum", "rule", "cutoff")
 
 
+def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of ``docs`` with the base counts, base_failed and kept_by_rules; see ``judge``."""
+    rules = list(risk.grid)
+    columns = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(kept)]
+    d = measure(docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("lang").alias("stratum"), F.col("text").alias("text")))
+    narrow = materialize(d.select("_doc", "stratum", *rules), "quality-values") if len(kept) > 1 else None
+    d = materialize(d, "quality") if narrow is None else d
+    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    values = (d if narrow is None else narrow).select(F.col("_doc").alias("doc_id"), "stratum", *rules)
+    chosen = cutoffs(values.join(marks, "doc_id"), risk)
+    table = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in rules))
+    out = d.alias("d").join(materialize(table, "cutoffs").alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left")
+    rejected = F.lit(False)
+    for r in rules:
+        rejected = rejected | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
+    back = [F.col(f"in_{k}").alias(c) for k, c in enumerate(kept)]
+    return out.select(*back, *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of documents (doc_id, text, lang).
 
@@ -136,16 +158,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataF
     a stratum of its own; without labels, or with too few, no rule is certified and the base test alone decides. Rows
     with the same doc_id, equal rows and null numbers are judged each by its own text. Empty tables give an empty table.
     """
-    risk = risk or Risk()
-    rules = list(risk.grid)
-    d = materialize(measure(docs.select("doc_id", F.col("lang").alias("stratum"), "text")), "quality")
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = cutoffs(d.select("doc_id", "stratum", *rules).join(marks, "doc_id"), risk)
-    table = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in rules))
-    table = materialize(table, "cutoffs")
-    out = d.alias("d").join(table.alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left")
-    rejected = F.lit(False)
-    for r in rules:
-        rejected = rejected | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*columns, (~F.col("base_failed") & ~rejected).alias("kept"))
+    return verdicts(docs, labels, risk or Risk(), ["doc_id"])
+
+
+def keep(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are scanned once for the rules' values and once
+    for the verdict, and never shuffled.
+    """
+    return verdicts(docs, labels, risk or Risk(), docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))

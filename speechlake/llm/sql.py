@@ -91,7 +91,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY 1"""
 
 
+def op2() -> str:
+    return """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+f AS (SELECT d, n, max(page_id) AS f FROM p WHERE n >= 1000 GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM p LEFT JOIN f USING (d, n)"""
+
+
+def op4(docs: str = "documents") -> str:
+    cut = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {cut}) AS w FROM {docs}),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {AZ}), {cut}) AS w FROM benchmark),
+g AS (
+  SELECT DISTINCT item, array_to_string(w[i:i + 12], ' ') AS g, least(len(w), 13) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT id, i, z.n, array_to_string(w[i:i + z.n - 1], ' ') AS g
+  FROM (SELECT id, w, z.n, unnest(range(1, len(w) - z.n + 2)) AS i FROM w, (SELECT DISTINCT n FROM g) z WHERE len(w) >= z.n) z),
+h AS (SELECT d.id, d.i, d.n, g.item FROM d JOIN g ON d.g = g.g AND d.n = g.n),
+c AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+m AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM w LEFT JOIN c USING (id) LEFT JOIN m USING (id)"""
+
+
 ORACLE: dict[str, str] = {
+    "op2_warc_transactions": op2(),
+    "op4_decontaminate": op4(),
     "op9_quality_rules": op9(),
     "op10_chat_format": op10(),
     "op5_ngram_jaccard_join": op5(),
