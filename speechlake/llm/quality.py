@@ -134,6 +134,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk, kept: list[str]) ->
     rules = list(risk.grid)
     columns = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(kept)]
     d = measure(docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("lang").alias("stratum"), F.col("text").alias("text")))
+    # a filter on a verdict must not be moved below the measures, where each use would compute them anew; Catalyst moves
+    # none below a column that isn't deterministic and is used
+    d = d.withColumn("_row", F.monotonically_increasing_id())
     narrow = materialize(d.select("_doc", "stratum", *rules), "quality-values") if len(kept) > 1 else None
     d = materialize(d, "quality") if narrow is None else d
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -145,7 +148,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk, kept: list[str]) ->
     for r in rules:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
     back = [F.col(f"in_{k}").alias(c) for k, c in enumerate(kept)]
-    return out.select(*back, *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))
+    return out.select(*back, *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "_row")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -158,11 +161,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataF
     a stratum of its own; without labels, or with too few, no rule is certified and the base test alone decides. Rows
     with the same doc_id, equal rows and null numbers are judged each by its own text. Empty tables give an empty table.
     """
-    return verdicts(docs, labels, risk or Risk(), ["doc_id"])
+    return verdicts(docs, labels, risk or Risk(), ["doc_id"]).drop("_row")
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are scanned once for the rules' values and once
     for the verdict, and never shuffled.
     """
-    return verdicts(docs, labels, risk or Risk(), docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return verdicts(docs, labels, risk or Risk(), docs.columns).where("kept AND _row >= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
