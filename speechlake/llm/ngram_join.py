@@ -140,15 +140,16 @@ def _meet(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[first], doc[first], *forest(doc[other], least[other])
 
 
-PACKED = pa.schema([("part", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("blob", pa.binary())])
+PACKED = pa.schema([("part", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+PACKED_DDL = "part long, u long, v long, n long, blob binary"
 #: Rows of the indexing pass. n >= 0: document u has n shingles and the set of document v. n = -1: u and v share a signature.
 MET = "u long, v long, n long"
 
 
-def _rows(part, u, v, n, f=None, blob=None) -> pa.RecordBatch:
+def _rows(part, u, v, n, blob=None) -> pa.RecordBatch:
     k = len(u)
     full = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int64), k))
-    return pa.record_batch([full(part), full(u), full(v), full(n), full(0 if f is None else f), pa.nulls(k, pa.binary()) if blob is None else blob], PACKED)
+    return pa.record_batch([full(part), full(u), full(v), full(n), pa.nulls(k, pa.binary()) if blob is None else blob], PACKED)
 
 
 def _index(parts: int, width: int, doc: str, text: str):
@@ -174,7 +175,7 @@ def _index(parts: int, width: int, doc: str, text: str):
                     pairs = np.stack([sig.view(np.int64), least], 1)[order]
                     full = np.flatnonzero(np.diff(cut))
                     blobs = pa.array([pairs[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()], pa.binary())
-                    yield _rows(full, np.zeros(len(full)), 0, -2, 0, blobs)
+                    yield _rows(full, np.zeros(len(full)), 0, -2, blobs)
             seen.clear(), docs.clear(), sigs.clear(), owners.clear()
 
         held = 0
@@ -204,7 +205,7 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([len(s), mix(s, 11).sum(dtype=U), np.bitwise_xor.reduce(mix(s, 12)), mix(s, 13).sum(dtype=U)], U).tobytes()
 
 
-def _reduce(table: pa.Table) -> pa.Table:
+def _gather(table: pa.Table) -> tuple[np.ndarray, ...]:
     n = table.column("n").to_numpy()
     plain = n > -2
     pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.filter(pa.array(~plain)).column("blob").to_pylist()]
@@ -217,10 +218,33 @@ def _reduce(table: pa.Table) -> pa.Table:
         _, _, x, y = _meet(pairs[:, 0].view(U), pairs[:, 1])
         a, b = np.concatenate([a, x]), np.concatenate([b, y])
     a, b = forest(a, b) if len(a) else (a, b)
-    return pa.table({
-        "u": np.concatenate([u[~near], a]), "v": np.concatenate([v[~near], b]),
-        "n": np.concatenate([n[~near], np.full(len(a), -1)]).astype(np.int64),
-    })
+    return u[~near], v[~near], n[~near], a, b
+
+
+def _reduce(parts: int):
+    """One part's documents, and its edges packed for the part of their node: other parts find most of them again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        u, v, n, a, b = _gather(table)
+        to = (a.view(U) % U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cut))
+        pairs = np.stack([a, b], 1)[order]
+        blobs = pa.array([pairs[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()], pa.binary())
+        return pa.Table.from_batches([_rows(u % parts, u, v, n), _rows(full, np.zeros(len(full)), 0, -2, blobs)])
+
+    return run
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """One part's documents and its distinct edges."""
+    n = table.column("n").to_numpy()
+    plain = n >= 0
+    pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.filter(pa.array(~plain)).column("blob").to_pylist()]
+    u, v = table.column("u").to_numpy()[plain], table.column("v").to_numpy()[plain]
+    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+    return pa.table({"u": np.concatenate([u, pairs[:, 0]]), "v": np.concatenate([v, pairs[:, 1]]), "n": np.concatenate([n[plain], np.full(len(pairs), -1)]).astype(np.int64)})
 
 
 def _sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -301,8 +325,9 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
     real = docs.where("doc IS NOT NULL")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * plan_bytes(docs) // (48 << 20))
-    packed = real.mapInArrow(_index(parts, width, "doc", "text"), "part long, u long, v long, n long, f long, blob binary")
-    met = materialize(packed.groupBy("part").applyInArrow(_reduce, MET), "met")
+    packed = real.mapInArrow(_index(parts, width, "doc", "text"), PACKED_DDL)
+    merged = packed.groupBy("part").applyInArrow(_reduce(parts), PACKED_DDL)
+    met = materialize(merged.groupBy("part").applyInArrow(_distinct, MET), "met")
 
     clusters = connected_components(met.where("n = -1").select("u", "v"))
     shape = met.where("n >= 0 AND u = v").select(F.col("u").alias("node"), "n")
