@@ -339,7 +339,8 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
         ), "nodes",
     )
-    found = real.join(nodes, real["doc"] == nodes["node"]).select("node", "label", "block", "blocks", "text")
+    # the documents in clusters grow with the input: joined by shuffle at any size
+    found = real.join(nodes.hint("merge"), real["doc"] == nodes["node"]).select("node", "label", "block", "blocks", "text")
     sets = found.mapInArrow(_sets(width), "node long, label long, block int, blocks int, blob binary")
     # each document goes to the pairs of its block with every block of the cluster, itself included
     placed = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
