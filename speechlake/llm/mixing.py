@@ -140,7 +140,8 @@ def mixture(sized: DataFrame, mix: Mix, how: str = "inner") -> DataFrame:
     documents of their own. An empty table gives an empty result.
     """
     sources = materialize(targets(sized, mix), "mix-sources")
-    return pieces(sized, sources, mix, sized.count()).join(draw(sources, mix), ["rank", "block"], how)
+    # Catalyst takes the slots for as few as the sources that they are exploded from; they grow with the input, so no broadcast
+    return pieces(sized, sources, mix, sized.count()).join(draw(sources, mix).hint("merge"), ["rank", "block"], how)
 
 
 def taken_words(sized: DataFrame, mix: Mix) -> DataFrame:
