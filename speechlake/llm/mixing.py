@@ -161,17 +161,18 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     run gives the words it spans with the space between them. n_chars is the new text's. Documents that aren't taken, empty
     ones among them, are in no row. Numbers stay those of the documents, once for each pass or run.
     """
-    numbered = docs.withColumn("_key", F.monotonically_increasing_id())
-    sized = materialize(numbered.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sized")
+    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"), F.monotonically_increasing_id().alias("key"))
+    sized = materialize(numbered.select(F.col("key").alias("doc_id"), F.col("in.source").alias("source"), word_count(F.col("in.text")).alias("size")), "sized")
     taken = mixture(sized, mix)
     order = Window.partitionBy("doc_id", "pass").orderBy("word_from")
     fresh = F.col("word_from") != F.coalesce(F.lag(F.col("word_from") + F.col("words")).over(order), F.lit(-1))
-    runs = taken.withColumn("_new", F.when(fresh, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(order))
-    runs = runs.groupBy("doc_id", "size", "pass", "_run").agg(F.min("word_from").alias("_from"), F.sum("words").alias("_words"))
-    runs = materialize(runs.select(F.col("doc_id").alias("_key"), "_from", "_words", (F.col("_words") == F.col("size")).alias("_all")), "mix-runs")
-    joined = numbered.join(runs, "_key")
-    pieces_ = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(pieces_, (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_all"), F.col("text")).otherwise(part)
-    out = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    runs = taken.withColumn("new", F.when(fresh, 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("doc_id", "size", "pass", "run").agg(F.min("word_from").alias("first"), F.sum("words").alias("n"))
+    runs = materialize(runs.select(F.col("doc_id").alias("key"), "first", "n", (F.col("n") == F.col("size")).alias("all")), "mix-runs")
+    joined = numbered.join(runs, "key")
+    tokens = F.regexp_extract_all("in.text", F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(tokens, (F.col("first") + 1).cast("int"), F.col("n").cast("int")), "")
+    text = F.when(F.col("all"), F.col("in.text")).otherwise(part)
+    new = joined.select("in", text.alias("text"))
+    fresh_columns = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return new.select(*(fresh_columns.get(c, F.col(f"in.`{c}`")).alias(c) for c in docs.columns))

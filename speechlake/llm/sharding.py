@@ -53,18 +53,18 @@ def shard_by_bytes(df: DataFrame, key: list[str], size: str, shards: int) -> Dat
     Columns named shard or slot are replaced; columns may have any other names. An empty table stays empty.
     """
     buckets = bucket_count(df.count())
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    keys = [f"key_{i}" for i in range(len(key))]
+    narrow = [*(F.col(f"`{c}`").alias(k) for c, k in zip(key, keys, strict=True)), F.coalesce(F.col(f"`{size}`"), F.lit(0)).alias("amount")]
 
-    def placed(columns: list[str]) -> DataFrame:
-        rows = prefix_sums(df.select(*(F.col(f"`{c}`") for c in columns)), [], key, size, buckets)
-        twice = 2 * F.col("_start") + F.coalesce(F.col(size), F.lit(0))
-        middle = F.call_function("div", twice * shards, 2 * F.greatest(F.col("_total"), F.lit(1)))
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = prefix_sums(rows, [], keys, "amount", buckets)
+        middle = F.call_function("div", (2 * F.col("_start") + F.col("amount")) * shards, 2 * F.greatest(F.col("_total"), F.lit(1)))
         return rows.withColumn("shard", F.least(middle, F.lit(shards - 1)).cast("int"))
 
-    first = placed([*key, size]).groupBy("shard").agg(F.min("_index").alias("_first"))  # as many rows as shards
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    return placed(kept).join(F.broadcast(first), "shard").select(
-        *(F.col(f"`{c}`") for c in kept), "shard", (F.col("_index") - F.col("_first")).alias("slot")
-    )
+    first = placed(df.select(*narrow)).groupBy("shard").agg(F.min("_index").alias("_first"))  # as many rows as shards
+    whole = placed(df.select(*narrow, F.struct(*(F.col(f"`{c}`") for c in kept)).alias("in")))
+    return whole.join(F.broadcast(first), "shard").select("in.*", "shard", (F.col("_index") - F.col("_first")).alias("slot"))
 
 
 def text_size(text: Column) -> Column:
