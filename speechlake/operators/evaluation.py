@@ -90,7 +90,7 @@ def pit(refs: list[str], hyps: list[str], distance) -> tuple[int, list[int]]:
 
 def char_coverage(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """TX-10, SO-03/04: multiset overlap of characters per pair, counted on both sides in one aggregation by (key, character)."""
-    chars = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
+    chars = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
     sides = F.concat(F.transform(chars(ref), lambda x: F.struct(x.alias("c"), F.lit(1).alias("r"), F.lit(0).alias("h"))), F.transform(chars(hyp), lambda x: F.struct(x.alias("c"), F.lit(0).alias("r"), F.lit(1).alias("h"))))
     per = pairs.select(key, F.inline_outer(sides)).groupBy(key, "c").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     out = per.groupBy(key).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("r", "reference_chars"), ("h", "hypothesis_chars"))), F.coalesce(F.sum(F.least("r", "h")), F.lit(0)).alias("matched"))

@@ -9,15 +9,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mean, rms, round6
+from ..functions.scalars import let, mean, rms, round6
 
 
 def normalize_stem(v: Column, target: Column) -> Column:
     """MA-03: without its mean, scaled towards the target loudness but below the peak limit."""
-    c = F.transform(v, lambda x: x - mean(v))
-    peak = F.aggregate(c, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scale = F.least(1.15 * F.greatest(F.lit(0.015), target) / F.greatest(F.lit(1e-12), rms(c)), 0.95 / F.greatest(F.lit(1e-12), peak))
-    return F.transform(c, lambda x: x * scale)
+
+    def scaled(c: Column) -> Column:
+        peak = F.aggregate(c, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+        scale = F.least(1.15 * F.greatest(F.lit(0.015), target) / F.greatest(F.lit(1e-12), rms(c)), 0.95 / F.greatest(F.lit(1e-12), peak))
+        return let(scale, lambda k: F.transform(c, lambda x: x * k))
+
+    return let(let(mean(v), lambda m: F.transform(v, lambda x: x - m)), scaled)
 
 
 def waveform_peaks(samples: DataFrame, key: str, vec: str, buckets: int = 1200) -> DataFrame:

@@ -74,8 +74,8 @@ ranked as (select n.recording_id, n.idx, n.speaker, p.start_s, p.end_s, cast(row
   order by {R("least(abs(p.end_s - w0), abs(p.start_s - w1))")}, {R("p.start_s - p.end_s")}, p.seg_id, p.start_s) as int) as rank from near n join pieces p on n.recording_id = p.recording_id and n.seg_id = p.seg_id)""")
 add("select_range", ["v_seg"], f"select recording_id, speaker, seg_id, {R('start_s')} as start_s, {R('end_s')} as end_s from v_seg where end_s > 3600 and start_s < 7200")
 add("shift_range", ["v_seg"], f"select recording_id, speaker, seg_id, {R('greatest(0e0, start_s - 40000e0)')} as start_s, {R('greatest(0e0, end_s - 40000e0)')} as end_s from v_seg")
-add("decode_window", [], f"""select event_id, {R("at")} as decode_start, {R("s - at + d + c")} as decode_duration, {R("s - at")} as selection_start, {R("s - at + d")} as selection_end from
-(select *, greatest(0e0, s - c) as at from (select event_id, greatest(0e0, value - 50) as s, least(180e0, greatest(10e0, value)) as d, least(3e0, event_id % 5) as c from events))""")
+add("decode_window", [], f"""select event_id, {R("b0")} as decode_start, {R("s - b0 + d + c")} as decode_duration, {R("s - b0")} as selection_start, {R("s - b0 + d")} as selection_end from
+(select *, greatest(0e0, s - c) as b0 from (select event_id, greatest(0e0, value - 50) as s, least(180e0, greatest(10e0, value)) as d, least(3e0, event_id % 5) as c from events))""")
 NORM = "regexp_replace(lower({0}), '[\\s\\p{{P}}\\p{{Z}}]+', '', 'g')"
 norm = NORM.format
 add("clean_utterances", ["v_utt"], f"""select recording_id, turn, speaker, {R("start_s + 0.12e0")} as start_s, {R("end_s - 0.12e0")} as end_s from v_utt a
