@@ -33,7 +33,7 @@ from .shingles import GOLD, U, mix, shingle_sets, slices
 
 SLACK = 1.25  # exact segments for each that is indexed: room to leave the smallest out
 SHARED = 0.35  # chance that one shingle of a short text is boilerplate; weighs small subsets in the cost
-CANDIDATE = 12.0  # cost of one chance meeting, in signatures
+CANDIDATE = 80.0  # cost of one chance meeting, in signatures: both texts are read again and compared
 FLUSH = 3_000_000  # signatures that a map task holds before it packs them
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20  # most documents, and shingles on average, of one block of a cluster
 
