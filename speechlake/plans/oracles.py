@@ -72,8 +72,8 @@ near as (select w.recording_id, w.idx, w.start_s as w0, w.end_s as w1, t.seg_id,
   join act a on a.recording_id = w.recording_id and a.idx = w.idx and a.speaker = t.speaker),
 ranked as (select n.recording_id, n.idx, n.speaker, p.start_s, p.end_s, cast(row_number() over (partition by n.recording_id, n.idx, n.speaker
   order by {R("least(abs(p.end_s - w0), abs(p.start_s - w1))")}, {R("p.start_s - p.end_s")}, p.seg_id, p.start_s) as int) as rank from near n join pieces p on n.recording_id = p.recording_id and n.seg_id = p.seg_id)""")
-add("select_range", ["v_seg"], f"select recording_id, speaker, seg_id, {R('start_s')} as start_s, {R('end_s')} as end_s from v_seg where end_s > 3600 and start_s < 7200")
-add("shift_range", ["v_seg"], f"select recording_id, speaker, seg_id, {R('greatest(0e0, start_s - 40000e0)')} as start_s, {R('greatest(0e0, end_s - 40000e0)')} as end_s from v_seg")
+add("select_range", ["v_seg"], f"select recording_id, speaker, seg_id, kind, {R('start_s')} as start_s, {R('end_s')} as end_s from v_seg where end_s > 3600 and start_s < 7200")
+add("shift_range", ["v_seg"], f"select recording_id, speaker, seg_id, kind, {R('greatest(0e0, start_s - 40000e0)')} as start_s, {R('greatest(0e0, end_s - 40000e0)')} as end_s from v_seg")
 add("decode_window", [], f"""select event_id, {R("b0")} as decode_start, {R("s - b0 + d + c")} as decode_duration, {R("s - b0")} as selection_start, {R("s - b0 + d")} as selection_end from
 (select *, greatest(0e0, s - c) as b0 from (select event_id, greatest(0e0, value - 50) as s, least(180e0, greatest(10e0, value)) as d, least(3e0, event_id % 5) as c from events))""")
 NORM = "regexp_replace(lower({0}), '[\\s\\p{{P}}\\p{{Z}}]+', '', 'g')"
@@ -88,8 +88,8 @@ add("tune_speaker_scores", ["v_seg"], """select a.recording_id, a.speaker as clu
 from v_seg a join v_seg b on a.recording_id = b.recording_id and a.speaker < 2 and b.speaker >= 2 and a.end_s > b.start_s and a.start_s < b.end_s group by 1, 2, 3""")
 add("boundary_iou", ["v_seg"], f"""select v.recording_id, v.seg_id, {R("coalesce(iou, 0e0)")} as iou from v_seg v left join (select a.recording_id, a.seg_id,
   max((least(a.end_s, b.e) - greatest(a.start_s, b.s)) / (greatest(a.end_s, b.e) - least(a.start_s, b.s))) as iou from v_seg a join
-  (select recording_id, start_s + 1.5e0 as s, end_s + 1.5e0 as e from v_seg where seg_id % 3 <> 0) b on a.recording_id = b.recording_id and a.end_s > b.s and a.start_s < b.e group by 1, 2) j using (recording_id, seg_id)""")
-add("islands_union_manual", ["v_seg"], f"select recording_id, {R('start_s')} as start_s, {R('end_s')} as end_s from m", ISL + ",\nboth_ as (select recording_id, start_s, end_s from isl union all select recording_id, start_s, end_s from v_seg where seg_id % 50 = 0),\n" + merged("both_", "m"))
+  (select recording_id, start_s + 1.5e0 as s, end_s + 1.5e0 as e from v_seg) b on a.recording_id = b.recording_id and a.end_s > b.s and a.start_s < b.e group by 1, 2) j using (recording_id, seg_id)""")
+add("islands_union_manual", ["v_seg"], f"select recording_id, {R('start_s')} as start_s, {R('end_s')} as end_s from m", ISL + ",\nboth_ as (select recording_id, start_s, end_s from isl union all select recording_id, start_s, end_s from v_seg where kind = 'error'),\n" + merged("both_", "m"))
 BASE = split("v_seg", "sp", "recording_id, seg_id", 6.0) + ",\nbase as (select *, row_number() over (partition by recording_id order by seg_id, part) - 1 as group_no from sp)"
 add("recognition_items", ["v_seg"], "select recording_id, group_no, seg_id, part, start_s, end_s from base", BASE)
 REP = ISL + ",\n" + BASE + f""",
@@ -122,7 +122,7 @@ add("consensus_vote", ["v_cand"], f"select group_id, ord, text, {R('consensus')}
 add("expansion_needed", ["v_cand"], "select group_id from (select distinct group_id from v_cand) left join won using (group_id) where consensus is null or consensus < 0.55e0 or votes < 2", vote("v_cand", "group_id"))
 add("finalize_groups", ["v_cand"], """select group_id, repair_id, text, true as recovered from ok union all
 select group_id, null, trim(text), false from v_cand where ord = 3 and trim(text) <> '' and group_id not in (select group_id from ok)""", "c2 as (select *, ord % 2 as repair_id from v_cand),\n" + vote("c2", "group_id, repair_id") + """,
-w as (select group_id, repair_id, (group_id + repair_id) % 3 as speaker, consensus, 0.4e0 + (group_id % 7) * 0.2e0 * (repair_id + 0.5e0) as span_s, text from won where group_id % 5 <> 0),
+w as (select group_id, repair_id, (group_id + repair_id) % 3 as speaker, consensus, 0.4e0 + (group_id % 7) * 0.2e0 * (repair_id + 0.5e0) as span_s, text from won),
 cv as (select *, sum(span_s) over (partition by group_id, speaker) as cover from w),
 cm as (select *, max(cover) over (partition by group_id) as most, count(*) over (partition by group_id) as n from cv),
 ok as (select group_id, repair_id, text from cm where consensus >= 0.34e0 and span_s >= 0.45e0 and (n = 1 or cover >= most * 0.45e0))""")
@@ -145,23 +145,23 @@ def asim(a: str, b: str) -> str:
     return f"(case when least(length({a}), length({b})) >= 4 and (contains({a}, {b}) or contains({b}, {a})) then 1e0 else {tsim(a, b)} end)"
 
 
-add("edit_distance", ["v_pair"], f"select doc_id, levenshtein(ref, hyp) as distance, {R('1 - levenshtein(ref, hyp) / greatest(1, length(ref), length(hyp))::double')} as similarity from np", nv("v_pair", "ref", "hyp"))
-add("text_similarity", ["v_pair2"], f"select doc_id, {R(tsim('r1', 'h1'))} as similarity, {R(tsim('r1', 'substr(r1, 3, 40)'))} as contained from np", nv("v_pair2", "r1", "h1"))
-add("anchor_similarity", ["v_pair2"], f"select doc_id, {R(asim('r1', 'h1'))} as anchor, {R(asim('r1', 'substr(r1, 5, 3)'))} as short from np", nv("v_pair2", "r1", "h1"))
+add("edit_distance", ["v_pair"], f"select utt_id, levenshtein(ref, hyp) as distance, {R('1 - levenshtein(ref, hyp) / greatest(1, length(ref), length(hyp))::double')} as similarity from np", nv("v_pair", "ref", "hyp"))
+add("text_similarity", ["v_pair2"], f"select utt_id, {R(tsim('r1', 'h1'))} as similarity, {R(tsim('r1', 'substr(r1, 3, 40)'))} as contained from np", nv("v_pair2", "r1", "h1"))
+add("anchor_similarity", ["v_pair2"], f"select utt_id, {R(asim('r1', 'h1'))} as anchor, {R(asim('r1', 'substr(r1, 5, 3)'))} as short from np", nv("v_pair2", "r1", "h1"))
 COV = nv("v_pair", "ref", "hyp") + """,
-rc as (select doc_id, c, count(*) as r from (select doc_id, unnest(string_split(ref, '')) as c from np) where c <> '' group by 1, 2),
-hc as (select doc_id, c, count(*) as h from (select doc_id, unnest(string_split(hyp, '')) as c from np) where c <> '' group by 1, 2),
-cov as (select np.doc_id, np.source, length(ref) as reference_chars, length(hyp) as hypothesis_chars, coalesce(m, 0) as matched from np
-  left join (select doc_id, cast(sum(least(r, h)) as bigint) as m from rc join hc using (doc_id, c) group by 1) x using (doc_id))"""
+rc as (select utt_id, c, count(*) as r from (select utt_id, unnest(string_split(ref, '')) as c from np) where c <> '' group by 1, 2),
+hc as (select utt_id, c, count(*) as h from (select utt_id, unnest(string_split(hyp, '')) as c from np) where c <> '' group by 1, 2),
+cov as (select np.utt_id, np.source, length(ref) as reference_chars, length(hyp) as hypothesis_chars, coalesce(m, 0) as matched from np
+  left join (select utt_id, cast(sum(least(r, h)) as bigint) as m from rc join hc using (utt_id, c) group by 1) x using (utt_id))"""
 RATES = f"""omissions, additions, {R("p")} as precision, {R("r")} as recall, {R("case when p + r > 0 then 2 * p * r / (p + r) else 0e0 end")} as f1 from
 (select *, reference_chars - matched as omissions, hypothesis_chars - matched as additions, matched / greatest(1, hypothesis_chars)::double as p, matched / greatest(1, reference_chars)::double as r from"""
-add("char_coverage", ["v_pair"], f"select doc_id, reference_chars, hypothesis_chars, matched, {RATES} cov)", COV)
+add("char_coverage", ["v_pair"], f"select utt_id, reference_chars, hypothesis_chars, matched, {RATES} cov)", COV)
 add("char_coverage_micro", ["v_pair"], f"""select source, reference_chars, hypothesis_chars, matched, {RATES} (select source, cast(sum(reference_chars) as bigint) as reference_chars, cast(sum(hypothesis_chars) as bigint) as hypothesis_chars,
   cast(sum(matched) as bigint) as matched from cov group by 1))""", COV)
 N4 = nv("v_pair2", "r1", "r2", "h1", "h2")
-add("pit_cer_2spk", ["v_pair2"], f"""select doc_id, least(s, x) as distance, x < s as swapped, {R("least(s, x) / greatest(1, length(r1) + length(r2))::double")} as cer
+add("pit_cer_2spk", ["v_pair2"], f"""select utt_id, least(s, x) as distance, x < s as swapped, {R("least(s, x) / greatest(1, length(r1) + length(r2))::double")} as cer
 from (select *, levenshtein(r1, h1) + levenshtein(r2, h2) as s, levenshtein(r1, h2) + levenshtein(r2, h1) as x from np)""", N4)
-add("cp_cer_2spk", ["v_pair2"], f"""select doc_id, d as distance, {R("d / greatest(1, length(r1) + length(r2))::double")} as cer from (select *, least(levenshtein(r1 || r2, h1 || h2), levenshtein(r2 || r1, h1 || h2)) as d from np)""", N4)
+add("cp_cer_2spk", ["v_pair2"], f"""select utt_id, d as distance, {R("d / greatest(1, length(r1) + length(r2))::double")} as cer from (select *, least(levenshtein(r1 || r2, h1 || h2), levenshtein(r2 || r1, h1 || h2)) as d from np)""", N4)
 PARSED = r"""ln as (select recording_id, turn, trim(line) as v from v_lines where trim(line) <> ''),
 mt as (select *, regexp_matches(v, '^\[([^\]]+?)\s*-->\s*([^\]]+?)\]\s*(.+)$') as m, regexp_extract(v, '^\[([^\]]+?)\s*-->\s*([^\]]+?)\]\s*(.+)$', 1) as a,
   regexp_extract(v, '^\[([^\]]+?)\s*-->\s*([^\]]+?)\]\s*(.+)$', 2) as b, trim(regexp_extract(v, '^\[([^\]]+?)\s*-->\s*([^\]]+?)\]\s*(.+)$', 3)) as body from ln),
@@ -182,10 +182,10 @@ cs as (select ag.recording_id, {R("ag.o0")} as overlap_start, {R("o1")} as overl
 add("overlap_cases", ["v_utt"], "select * exclude (reason) from cs where reason is null", CASES)
 add("case_skips", ["v_utt"], "select reason, count(*) as n from cs where reason is not null group by 1", CASES)
 add("manifest_validation", ["v_pair2"], f"""select recording_id, case_id, fault from (select recording_id, case_id, unnest([case when trim(recording_id) = '' then 'no-recording-id' end, case when audio is null then 'no-audio' end,
-  case when trim(case_id) = '' then 'no-case-id' end, case when trim(case_id) <> '' and n > 1 then 'duplicate-case-id' end, case when doc_id % 19 = 0 then 'bad-times' end,
-  case when doc_id % 11 = 0 or doc_id % 13 = 0 then 'not-two-speakers' end, case when doc_id % 17 = 0 or {norm("r1")} = '' or {norm("r2")} = '' then 'empty-reference' end]) as fault
-  from (select *, row_number() over (partition by case_id order by recording_id, 0) as n from (select *, case when doc_id % 41 = 0 then '' else source end as recording_id, case when doc_id % 31 = 0 then null else 'a.wav' end as audio,
-    case when doc_id % 29 = 0 then '' else 'c' || (doc_id - case when doc_id % 23 = 0 then 1 else 0 end) end as case_id from v_pair2))) where fault is not null""")
+  case when trim(case_id) = '' then 'no-case-id' end, case when trim(case_id) <> '' and n > 1 then 'duplicate-case-id' end, case when utt_id % 19 = 0 then 'bad-times' end,
+  case when utt_id % 11 = 0 or utt_id % 13 = 0 then 'not-two-speakers' end, case when utt_id % 17 = 0 or {norm("r1")} = '' or {norm("r2")} = '' then 'empty-reference' end]) as fault
+  from (select *, row_number() over (partition by case_id order by recording_id, 0) as n from (select *, case when utt_id % 41 = 0 then '' else source end as recording_id, case when utt_id % 31 = 0 then null else 'a.wav' end as audio,
+    case when utt_id % 29 = 0 then '' else 'c' || (utt_id - case when utt_id % 23 = 0 then 1 else 0 end) end as case_id from v_pair2))) where fault is not null""")
 REPORT = f"""count(*) as cases, cast(sum(reference_chars) as bigint) as reference_chars, {R("sum(mixture_distance) / greatest(1, sum(reference_chars))::double")} as mixture_cer,
   {R("sum(separated_distance) / greatest(1, sum(reference_chars))::double")} as separated_cer, {R("(sum(mixture_distance) - sum(separated_distance)) / greatest(1, sum(reference_chars))::double")} as cer_delta,
   count(*) filter (gate_accepted) as gate_accepted, {R("count(*) filter (gate_accepted) / greatest(1, count(*))::double")} as gate_rate, {R("sum(duration_s)")} as audio_s,
@@ -216,12 +216,12 @@ add("export_vtt", ["v_utt"], f"select recording_id, 'WEBVTT' || {NL} || {NL} ||
 BLK = "select recording_id, 'b' || (seg_id % 997) as id, start_s as block_start, end_s as block_end, case when seg_id % 2 = 0 then start_s end as source_start, case when seg_id % 2 = 0 then end_s end as source_end from v_seg where"
 add("correction_upsert", ["v_seg"], f"""select recording_id, id, {", ".join(f"{R(c)} as {c}" for c in ("block_start", "block_end", "source_start", "source_end"))} from (select * from old o where not exists (select 1 from new n where n.recording_id = o.recording_id
   and (n.id = o.id or (coalesce(o.source_end, o.block_end) > coalesce(n.source_start, n.block_start) and coalesce(o.source_start, o.block_start) < coalesce(n.source_end, n.block_end)))) union all select * from new)""",
-    f"old as ({BLK} seg_id % 10 < 3),\nnew as ({BLK} seg_id % 100 = 7)")
+    f"old as ({BLK} kind <> 'error'),\nnew as ({BLK} kind = 'error')")
 add("apply_whole_range", ["v_seg"], f"""select recording_id, {R("start_s")} as start_s, {R("end_s")} as end_s, 't' || seg_id as text, false as locked, null as correction_id, null as correction_ord from v_seg s
-where not exists (select 1 from v_seg b where b.seg_id % 40 = 0 and b.recording_id = s.recording_id and greatest(s.end_s, s.start_s + 0.001e0) > b.start_s and s.start_s < b.end_s)
-union all select recording_id, {R("start_s")}, {R("end_s")}, 'fixed', true, cast(seg_id as varchar), 1 from v_seg where seg_id % 40 = 0""")
+where not exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = s.recording_id and greatest(s.end_s, s.start_s + 0.001e0) > b.start_s and s.start_s < b.end_s)
+union all select recording_id, {R("start_s")}, {R("end_s")}, 'fixed', true, cast(seg_id as varchar), 1 from v_seg where kind = 'error'""")
 add("interpolate_times", ["v_utt"], f"""select recording_id, ord, {R("case when t then s else ga + room * (upto - w) / tot end")} as start_s,
-  {R("case when t then e else greatest(ga + room * (upto - w) / tot + 0.001e0, case when i = n then gb else ga + room * upto / tot end) end")} as end_s from x5""", """x0 as (select recording_id, turn as ord, turn % 3 = 0 and end_s > start_s as t, start_s, end_s, greatest(1, length(regexp_replace(text, '[\\s\\p{Z}]', '', 'g'))) as w,
+  {R("case when t then e else greatest(ga + room * (upto - w) / tot + 0.001e0, case when i = n then gb else ga + room * upto / tot end) end")} as end_s from x5""", """x0 as (select recording_id, turn as ord, speaker = 'user' and end_s > start_s as t, start_s, end_s, greatest(1, length(regexp_replace(text, '[\\s\\p{Z}]', '', 'g'))) as w,
   min(start_s) over p as a, max(end_s) over p as b from v_utt window p as (partition by recording_id)),
 x1 as (select *, case when t then greatest(a, least(greatest(a, b - 0.001e0), start_s)) end as s from x0),
 x2 as (select *, case when t then least(b, greatest(least(b, s + 0.001e0), end_s)) end as e from x1),
@@ -252,7 +252,7 @@ add("reassign_pinned", [], """select vec_id, coalesce(p.label, case when d > 0.7
 (select vec_id, label from (select *, row_number() over (partition by label order by vec_id) as n from vn) where n <= 3) p using (vec_id)""", ASSIGN)
 SURE = lambda d: R(f"greatest(0e0, least(1e0, 1 - {d})) * least(1e0, 0.5e0 + coalesce(s2 - s, 0e0) * 4)")
 add("stem_pair_assign", [], f"""select id, k0 as speaker0, k1 as speaker1, {SURE("d0")} as confidence0, {SURE("d1")} as confidence1 from pr where n = 1 and d0 <= 0.8e0 and d1 <= 0.8e0""", ASSIGN + """,
-pr as (select id, k0, k1, d0, d1, s, row_number() over w as n, lead(s) over w as s2 from (select a.vec_id as id, a.k as k0, b.k as k1, a.d as d0, b.d as d1, round(a.d + b.d, 9) as s from dd a join dd b on a.vec_id % 2 = 0 and b.vec_id = a.vec_id + 1 and a.k <> b.k)
+pr as (select id, k0, k1, d0, d1, s, row_number() over w as n, lead(s) over w as s2 from (select a.vec_id as id, a.k as k0, b.k as k1, a.d as d0, b.d as d1, round(a.d + b.d, 9) as s from dd a join dd b on b.vec_id = a.vec_id + 1 and a.k <> b.k)
   window w as (partition by id order by s, k0, k1, d0, d1))""")
 add("rms_correlation", [], f"""select vec_id, {R("sqrt(list_inner_product(v, v) / greatest(1, len(v)))")} as rms, {R("list_inner_product(v, list_reverse(v)) / greatest(1e-12, sqrt(list_inner_product(v, v) * list_inner_product(v, v)))")} as corr,
   {R("list_sum(v) / len(v)")} as mean from vd""", VEC)
@@ -286,7 +286,7 @@ add("recognition_options", [], f"""select event_id, case ps.p when 0 then 'stand
   {cl("case when event_id % 3 <> 0 then value / 400 else coalesce(ps.threshold, 0.5e0) end", 0.1, 0.9)} as threshold, {cl("value / 300", 0.05, 2.0)} as min_silence, {cl("value / 700", 0.05, 1.0)} as min_speech, {cl("value / 20", 2.0, 30.0)} as max_speech
 from events left join ps on ps.p = event_id % 5""", PST)
 GRID = OPT + ",\n" + PST + f""",
-cur as (select * replace (2 as speakers) from op where job_id % 4 = 1),
+cur as (select * replace (2 as speakers) from op),
 al as (select job_id, -1 as p, 0 as k, {FLD} from cur union all
   select c.job_id, ps.p, k, case k when 0 then 0e0 when 1 then 0.8e0 else c.denoise end, ps.max_speech, ps.min_silence, ps.min_speech, ps.threshold, ps.overlap, 2 from cur c, ps, (values (0), (1), (2)) t(k)),
 dd as (select *, row_number() over (partition by job_id, {FLD} order by p, k) as n from al),

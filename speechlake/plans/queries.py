@@ -144,12 +144,12 @@ def tune_speaker_map(seg):
 
 @query("v_seg")
 def boundary_iou(seg):
-    return I.boundary_iou(seg, I.shift(seg.where("seg_id % 3 != 0"), 1.5), "seg_id")
+    return I.boundary_iou(seg, I.shift(seg, 1.5), "seg_id")
 
 
 @query("v_seg")
 def islands_union_manual(seg):
-    manual = seg.where("seg_id % 50 = 0").select("recording_id", "start_s", "end_s")
+    manual = seg.where("kind = 'error'").select("recording_id", "start_s", "end_s")
     return _times(I.merge(I.detect_overlaps(seg).unionByName(manual)))
 
 
@@ -197,7 +197,7 @@ def finalize_groups(cand):
     won = C.consensus(cand.withColumn("repair_id", F.col("ord") % 2), ["group_id", "repair_id"])
     w = won.select("group_id", "repair_id", ((F.col("group_id") + F.col("repair_id")) % 3).cast("int").alias("speaker"), "consensus", (0.4 + (F.col("group_id") % 7) * 0.2 * (F.col("repair_id") + 0.5)).alias("span_s"), "text")
     base = cand.where("ord = 3").select("group_id", "text")
-    return C.finalize(w.where("group_id % 5 != 0"), base)
+    return C.finalize(w, base)
 
 
 @query("v_gate")
@@ -231,40 +231,40 @@ def _norm(df, *columns):
 
 @query("v_pair")
 def edit_distance(pair):
-    return _norm(pair, "ref", "hyp").select("doc_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"), S.round6(S.edit_similarity(F.col("ref"), F.col("hyp"))).alias("similarity"))
+    return _norm(pair, "ref", "hyp").select("utt_id", F.levenshtein("ref", "hyp").cast("long").alias("distance"), S.round6(S.edit_similarity(F.col("ref"), F.col("hyp"))).alias("similarity"))
 
 
 @query("v_pair2")
 def text_similarity(pair):
     p = _norm(pair, "r1", "h1", "h2")
-    return p.select("doc_id", S.round6(S.text_similarity(F.col("r1"), F.col("h1"))).alias("similarity"), S.round6(S.text_similarity(F.col("r1"), F.substring("r1", 3, 40))).alias("contained"))
+    return p.select("utt_id", S.round6(S.text_similarity(F.col("r1"), F.col("h1"))).alias("similarity"), S.round6(S.text_similarity(F.col("r1"), F.substring("r1", 3, 40))).alias("contained"))
 
 
 @query("v_pair2")
 def anchor_similarity(pair):
     p = _norm(pair, "r1", "h1")
-    return p.select("doc_id", S.round6(S.anchor_similarity(F.col("r1"), F.col("h1"))).alias("anchor"), S.round6(S.anchor_similarity(F.col("r1"), F.substring("r1", 5, 3))).alias("short"))
+    return p.select("utt_id", S.round6(S.anchor_similarity(F.col("r1"), F.col("h1"))).alias("anchor"), S.round6(S.anchor_similarity(F.col("r1"), F.substring("r1", 5, 3))).alias("short"))
 
 
 @query("v_pair")
 def edit_stats(pair):
-    return _norm(pair, "ref", "hyp").select("doc_id", S.edit_stats_udf("ref", "hyp").alias("s")).select("doc_id", "s.*")
+    return _norm(pair, "ref", "hyp").select("utt_id", S.edit_stats_udf("ref", "hyp").alias("s")).select("utt_id", "s.*")
 
 
 @query("v_pair")
 def score_text(pair):
     p = _norm(pair, "ref", "hyp").withColumn("s", S.edit_stats_udf("ref", "hyp"))
-    return p.select("doc_id", *(S.round6(c).alias(n) for n, c in S.score(F.col("s"), F.col("ref"), F.col("hyp")).items()))
+    return p.select("utt_id", *(S.round6(c).alias(n) for n, c in S.score(F.col("s"), F.col("ref"), F.col("hyp")).items()))
 
 
 @query("v_pair")
 def char_coverage(pair):
-    return E.char_coverage(_norm(pair, "ref", "hyp"), "doc_id")
+    return E.char_coverage(_norm(pair, "ref", "hyp"), "utt_id")
 
 
 @query("v_pair")
 def char_coverage_micro(pair):
-    per = E.char_coverage(_norm(pair, "ref", "hyp").withColumn("key", F.struct("doc_id", "source")), "key")
+    per = E.char_coverage(_norm(pair, "ref", "hyp").withColumn("key", F.struct("utt_id", "source")), "key")
     return E.rates(per.groupBy(F.col("key.source").alias("source")).agg(*(F.sum(c).alias(c) for c in ("reference_chars", "hypothesis_chars", "matched"))))
 
 
@@ -273,14 +273,14 @@ def pit_cer_2spk(pair):
     p = _norm(pair, "r1", "r2", "h1", "h2")
     d, swapped = E.pit2(*(F.col(c) for c in ("r1", "r2", "h1", "h2")))
     n = F.length("r1") + F.length("r2")
-    return p.select("doc_id", d.cast("long").alias("distance"), swapped.alias("swapped"), S.round6(d / F.greatest(F.lit(1), n)).alias("cer"))
+    return p.select("utt_id", d.cast("long").alias("distance"), swapped.alias("swapped"), S.round6(d / F.greatest(F.lit(1), n)).alias("cer"))
 
 
 @query("v_pair2")
 def cp_cer_2spk(pair):
     p = _norm(pair, "r1", "r2", "h1", "h2")
     d = E.cp2(F.col("r1"), F.col("r2"), F.concat("h1", "h2"))
-    return p.select("doc_id", d.cast("long").alias("distance"), S.round6(d / F.greatest(F.lit(1), F.length("r1") + F.length("r2"))).alias("cer"))
+    return p.select("utt_id", d.cast("long").alias("distance"), S.round6(d / F.greatest(F.lit(1), F.length("r1") + F.length("r2"))).alias("cer"))
 
 
 # transcripts and evaluation
@@ -313,7 +313,7 @@ def case_skips(utt):
 
 @query("v_pair2")
 def manifest_validation(pair):
-    d = F.col("doc_id")
+    d = F.col("utt_id")
     cases = pair.select(
         F.when(d % 41 == 0, "").otherwise(F.col("source")).alias("recording_id"), F.when(d % 31 == 0, None).otherwise("a.wav").alias("audio"),
         F.when(d % 29 == 0, "").otherwise(F.concat(F.lit("c"), (d - F.when(d % 23 == 0, 1).otherwise(0)).cast("string"))).alias("case_id"), F.lit(0.0).alias("start_s"), F.lit(3.0).alias("end_s"),
@@ -365,20 +365,20 @@ def export_json(utt):
 def correction_upsert(seg):
     block = lambda d: d.select("recording_id", F.concat(F.lit("b"), (F.col("seg_id") % 997).cast("string")).alias("id"), F.col("start_s").alias("block_start"), F.col("end_s").alias("block_end"),
                                F.when(F.col("seg_id") % 2 == 0, F.col("start_s")).alias("source_start"), F.when(F.col("seg_id") % 2 == 0, F.col("end_s")).alias("source_end"))
-    return _r(T.upsert_blocks(block(seg.where("seg_id % 10 < 3")), block(seg.where("seg_id % 100 = 7"))), "block_start", "block_end", "source_start", "source_end")
+    return _r(T.upsert_blocks(block(seg.where("kind != 'error'")), block(seg.where("kind = 'error'"))), "block_start", "block_end", "source_start", "source_end")
 
 
 @query("v_seg")
 def apply_whole_range(seg):
     s = seg.withColumn("text", F.concat(F.lit("t"), F.col("seg_id").cast("string")))
-    b = seg.where("seg_id % 40 = 0").select("recording_id", F.col("seg_id").cast("string").alias("id"), "start_s", "end_s")
+    b = seg.where("kind = 'error'").select("recording_id", F.col("seg_id").cast("string").alias("id"), "start_s", "end_s")
     rows = b.select("recording_id", "id", F.lit(1).alias("ord"), "start_s", "end_s", F.lit("fixed").alias("text"))
     return _times(T.replace_ranges(s, b, rows))
 
 
 @query("v_utt")
 def interpolate_times(utt):
-    untimed = F.col("turn") % 3 != 0
+    untimed = F.col("speaker") != "user"
     rows = utt.select("recording_id", F.col("turn").alias("ord"), *(F.when(~untimed, F.col(c)).alias(c) for c in ("start_s", "end_s")), "text")
     span = utt.groupBy("recording_id").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b"))
     bounded = rows.join(span, "recording_id")
@@ -388,7 +388,7 @@ def interpolate_times(utt):
 @query("v_utt")
 def apply_row_corrections(utt):
     segs = utt.select("recording_id", F.col("turn").alias("seg_id"), "start_s", "end_s", "text")
-    rows = utt.where("turn % 3 = 1").select("recording_id", F.col("turn").alias("ord"), (F.col("start_s") + 0.3).alias("start_s"), (F.col("end_s") + 0.1).alias("end_s"), F.lit("fixed").alias("text"),
+    rows = utt.where("speaker = 'user'").select("recording_id", F.col("turn").alias("ord"), (F.col("start_s") + 0.3).alias("start_s"), (F.col("end_s") + 0.1).alias("end_s"), F.lit("fixed").alias("text"),
                                             F.when(F.col("turn") % 4 == 0, "insert").otherwise("replace").alias("operation"))
     return T.apply_rows(segs, rows)
 
@@ -431,8 +431,8 @@ def reassign_pinned(emb):
 
 @query("embeddings")
 def stem_pair_assign(emb):
-    e = emb.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e0"))
-    o = emb.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("e1"))
+    e = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e0"))
+    o = emb.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("e1"))  # each vector and the next
     return V.stem_pairs(e.join(o, "id"), V.centroids(_refs(emb), "label"), "label", 0.8)
 
 
@@ -500,12 +500,12 @@ def recognition_options(ev):
 
 @query("events")
 def coarse_grid(ev):
-    return U.coarse_grid(_options(ev.where("event_id % 4 = 1")), 2).drop("label")
+    return U.coarse_grid(_options(ev), 2).drop("label")
 
 
 @query("events")
 def refine_grid(ev):
-    o = _options(ev.where("event_id % 4 = 1"))
+    o = _options(ev)
     grid = U.coarse_grid(o, 2)
     best = grid.where(F.col("candidate") == F.col("job_id") % 3 + 1)
     return U.refine_grid(best.select("job_id", *U.FIELDS), grid)
