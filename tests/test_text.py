@@ -29,6 +29,9 @@ def test_edit_stats_properties():
         m, s, d, i, dist = S.edit_stats(a, b)
         assert s + d + i == dist and m + s + d == len(a) and m + s + i == len(b)
     assert S.edit_stats("abcdef", "abc")[2] == 3
+    pairs = [tuple("".join(r.choice("abé") for _ in range(r.randint(0, 12))) for _ in range(2)) for _ in range(300)]
+    assert S.edit_stats_batch(*map(list, zip(*pairs, strict=True))).tolist() == [list(S.edit_stats(a, b)) for a, b in pairs]
+    assert S.edit_stats_batch([""], [""]).tolist() == [[0] * 5]
 
 
 def test_scores_and_clocks(spark):
