@@ -326,3 +326,29 @@ add("stream_sessions", ["v_seg"], f"""select k, cast(session as int) as session,
 add("queue_positions", [], """select queue, job_id, row_number() over (partition by queue order by event_id) as position from (select user_id % 20 as queue, user_id as job_id, event_id,
 row_number() over (partition by user_id order by event_id) as n from events) where n = 1 and event_id % 9 <> 0""")
 add("latest_partials", ["v_seg"], "select recording_id, seg_id, row_number() over (partition by recording_id order by start_s, seg_id) as place from (select *, row_number() over (partition by recording_id order by seg_id desc) as n from v_seg) where n <= 8")
+
+# settings and reference rows
+add("normalized_ranges", [], f"""select event_id, {R("a")} as start_s, {R("case when b > a then b else a + greatest(0.1e0, coalesce(f, 0.1e0)) end")} as end_s from (select *, coalesce(e1, e2, a + greatest(0e0, coalesce(d, f, 0e0))) as b from (
+  select event_id, greatest(0e0, coalesce(case when event_id % 3 = 0 then value end, case when event_id % 2 = 0 then value - 20 end, 0e0)) as a, case when event_id % 5 = 0 then value + 3 end as e1,
+  case when event_id % 7 = 0 then value - 50 end as e2, coalesce(case when event_id % 4 = 0 then value / 2 end, case when event_id % 9 = 0 then value / 3 end) as d, case when event_id % 11 <> 0 then value / 10 end as f from events))""")
+add("reference_rows", ["v_utt"], f"""select recording_id, ord, speaker, text, normalized_text, {R("start_s")} as start_s, {R("end_s")} as end_s, operation from (select recording_id, cast(row_number() over (partition by recording_id order by turn) - 1 as int) as ord,
+  case when speaker = 'system' then 'speaker-1' else speaker end as speaker, trim(text) as text, {norm("text")} as normalized_text, greatest(0e0, start_s) as start_s, greatest(0e0, end_s) as end_s,
+  case when spk = 0 then 'insert' else 'replace' end as operation from v_utt where coalesce(spk <> 1, true)) where normalized_text <> ''""")
+add("close_confirmation", [], """select event_id, unsaved, active, active or (asks and unsaved) as ask from (select event_id, event_id % 3 - 1 > 0 or event_id % 5 - 3 > 0 or event_id % 7 = 0 or floor(value / 400) > 0 as unsaved,
+  (case when event_id % 2 = 0 then 0 else event_id % 11 - 9 end) > 0 or event_id % 13 = 0 as active, case when event_id % 4 <> 0 then event_id % 4 = 1 else true end as asks from events)""")
+add("stem_options", [], f"""select event_id, {R("least(0.5e0, case when coalesce(t, 0) = 0 then 0.5e0 else t end)")} as threshold, {R("least(0.12e0, value / 2000)")} as min_speech, {R("least(0.18e0, case when coalesce(s, 0) = 0 then 0.18e0 else s end)")} as min_silence,
+  {R("least(4e0, value / 60)")} as max_speech from (select *, case when event_id % 4 <> 0 then value / 500 end as t, case when event_id % 3 <> 0 then value / 1500 end as s from events)""")
+add("recognizer_modes", [], f"""select event_id, case when u or (event_id % 7 <> 0 and event_id % 4 = 0) then 'modified_beam_search' else 'greedy_search' end as method, {R("case when u then case when event_id % 6 <> 0 then value / 100 else 2e0 end else 0e0 end")} as hotword_score
+from (select *, event_id % 3 > 0 and (event_id % 5 = 0 or event_id % 2 = 0) as u from events)""")
+add("inferred_ranges", ["v_utt"], f"""select recording_id, turn, {R("case when gap then pb when cr then greatest(pa, s) when pb is not null then pb when s is not null then greatest(0e0, s - 1) else 0e0 end")} as start_s,
+  {R("case when gap then s when cr then least(pb, e) when pb is not null then pb + 1 when s is not null then s else 1e0 end")} as end_s from (select *, {R("s - pb")} >= 0.05e0 as gap, {R("least(pb, e) - greatest(pa, s)")} >= 0.1e0 and s is not null and pb is not null as cr from (
+  select *, lag(s) over (partition by recording_id order by turn) as pa, lag(e) over (partition by recording_id order by turn) as pb from
+  (select recording_id, turn, case when speaker <> 'system' then start_s end as s, case when speaker <> 'system' then end_s end as e from v_utt)))""")
+add("clamped_rows", ["v_utt"], f"""select recording_id, turn, {R("floor(a * 100 + 0.5e0) / 100")} as start_s, {R("floor(greatest(a + 0.05e0, least(20e0, end_s)) * 100 + 0.5e0) / 100")} as end_s from
+(select *, greatest(1e0, least(20e0 - 0.05e0, case when spk is null then 1e0 else start_s end)) as a from v_utt)""")
+add("hypothesis_rows", ["v_seg"], f"""select recording_id, seg_id from v_seg a where speaker = 0 and exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id and b.end_s > a.start_s and b.start_s < a.end_s
+  and ({R("least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)")} >= 0.05e0 or ((a.start_s + a.end_s) / 2 between b.start_s and b.end_s)))
+union all select recording_id, seg_id from v_seg a where speaker = 0 and not exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id)""")
+add("preset_upsert", [], """select user_id, id, name, ord from (select *, row_number() over (partition by user_id order by ord, id) as k from (select *, row_number() over (partition by user_id, lower(name) order by nw desc, ord desc) as j from
+(select *, row_number() over (partition by user_id, id order by nw desc, ord desc) as i from (select user_id, event_id as ord, 'p' || (event_id % 7) as id, 'Name ' || case when event_type = 'signup' then 'a' else 'A' end || (event_id % 5) as name,
+  case when event_type = 'signup' then 1 else 0 end as nw from events)) where i = 1) where j = 1) where k <= 20""")

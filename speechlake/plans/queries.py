@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import consensus as C
 from ..operators import evaluation as E
 from ..operators import intervals as I
+from ..operators import settings as X
 from ..operators import signal as G
 from ..operators import transcript as T
 from ..operators import tuning as U
@@ -628,3 +629,72 @@ def latest_partials(seg):
     last = seg.withColumn("_n", n).where("_n <= 8")
     place = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_s", "seg_id"))
     return last.select("recording_id", "seg_id", place.cast("long").alias("place"))
+
+
+# settings and reference rows
+
+
+@query("events")
+def normalized_ranges(ev):
+    i, v = F.col("event_id"), F.col("value")
+    a, b = X.normalized_range(F.when(i % 3 == 0, v), F.when(i % 2 == 0, v - 20), F.when(i % 5 == 0, v + 3), F.when(i % 7 == 0, v - 50), [F.when(i % 4 == 0, v / 2), F.when(i % 9 == 0, v / 3)], F.when(i % 11 != 0, v / 10))
+    return ev.select("event_id", S.round6(a).alias("start_s"), S.round6(b).alias("end_s"))
+
+
+@query("v_utt")
+def reference_rows(utt):
+    rows = utt.select("recording_id", "turn", F.when(F.col("speaker") != "system", F.col("speaker")).alias("speaker"), "text", (F.col("spk") != 1).alias("confirmed"), "start_s", "end_s", F.when(F.col("spk") == 0, "insert").alias("operation"))
+    return _times(X.reference_rows(rows, "recording_id", "turn", False))
+
+
+@query("events")
+def close_confirmation(ev):
+    i = F.col("event_id")
+    s = X.close_state(i % 3 - 1, i % 5 - 3, i % 7 == 0, F.floor(F.col("value") / 400), F.when(i % 2 == 0, 0).otherwise(i % 11 - 9), i % 13 == 0, F.when(i % 4 != 0, i % 4 == 1))
+    return ev.select("event_id", *(c.alias(n) for n, c in s.items()))
+
+
+@query("events")
+def stem_options(ev):
+    v = F.col("value")
+    s = X.stem_options(F.when(F.col("event_id") % 4 != 0, v / 500), v / 2000, F.when(F.col("event_id") % 3 != 0, v / 1500), v / 60)
+    return ev.select("event_id", *(S.round6(c).alias(n) for n, c in s.items()))
+
+
+@query("events")
+def recognizer_modes(ev):
+    i = F.col("event_id")
+    m = X.recognizer_mode(i % 3, F.when(i % 5 != 0, i % 2 == 0), F.when(i % 7 != 0, i % 4 == 0), F.when(i % 6 != 0, F.col("value") / 100))
+    return ev.select("event_id", m["method"].alias("method"), S.round6(m["hotword_score"]).alias("hotword_score"))
+
+
+@query("v_utt")
+def inferred_ranges(utt):
+    return X.inferred_range(utt.withColumns({c: F.when(F.col("speaker") != "system", F.col(c)) for c in ("start_s", "end_s")}), "recording_id", "turn")
+
+
+@query("v_utt")
+def clamped_rows(utt):
+    a, b = X.clamp_row(F.when(F.col("spk").isNotNull(), F.col("start_s")), F.col("end_s"), F.lit(1.0), F.lit(20.0))
+    return utt.select("recording_id", "turn", S.round6(a).alias("start_s"), S.round6(b).alias("end_s"))
+
+
+@query("v_seg")
+def hypothesis_rows(seg):
+    return X.hypothesis_rows(seg.where("speaker = 0"), seg.where("kind = 'error'"), "seg_id").select("recording_id", "seg_id")
+
+
+@query("v_status")
+def percent_labels(st):
+    return st.select("event_id", X.percent(F.when(F.col("phase") != "queued", F.floor(F.col("value") * 2) / 1000.0)).alias("label"))
+
+
+@query("v_cases")
+def report_markdown(cases):
+    return X.markdown_report(E.case_summary(cases, [[], ["dataset"]]), ["dataset", "cases", "mixture_cer", "separated_cer", "gate_rate"])
+
+
+@query("events")
+def preset_upsert(ev):
+    row = lambda d, n: d.select("user_id", F.col("event_id").alias("ord"), F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("id"), F.concat(F.lit(f" Name  {n}"), (F.col("event_id") % 5).cast("string")).alias("name"))
+    return X.upsert_presets(row(ev.where("event_type != 'signup'"), "A"), row(ev.where("event_type = 'signup'"), "a"), "user_id").select("user_id", "id", "name", "ord")
