@@ -122,7 +122,7 @@ def separation_windows(intervals: DataFrame, durations: DataFrame, gap: float =
     cut = F.transform("all", lambda x: F.struct(F.greatest(x["start_s"], F.col("c0")).alias("start_s"), F.least(x["end_s"], F.col("c1")).alias("end_s")))
     t = t.withColumn("pieces", F.filter(cut, lambda x: x["end_s"] - x["start_s"] >= least)).where(F.size("pieces") > 0)
     return t.select(
-        "recording_id", (F.row_number().over(Window.partitionBy("recording_id").orderBy("c0")) - 1).alias("idx"),
+        "recording_id", (F.row_number().over(Window.partitionBy("recording_id").orderBy("c0")) - 1).cast("long").alias("idx"),
         round6(F.greatest(F.lit(0.0), F.col("c0") - context)).alias("start_s"), round6(F.least(F.col("duration"), F.col("c1") + context)).alias("end_s"),
         round6(F.col("c0")).alias("overlap_start"), round6(F.col("c1")).alias("overlap_end"),
         F.transform("pieces", lambda x: F.struct(round6(x["start_s"]).alias("start_s"), round6(x["end_s"]).alias("end_s"))).alias("pieces"),

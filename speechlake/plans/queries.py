@@ -91,7 +91,7 @@ def _windows(seg):
 def separation_windows(seg):
     w = _windows(seg)
     covered = F.aggregate("pieces", F.lit(0.0), lambda a, x: a + x["end_s"] - x["start_s"])
-    return w.select("recording_id", "idx", "start_s", "end_s", "overlap_start", "overlap_end", F.size("pieces").alias("n_pieces"), F.round(covered, 3).alias("covered"))
+    return w.select("recording_id", "idx", "start_s", "end_s", "overlap_start", "overlap_end", F.size("pieces").cast("long").alias("n_pieces"), F.round(covered, 3).alias("covered"))
 
 
 @query("v_seg")
