@@ -35,6 +35,7 @@ SLACK = 1.25  # exact segments for each that is indexed: room to leave the small
 SHARED = 0.35  # chance that one shingle of a short text is boilerplate; weighs small subsets in the cost
 CANDIDATE = 80.0  # cost of one chance meeting, in signatures: both texts are read again and compared
 FLUSH = 3_000_000  # signatures that a map task holds before it packs them
+SALTS = 32
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20  # most documents, and shingles on average, of one block of a cluster
 
 
@@ -333,12 +334,12 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     shape = met.where("n >= 0 AND u = v").select(F.col("u").alias("node"), "n")
     nodes = clusters.join(shape.groupBy("node").agg(F.max("n").alias("n")), "node")
     total = nodes.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    nodes = materialize(
-        nodes.join(total, "label").select(
-            "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
-        ), "nodes",
-    )
+    count = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    # only clusters of several blocks are looked up, and each of them under as many keys as SALTS: a large one isn't one task's
+    large = total.select("label", count.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["label", "salt"], "left")
+    nodes = materialize(nodes.select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("block")), "nodes")
     # the documents in clusters grow with the input: joined by shuffle at any size
     found = real.join(nodes.hint("merge"), real["doc"] == nodes["node"]).select("node", "label", "block", "blocks", "text")
     sets = found.mapInArrow(_sets(width), "node long, label long, block int, blocks int, blob binary")
