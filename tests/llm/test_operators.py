@@ -319,7 +319,7 @@ def test_cutoffs_are_certified_only_with_enough_evidence(spark):
     values = lambda v: (v, 0.0, 5.0, 0.0)
     data = [(i, "many", 1, *values(0.0)) for i in range(2000)] + [(i, "many", 0, *values(0.3)) for i in range(2000, 2100)]
     data += [(i, "few", 1, *values(0.0)) for i in range(40)] + [(i, "few", 0, *values(0.3)) for i in range(40, 60)]
-    data += [(i, "mixed", 1, *values(0.3 if i % 10 == 0 else 0.0)) for i in range(2000)] + [(i, "mixed", 0, *values(0.3)) for i in range(2000, 2100)]
+    data += [(i, "mixed", 1, *values(0.3 if i % 7 == 0 else 0.0)) for i in range(2000)] + [(i, "mixed", 0, *values(0.3)) for i in range(2000, 2100)]
     d = spark.createDataFrame(data, "doc_id long, stratum string, quality int, symbols double, capitals double, word_length double, repeats double")
     assert rows(quality.cutoffs(d, quality.Risk())) == [("many", "symbols", 0.2)]
 
