@@ -10,7 +10,7 @@ from .data import DOCS, documents
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("sf")
-    data = documents(120, awkward=False) + [(900, None, "en", "a", None), (901, "", None, None, 0), (902, documents(1)[0][1], "en", "a", 1)]
+    data = documents(120, awkward=False) + [(900, None, "en", "a", None), (901, "", None, None, 0), (902, documents(1, awkward=False)[0][1], "en", "a", 1)]
     spark.createDataFrame(data, DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, " ".join(data[8][1].split()[:20]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
