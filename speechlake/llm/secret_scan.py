@@ -4,7 +4,8 @@ Base findings (assign, access, hex) stand alone. Weak candidates don't: an ident
 opaque string (32 or more base64 characters, cases and digits mixed) and an endpoint (a URL or database address) become
 findings only where they complete a credential: within ``SCOPE`` characters of the same text, an identifier needs a secret,
 an opaque string needs an identifier, and an endpoint needs both. Parts are rows (text, kind, start, end); the interval
-join meets them by text and scope cell, where disjoint spans are at most a few dozen, so no text or cell gets hot.
+join meets them by text and scope cell, each part in all cells from its start to its end, so pairs are found whatever their
+lengths and offsets. The disjoint spans of a cell are at most a few dozen, so no text or cell gets hot.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     t = materialize(t, "secrets")
     parts = t.where(F.size("weak") > 0).select("row", F.inline(F.concat("base", "weak")))
-    parts = parts.withColumn("cell", F.floor(F.col("start") / SCOPE).cast("int"))
-    wide = parts.withColumn("near", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    a, b = parts.where("kind >= 3").alias("a"), wide.alias("b")
-    meet = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.cell") == F.col("b.near")))
+    first, last = (F.floor(F.col(c) / SCOPE).cast("int") for c in ("start", "end"))
+    # a part is in all cells that it spans, and the other side in one more at each end; pairs may meet several times
+    a = parts.where("kind >= 3").withColumn("cell", F.explode(F.sequence(first, last))).alias("a")
+    b = parts.withColumn("cell", F.explode(F.sequence(first - 1, last + 1))).alias("b")
+    meet = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.cell") == F.col("b.cell")))
     gap = F.greatest(F.col("a.start"), F.col("b.start")) - F.least(F.col("a.end"), F.col("b.end"))
     base_hit = (gap < 0) & (F.col("b.kind") < 3)
     apart = (gap >= 0) & (gap <= SCOPE)

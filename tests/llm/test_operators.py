@@ -290,6 +290,26 @@ def test_weak_parts_need_their_complements(spark):
     assert got == {1: {"ident", "opaque"}, 2: set(), 3: set(), 4: set(), 5: {"ident", "opaque", "endpoint"}, 6: set(), 7: set(), 8: {"assign", "ident"}}
 
 
+def test_scope_is_the_gap_whatever_the_offset_and_length(spark):
+    secrets, idents = ["password=abcdefghijklmnop", "password=" + "zY9/" * 300], ["client_id = user-77", "client_id = " + "user-77." * 150]
+    data, want = [], {}
+    for secret in secrets:
+        for ident in idents:
+            for gap in (1, 300, 385, 399, 400, 401, 450):
+                for at in (0, 1, 15, 199, 398, 399, 400, 777):
+                    for a, b in ((secret, ident), (ident, secret)):
+                        want[len(data)] = {"assign", "ident"} if gap <= 400 else {"assign"}
+                        data.append((len(data), " " * at + a + " " * gap + b))
+    url = "https://h.example/" + "p" * 1500
+    for at in (0, 399):  # a long candidate that touches a base finding far from its start; one that only ends near
+        want[len(data)] = {"assign", "ident"}
+        data.append((len(data), " " * at + url + "?token=abcdefghijklmnop client_id = user-77"))
+        want[len(data)] = {"assign", "ident", "endpoint"}
+        data.append((len(data), " " * at + url + " token=abcdefghijklmnop client_id = user-77"))
+    got = {r.doc_id: {x.split(":")[0] for x in r.spans.split(",") if x} for r in secret_scan.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # 9 quality
 
 
