@@ -79,15 +79,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, whole string (licence that the entire text is, or null), licenses string (all found, sorted, comma-joined), n_units long (units that match).
 
     One row per row of documents. Null and empty texts match nothing. Units: the whole text, paragraphs (between blank lines) and
-    lines, equal ones once each. A unit is digested only if it could be of a known length; spelling changes are allowed for.
+    lines, equal ones once each. A unit is digested only if its canonical form is no longer than the longest known one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    longest = 2 * max(len(t) for _, t in KNOWN)
-    parts = F.filter(F.concat(F.split(text, "\\n[\\x20\\t\\r]*\\n"), F.split(text, "\\n")), lambda u: (F.length(u) > 0) & (F.length(u) <= longest))
-    units = F.array_distinct(F.concat(F.when(F.length(text) <= longest, F.array(text)).otherwise(F.array().cast("array<string>")), parts))
-    digest = lambda u: F.sha2(canonical_column(u), 256)
-    whole = F.when(F.length(text) <= longest, digest(text))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole.alias("all"), F.transform(units, digest).alias("units"))
+    longest = max(len(canonical(t)) for _, t in KNOWN)
+    units = F.array_distinct(F.concat(F.array(text), F.filter(F.concat(F.split(text, "\\n[\\x20\\t\\r]*\\n"), F.split(text, "\\n")), lambda u: F.length(u) > 0)))
+    forms = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(units, canonical_column).alias("forms"))
+    digest = lambda c: F.when(F.length(c) <= longest, F.sha2(c, 256))
+    rows = forms.select("row", "doc_id", digest(F.element_at("forms", 1)).alias("all"), F.transform(F.filter("forms", lambda c: F.length(c) <= longest), lambda c: F.sha2(c, 256)).alias("units"))
     pairs = rows.select("row", "doc_id", "all", F.explode_outer("units").alias("digest"))
     hit = pairs.join(F.broadcast(known(docs.sparkSession)), "digest", "left")  # a constant table
     out = hit.groupBy("row", "doc_id").agg(

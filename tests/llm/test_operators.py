@@ -256,6 +256,16 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_drops_long_copyrights_and_rules_first(spark):
+    names = "".join(f"Copyright (c) {1900 + i} Some Contributor of the Project <name{i}@example.org>\n" for i in range(100))
+    bsd = names + "\n" + licenses.BSD_HEAD + licenses.BSD_THIRD + licenses.BSD_TAIL
+    ruled = ("/" + "*" * 3000 + "/\n") + "\n".join("** " + x + " " * 200 + "**" for x in licenses.MIT.split("\n")) + ("\n/" + "*" * 3000 + "/")
+    line = "#" * 4000 + " Released under the MIT License. " + "#" * 4000
+    data = [(1, bsd, "", "", 0), (2, ruled, "", "", 0), (3, "intro\n" + line, "", "", 0), (4, "word " * 3000, "", "", 0)]
+    found = {r.doc_id: (r.whole, r.licenses, r.n_units) for r in licenses.scan(frame(spark, data)).collect()}
+    assert found == {1: ("BSD-3-Clause", "BSD-3-Clause", 1), 2: ("MIT", "MIT", 1), 3: (None, "MIT", 1), 4: (None, "", 0)}
+
+
 def test_canonical_forms_agree(spark):
     texts = [t for _, t in licenses.KNOWN] + ["Sub-Licence, AND/OR  copyright owner ©", "(c) 2001 x\nCopyright 1999 y\nkeep copyright"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
