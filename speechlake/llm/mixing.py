@@ -161,7 +161,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     run gives the words it spans with the space between them. n_chars is the new text's. Documents that aren't taken, empty
     ones among them, are in no row. Numbers stay those of the documents, once for each pass or run.
     """
-    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"), F.monotonically_increasing_id().alias("key"))
+    # written with the texts: a second evaluation could split the files otherwise, and give other keys
+    numbered = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("in"), F.monotonically_increasing_id().alias("key")), "keyed")
     sized = materialize(numbered.select(F.col("key").alias("doc_id"), F.col("in.source").alias("source"), word_count(F.col("in.text")).alias("size")), "sized")
     taken = mixture(sized, mix)
     order = Window.partitionBy("doc_id", "pass").orderBy("word_from")

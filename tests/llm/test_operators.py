@@ -73,6 +73,20 @@ def test_mixed_documents_text(spark):
     assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 0.05 * sum(sizes.values()) and sum(got.values()) == pytest.approx(sum(taken.values()), rel=0.05)
 
 
+def test_mixed_documents_keep_their_texts_when_files_are_split_anew(spark, tmp_path):
+    data = documents(80, awkward=False)
+    spark.createDataFrame(data, DOCS).repartition(16, "doc_id").write.parquet(f"{tmp_path}/docs")
+    docs, mix = spark.read.parquet(f"{tmp_path}/docs"), mixing.Mix(block_words=8, shard_slots=64)
+    want, out = rows(mixing.mixed_documents(docs, mix)), mixing.mixed_documents(docs, mix)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # as when the cores change between two jobs
+    try:
+        got = rows(out)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    texts = {d[0]: d[1] for d in data}
+    assert got == want and all(r[1] in texts[r[0]] for r in got)
+
+
 # 2 web archives
 
 PAGES = "page_id long, url string, html string"
