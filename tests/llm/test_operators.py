@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -280,6 +281,20 @@ def test_license_scan_drops_long_copyrights_and_rules_first(spark):
     assert found == {1: ("BSD-3-Clause", "BSD-3-Clause", 1), 2: ("MIT", "MIT", 1), 3: (None, "MIT", 1), 4: (None, "", 0)}
 
 
+def test_license_scan_knows_common_texts_and_takes_a_table(spark):
+    folder = Path(licenses.__file__).parent / "known_licenses"
+    names = sorted(f.stem for f in folder.glob("*.txt"))
+    filled = (folder / "Apache-2.0.txt").read_text().replace("[yyyy] [name of copyright owner]", "2024 Someone")
+    texts = [(folder / f"{n}.txt").read_text() for n in names] + [filled, "x\nSPDX-License-Identifier: MPL-2.0", "Licensed under CC BY-SA 3.0."]
+    got = {r.doc_id: (r.whole, r.licenses) for r in licenses.scan(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()}
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0"} <= set(names)
+    assert [got[i][0] for i in range(len(texts))] == [*names, "Apache-2.0", None, "CC-BY-SA-3.0"] and got[len(texts) - 2][1] == "MPL-2.0"
+    table = spark.createDataFrame([("Own", "Do as you like."), ("Other", "do AS you like"), ("Third", "Ask first."), (None, "x"), ("Void", None)], "license string, text string")
+    data = [(1, "Do as you like!", "", "", 0), (2, "a\nAsk first\nDo as you like", "", "", 0), (3, licenses.MIT, "", "", 0), (4, None, "", "", 0)]
+    found = {r.doc_id: (r.whole, r.licenses, r.n_units) for r in licenses.scan(frame(spark, data), table).collect()}
+    assert found == {1: ("Other,Own", "Other,Own", 1), 2: (None, "Other,Own,Third", 2), 3: (None, "", 0), 4: (None, "", 0)}
+
+
 def test_canonical_forms_agree(spark):
     texts = [t for _, t in licenses.KNOWN] + ["Sub-Licence, AND/OR  copyright owner ©", "(c) 2001 x\nCopyright 1999 y\nkeep copyright"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
