@@ -21,7 +21,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Patterns of the weak kinds.
 IDENT = r"""(?i:access|client|account|app|user)_?(?i:key_?)?(?i:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,40}[A-Z])(?=[A-Za-z0-9+/]{0,40}[a-z])(?=[A-Za-z0-9+/]{0,40}[0-9])[A-Za-z0-9+/]{32,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+"
 
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")

@@ -349,6 +349,13 @@ def test_scope_is_the_gap_whatever_the_offset_and_length(spark):
     assert got == want
 
 
+def test_opaque_strings_have_their_classes_anywhere(spark):
+    ident = "client_id = user-77 "
+    data = [(1, ident + "aB" * 40 + "7"), (2, ident + "z7" * 500 + "B"), (3, ident + "B7" * 30 + "a/"), (4, ident + "aB" * 40), (5, ident + "aB7" * 10)]
+    got = {r.doc_id: {x.split(":")[0] for x in r.spans.split(",") if x} for r in secret_scan.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {k: "opaque" in v for k, v in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
 # 9 quality
 
 
