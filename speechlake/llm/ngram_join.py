@@ -13,7 +13,7 @@ meets its own band and, as the larger of a pair, the one below.
 Scale. A task packs its signatures as (signature, document) pairs in blocks, reduced to one document per signature
 and task, so a signature in a third of all documents reaches its reducer once per map task. Reducers emit a spanning
 forest, not pairs. Clusters of documents that share signatures are then cut into blocks of bounded size, and each pair of
-blocks is verified in one task: parity sketches bound the symmetric difference from below, what passes is intersected
+blocks is verified as one job of its own: parity sketches bound the symmetric difference from below, what passes is intersected
 exactly unless both are already linked through others. Only forest links leave the task.
 """
 
@@ -297,11 +297,12 @@ def _sets(width: int):
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         us, vs = [], []
-        label, low, high, block = (table.column(c).to_numpy() for c in ("label", "low", "high", "block"))
+        # within one block, low and high are null: both sides are the block itself
+        label, block = (table.column(c).to_numpy() for c in ("label", "block"))
+        low, high = (np.broadcast_to(table.column(c)[0].as_py() or 0, len(label)) for c in ("low", "high"))
         node, blobs = table.column("node").to_numpy(), table.column("blob")
-        order = np.lexsort((node, high, low, label))
-        job = np.stack([label[order], low[order], high[order]], 1)
-        cuts = np.flatnonzero(np.r_[True, (job[1:] != job[:-1]).any(1), True]) if len(job) else []
+        order = np.lexsort((node, label))
+        cuts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0, True]) if len(label) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[a:b]
             sets = [np.frombuffer(blobs[i].as_py(), U) for i in rows.tolist()]
@@ -339,18 +340,21 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     large = total.select("label", count.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
     nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["label", "salt"], "left")
-    nodes = materialize(nodes.select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("block")), "nodes")
+    nodes = materialize(nodes.select("node", "label", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("block")), "nodes")
     # the documents in clusters grow with the input: joined by shuffle at any size
     found = real.join(nodes.hint("merge"), real["doc"] == nodes["node"]).select("node", "label", "block", "blocks", "text")
     sets = found.mapInArrow(_sets(width), "node long, label long, block int, blocks int, blob binary")
     # each document goes to the pairs of its block with every block of the cluster, itself included
     placed = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blob"
+        "node", "label", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blob"
     )
-    jobs = parts
+    # a pair of blocks is a job of its own; clusters of one block share jobs of about a block's shingles
+    jobs = int(nodes.agg(F.ceil(F.sum("n") / BLOCK_SHINGLES)).first()[0] or 1)
+    alone = F.col("blocks") == 1
     links = (
-        placed.withColumn("job", F.pmod(F.xxhash64("label", "low", "high"), F.lit(jobs)))
-        .groupBy("job").applyInArrow(_verify(percent), "u long, v long")
+        placed.withColumn("job", F.when(alone, F.pmod(F.xxhash64("label"), F.lit(max(parts, jobs)))).otherwise(F.col("label")))
+        .withColumn("low", F.when(~alone, F.col("low"))).withColumn("high", F.when(~alone, F.col("high")))
+        .groupBy(alone.alias("alone"), "job", "low", "high").applyInArrow(_verify(percent), "u long, v long")
     )
     # several texts under one number tie their classes together
     whose = met.where("n > 0").groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b")
@@ -363,6 +367,23 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     return out.unionByName(_unnumbered(docs, width).withColumnRenamed("doc", doc))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) with one row of each class: the smallest doc_id, null last.
+
+    Every row is a document of its own, whatever its doc_id: rows that share a number, or have none, are grouped by their texts
+    alone. Rows without words are in no class and all stay. The rows are numbered once and written with their number, so that
+    the number means the same row to every later job.
+    """
+    cells = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("key"), cells.alias("in")), "keyed")
+    classes = jaccard_components(keyed.select("key", F.col("in.text").alias("text")), "key", "text", width, percent)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    named = classes.join(keyed.select("key", F.col("in.doc_id").alias("doc_id")), "key")
+    first = named.groupBy("component_id").agg(F.min_by("key", rank).alias("key"))
+    stay = keyed.join(first.select("key").hint("merge"), "key", "left_semi")
+    return stay.select(*(F.col(f"in.`{c}`").alias(c) for c in docs.columns))
+
+
 def _unnumbered(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):

@@ -166,6 +166,37 @@ def test_contamination_against_brute_force(spark):
     assert decontam.contamination(frame(spark, []), bench).count() == 0
 
 
+def test_clean_judges_each_row_by_its_own_text(spark):
+    data = documents(60)
+    it = items(data)
+    data += [(2, "clean words that no benchmark has " * 3, "en", "a", 1), (None, data[2][1], "en", "a", 1)]  # one number, two texts
+    bench = spark.createDataFrame(it, "item_id long, text string")
+    bad = [r[5] for r in brute.contamination([(d[0], d[1]) for d in data], [("" if i is None else i, t) for i, t in it])]
+    docs = frame(spark, data)
+    for block in (decontam.BLOCK_WORDS, 30):
+        got = decontam.clean(docs, bench, block_words=block)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((d[0], d[1]) for d, b in zip(data, bad, strict=True) if not b)
+    assert any(bad) and decontam.clean(frame(spark, []), bench).count() == 0
+
+
+def test_windows_shared_by_items_and_equal_hashes(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(30))
+    it = [(i, passage + f" own{i}") for i in range(50)]
+    data = [(1, "x " + passage), (2, passage.replace("w17", "v17"))]
+    bench = spark.createDataFrame(it, "item_id long, text string")
+    want = sorted(map(repr, brute.contamination(data, it)))
+    got = decontam.contamination(spark.createDataFrame(data, "doc_id long, text string"), bench)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    # words whose hashes are all the same differ by their bytes still
+    monkeypatch.setattr(decontam, "hash_runs", lambda data, start, end: np.ones(len(start), np.uint64))
+    w = decontam.Windows(["1"], [passage], np.empty(0, np.uint64), np.empty(0, np.int64), 13)
+    import pyarrow as pa
+
+    cover, pairs = w.hits(decontam.Words(pa.array([passage, passage.replace("w", "v")])))
+    assert (cover > 0).tolist() == [True] * 30 + [False] * 30 and pairs.tolist() == [[0, 0]]
+
+
 # 5 near duplicates
 
 
@@ -181,6 +212,19 @@ def test_jaccard_components_against_brute_force(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_class_stays_whatever_the_numbers(spark):
+    data = documents(100, seed=9) + [(7, documents(100, seed=9)[60][1], "en", "a", 1), (None, "a b c d e f", "en", "a", 1), (None, "a b c d e f", "en", "a", 1)]
+    root = brute.components([(i, d[1]) for i, d in enumerate(data)])
+    classes = defaultdict(list)
+    for i, d in enumerate(data):
+        classes[root[i]].append((d[0] is None, d[0] or 0))
+    docs = frame(spark, data)
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(min(x) for x in classes.values())
+    assert ngram_join.one_of_each(frame(spark, [])).count() == 0
+
+
 def test_several_texts_of_one_number_are_pooled(spark):
     t = ["a b c d e f g h", "q w e r t y u i", "z x c v b n m l"]
     data = [(5, t[0], "", "", 0), (5, t[1], "", "", 0), (3, t[1], "", "", 0), (7, t[2], "", "", 0), (5, t[2], "", "", 0)]
