@@ -7,6 +7,9 @@ next character plain; ``###`` and ``</turn>`` never appear raw in a text, nor ``
 Formatting starts from the plain text. A turn whose own rendering doesn't parse back to exactly itself is escaped; then
 the whole conversation is parsed, and if it still differs from the source, all its turns are escaped. Escaped text has no
 raw control string and each backslash doubled, so its round trip is exact, which the result is held to once more.
+
+The loss mask is a list of ranges (start, end) of code points of the formatted string, from the parser's own places: the texts
+of one speaker's turns, escapes included, in order. What is trained on is read through these ranges alone.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import before, let
+
 END, HEAD = "</turn>", "### "
 
 
@@ -79,12 +84,38 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     return conv.select("conv_id", "turns", "formatted", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("ok"))
 
 
+def loss_mask(formatted: Column, speaker: str = "assistant") -> Column:
+    """Ranges (start, end) of the formatted string in which ``speaker``'s texts lie."""
+
+    def ranges(pieces: Column) -> Column:
+        starts = before(F.transform(pieces, lambda p: (F.length(p) + len(END)).cast("long")))
+
+        def one(p: Column, at: Column) -> Column:
+            skip = F.when(p.startswith("\n"), 1).otherwise(0)  # the line end of the turn before
+            head = F.substring_index(F.substr(p, skip + 1), ": ", 1)
+            role = unescape(F.substr(head, F.lit(len(HEAD) + 1)))
+            return F.when(role == speaker, F.struct((at + skip + F.length(head) + 2).cast("int").alias("start"), (at + F.length(p)).cast("int").alias("end")))
+
+        return F.filter(F.zip_with(pieces, starts, one), lambda r: r.isNotNull())
+
+    cut = F.split(formatted, END)
+    return let(F.slice(cut, 1, F.size(cut) - 1), ranges)
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The unescaped text under a mask's ranges. Slices of four bytes a character, so that no range is searched from the start."""
+    wide = F.encode(formatted, "UTF-32")
+    cut = lambda w, r: F.decode(F.substr(w, 4 * r["start"] + 1, 4 * (r["end"] - r["start"])), "UTF-32")
+    return let(wide, lambda w: F.array_join(F.transform(mask, lambda r: unescape(cut(w, r))), ""))
+
+
 def digests(formatted: DataFrame, speaker: str = "assistant") -> DataFrame:
-    """What reads back from the output: counts and digests of the turns and of the text under the loss mask (``speaker``'s)."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == speaker), lambda t: t["text"]), "")
+    """What reads back from the output: counts and digests of the turns, and of the text under the loss mask (``speaker``'s)."""
+    read = formatted.withColumn("mask", loss_mask(F.col("formatted"), speaker))
+    read = read.withColumn("loss", masked(F.col("formatted"), F.col("mask")))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return formatted.select(
+    return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), F.col("ok").alias("round_trip"),
     )

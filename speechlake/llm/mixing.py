@@ -24,6 +24,7 @@ from .sharding import bucket_count, prefix_sums
 
 CHUNK = 1 << 14
 WALK = 64
+TASK_SLOTS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -89,16 +90,18 @@ def targets(sized: DataFrame, mix: Mix) -> DataFrame:
     return table.withColumn("slots", slots.cast("long")).select("source", "rank", "source_size", "target", "blocks", "slots")
 
 
-def _ranges(table: DataFrame, count: str, name: str) -> DataFrame:
+def _ranges(table: DataFrame, count: str, name: str, tasks: int) -> DataFrame:
     """Rows repeated for name = 0 .. count - 1, in two steps so that a large count is dealt over all tasks."""
     part = table.where(F.col(count) > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long"))))
-    part = part.repartition("rank", "_from")
+    part = part.repartition(tasks, "rank", "_from")
     to = F.least(F.col(count), F.col("_from") + CHUNK) - 1
     return part.withColumn(name, F.explode(F.sequence(F.col("_from"), to))).drop("_from")
 
 
 def draw(sources: DataFrame, mix: Mix) -> DataFrame:
     """The mixture: one row per slot, (rank, shard, pass, block)."""
+    # few bytes stand for many slots, so the number of tasks follows the slots; planned by bytes, all would be one task's
+    tasks = max(1, -(-int(sources.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS))
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     s = sources.select(
         "rank", "blocks", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("lo"),
@@ -106,12 +109,12 @@ def draw(sources: DataFrame, mix: Mix) -> DataFrame:
     )
     place = permute(F.col("lo") + F.col("i"), F.col("all"), mix.seed)
     counts = (
-        _ranges(s, "slots", "i").withColumn("shard", F.call_function("div", place, F.lit(mix.shard_slots).cast("long")))
+        _ranges(s, "slots", "i", tasks).withColumn("shard", F.call_function("div", place, F.lit(mix.shard_slots).cast("long")))
         .groupBy("rank", "blocks", "shard").count()
     )
     sofar = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("count").over(sofar), F.lit(0)))
-    slots = counts.repartition("rank", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    slots = counts.repartition(tasks, "rank", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     i = F.col("first") + F.col("k")
     slots = slots.select("rank", "shard", "blocks", F.call_function("div", i, F.col("blocks")).alias("pass"), F.pmod(i, F.col("blocks")).alias("at"))
     return slots.withColumn("block", permute(F.col("at"), F.col("blocks"), F.lit(mix.seed + 1), F.col("rank"), F.col("pass"))).drop("at", "blocks")
@@ -134,13 +137,14 @@ def pieces(sized: DataFrame, sources: DataFrame, mix: Mix, rows: int) -> DataFra
 
 def mixture(sized: DataFrame, mix: Mix, how: str = "inner") -> DataFrame:
     """The placed pieces (rank, row, doc_id, size, .., source_size, target, shard, pass, block, word_from, words) of documents with
-    columns doc_id, source, size (words) and any others; with how="left" also pieces that no slot took, shard null.
+    columns doc_id, source, size (words); others are left out. With how="left" also pieces that no slot took, shard null.
 
     Documents of size 0 are in no block. A null source is a source of its own; rows with the same doc_id, or equal rows, are
     documents of their own. An empty table gives an empty result.
     """
     sources = materialize(targets(sized, mix), "mix-sources")
     # Catalyst takes the slots for as few as the sources that they are exploded from; they grow with the input, so no broadcast
+    sized = sized.select("doc_id", "source", "size")
     return pieces(sized, sources, mix, sized.count()).join(draw(sources, mix).hint("merge"), ["rank", "block"], how)
 
 

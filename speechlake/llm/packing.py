@@ -3,8 +3,9 @@
 Documents are tokenised with a public tokenizer, an end token closes each, and what is longer than a row is split into
 full rows and a rest, losing nothing. Within a group (a bounded number of documents, by a hash of the number) the pieces
 go, longest first, into the fullest row that still holds them; a segment tree over remaining capacities finds it. A row
-of the packed id matrix has fixed length: ids as little-endian uint16, padded with the end token, the cumulative lengths of
-its segments, and the position reset per segment.
+of the packed id matrix has fixed length: ids as little-endian integers, padded with the end token, the cumulative lengths of
+its segments, and each token's position, which restarts at every segment. Ids take two bytes where the vocabulary and its
+end token fit in them, else four. ``write`` puts the rows into files.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plan_bytes
+from .common import materialize, plan_bytes
 from .shingles import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-END = 50256
 #: How the vocabulary's source splits a text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP_BYTES = 4 << 20  # of input, for each group that is packed together
@@ -36,6 +36,16 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def end_token(path: str) -> int:
+    """The id after the vocabulary's last, which closes every document and pads rows."""
+    return encoder(path).max_token_value + 1
+
+
+def id_type(path: str) -> str:
+    """NumPy's name of the ids' type."""
+    return "<u2" if end_token(path) < 1 << 16 else "<u4"
+
+
 class BestFit:
     """Rows of equal capacity by what they still hold: a segment tree over 0 .. capacity that counts rows."""
 
@@ -90,54 +100,66 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, kind = encoder(path), id_type(path)
+        end = np.array([end_token(path)], kind).tobytes()
         for batch in slices(batches, "text"):
-            end = np.array([END], np.uint16).tobytes()
-            ids = [enc.encode_to_numpy(t or "", disallowed_special=()).astype(np.uint16).tobytes() + end for t in batch.column("text").to_pylist()]
+            ids = [enc.encode_to_numpy(t or "", disallowed_special=()).astype(kind).tobytes() + end for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("part"), batch.column("doc"), pa.array(ids, pa.binary())], ["part", "doc", "ids"])
 
     return run
 
 
-ROW = "part long, row int, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
+ROW = "part long, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
 
 
-def _pack(length: int):
+def _pack(length: int, path: str):
     def run(table: pa.Table) -> pa.Table:
+        kind = np.dtype(id_type(path))
+        wide = kind.itemsize
         # equal numbers are ordered by content, so that the result doesn't depend on how rows arrive
         docs = sorted(zip(table.column("doc").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        pieces = [(d, at, ids[2 * at : 2 * (at + length)]) for d, ids in docs for at in range(0, len(ids) // 2, length)]
-        sizes = np.array([len(p[2]) // 2 for p in pieces], np.int64)
-        out = {k: [] for k in ("part", "row", "n_tokens", "ids", "cu_seqlens", "doc_ids", "doc_offsets")}
+        pieces = [(d, at, ids[wide * at : wide * (at + length)]) for d, ids in docs for at in range(0, len(ids) // wide, length)]
+        sizes = np.array([len(p[2]) // wide for p in pieces], np.int64)
+        out = {k: [] for k in ("part", "row", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "doc_offsets")}
         part = table.column("part")[0].as_py()
-        pad = np.full(length, END, np.uint16).tobytes()
+        pad = np.full(length, end_token(path), kind).tobytes()
         for k, row in enumerate(best_fit_decreasing(sizes, length)):
             total = int(sizes[row].sum())
             out["part"].append(part)
             out["row"].append(k)
             out["n_tokens"].append(total)
-            out["ids"].append(b"".join(pieces[i][2] for i in row) + pad[: 2 * (length - total)])
-            out["cu_seqlens"].append([0, *np.cumsum(sizes[row]).tolist()])
+            out["ids"].append(b"".join(pieces[i][2] for i in row) + pad[: wide * (length - total)])
+            edges = [0, *np.cumsum(sizes[row]).tolist()]
+            out["positions"].append(positions(edges, length).astype("<u4").tobytes())
+            out["cu_seqlens"].append(edges)
             out["doc_ids"].append([pieces[i][0] for i in row])
             out["doc_offsets"].append([pieces[i][1] for i in row])
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return run
 
 
 def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Packed rows (part, row, n_tokens, ids, cu_seqlens, doc_ids, doc_offsets) of documents (doc_id, text).
+    """Packed rows (part, row, n_tokens, ids, positions, cu_seqlens, doc_ids, doc_offsets) of documents (doc_id, text).
 
-    ids: ``length`` little-endian uint16, segments one after the other and then padding; segment k is
-    ids[cu_seqlens[k]:cu_seqlens[k+1]] and holds tokens doc_offsets[k] .. of document doc_ids[k]; positions restart at each
-    segment (see ``positions``). A null or empty text is its end token alone; a null number is kept as null; rows with the
+    ids: ``length`` integers of ``id_type``, segments one after the other and then padding; segment k is
+    ids[cu_seqlens[k]:cu_seqlens[k+1]] and holds tokens doc_offsets[k] .. of document doc_ids[k]; positions (little-endian uint32)
+    restart at each segment, the padding being one. A null or empty text is its end token alone; a null number is kept as null; rows with the
     same number or equal rows are packed each on their own. Extra columns are ignored; an empty table gives no rows.
     """
     groups = max(1, plan_bytes(docs) // GROUP_BYTES)
-    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).alias("part")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("part")
     ids = docs.select(part, F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(_tokenize(vocabulary), "part long, doc long, ids binary")
-    return ids.groupBy("part").applyInArrow(_pack(length), ROW)
+    return ids.groupBy("part").applyInArrow(_pack(length, vocabulary), ROW)
+
+
+def write(packed: DataFrame, path: str | None = None) -> DataFrame:
+    """The packed rows written as Parquet files (into the shared folder where no path is given), and read back from them."""
+    if path is None:
+        return materialize(packed, "packed")
+    packed.write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def positions(cu_seqlens: list[int], length: int) -> np.ndarray:

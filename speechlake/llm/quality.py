@@ -1,11 +1,13 @@
 """Operator 9: quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Labelled documents are split in two by their number. On the tuning half, each rule's candidate cutoffs are ranked per
-stratum (language) by the share of bad documents they reject less that of good ones. On the holdout half, the best
-candidate is certified: with k of n good documents rejected, the exact binomial tail P(X <= k | n, alpha) must not exceed
-delta over the number of strata times rules (Bonferroni), so that with probability 1 - delta every cutoff in use rejects
-at most alpha of its stratum's good documents. A rule that isn't certified, or rejects no bad document in tuning, isn't
-used there. Counts cover all labels; only sums per stratum and cutoff leave the documents.
+Distinct labelled texts are split in two by their digest, so copies of a text are one trial. On the tuning half, each stratum's
+(language's) pairs of rule and cutoff that reject more of the bad than of the good documents are put in order, those that
+reject the fewest good ones first. On the holdout half the unions of the first, the first two, .. pairs are tested one after
+the other: with k of n good documents rejected by the union, the exact binomial tail P(X <= k | n, alpha) must not exceed
+delta over the number of strata (Bonferroni). A fixed sequence of tests that ends at the first failure needs no further
+correction, so with probability 1 - delta the rules in use *together* reject at most alpha of any stratum's good documents. Only
+documents that the base test passes count, as the rules decide only about these. Counts cover all labels; only sums per
+stratum and pair leave the documents.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: share of good documents that one rule may reject in a stratum; delta: chance that any rule exceeds it."""
+    """alpha: share of good documents that all rules together may reject in a stratum; delta: chance that any stratum exceeds it."""
 
     alpha: float = 0.02
     delta: float = 0.05
@@ -43,7 +45,7 @@ def _less(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus the base counts and the rules' values; null text counts as empty.
+    """``docs`` without its text, plus its MD5 as text_key, the base counts and the rules' values; null text counts as empty.
 
     Repeated windows: each window of 8 words is hashed to 64 bits. Only where some hash is repeated are (hash, position)
     pairs sorted, so that equal windows are neighbours; the words of all windows with an equal neighbour are counted once.
@@ -75,7 +77,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     long = lambda x: x.cast("long")
     d = d.select(
-        *kept, long(F.size(h)).alias("n_words"), long(_less(F.col("_t"), SPACES + " ")).alias("word_chars"),
+        *kept, F.md5("_t").alias("text_key"), long(F.size(h)).alias("n_words"), long(_less(F.col("_t"), SPACES + " ")).alias("word_chars"),
         long(F.length("_t") - _less(F.col("_t"), SYMBOLS)).alias("n_symbols"),
         long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         long(F.coalesce(cover, F.lit(0))).alias("n_repeat_words"),
@@ -106,49 +108,56 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(labelled: DataFrame, risk: Risk) -> DataFrame:
-    """(stratum, rule, cutoff) of the certified rules, from labelled documents (doc_id, stratum, quality, rules' values).
+    """(stratum, rule, cutoff) in use, from labelled documents (text_key, stratum, quality, base_failed, rules' values).
 
-    Quality is 1 for good and 0 for bad; rows with a null quality or doc_id are left out. Even numbers tune, odd ones certify.
+    Quality is 1 for good and 0 for bad, of a text with several labels the least; rows with a null quality are left out, and so
+    are those that fail the base test. Texts whose key begins with an even hex digit tune, the others certify.
     """
-    good, even = F.col("quality") == 1, F.pmod("doc_id", F.lit(2)) == 0
-    labelled = labelled.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    tests = [(r, c) for r, grid in risk.grid.items() for c in grid]
+    rules = list(risk.grid)
+    known = labelled.where("quality IS NOT NULL")
+    m = known.select("stratum").distinct().count()
+    known = known.where("NOT base_failed").groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), *(F.max(r).alias(r) for r in rules))
+    good, even = F.col("quality") == 1, F.substring("text_key", 1, 1).isin(*"02468ace")
     n = lambda x: F.coalesce(F.sum(F.when(x, 1).otherwise(0)), F.lit(0)).cast("long")
-    per = F.array(*(
-        F.struct(
-            F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), n(even & ~good & (F.col(r) > c)).alias("bad_out"),
-            n(even & good & (F.col(r) > c)).alias("good_out"), n(~even & good & (F.col(r) > c)).alias("k"),
-        ) for r, c in tests
+    pairs = F.array(*(
+        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), n(even & ~good & (F.col(r) > c)).alias("bad_out"), n(even & good & (F.col(r) > c)).alias("good_out"))
+        for r, grid in risk.grid.items() for c in grid
     ))
-    sums = labelled.groupBy("stratum").agg(n(even & ~good).alias("bad"), n(even & good).alias("good"), n(~even & good).alias("n"), per.alias("tests"))
-    strata = Window.partitionBy()
-    flat = sums.withColumn("m", F.count("*").over(strata) * len(risk.grid)).select("stratum", "bad", "good", "n", "m", F.inline("tests"))
-    gain = F.col("bad_out") / F.greatest("bad", F.lit(1)) - F.col("good_out") / F.greatest("good", F.lit(1))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("cutoff"))
-    chosen = flat.withColumn("gain", gain).withColumn("_r", F.row_number().over(best)).where("_r = 1 AND bad_out > 0 AND gain > 0 AND n > 0")
-    return chosen.where(binomial_tail(F.col("k"), F.col("n"), risk.alpha) <= risk.delta / F.col("m")).select("stratum", "rule", "cutoff")
+    sums = known.groupBy("stratum").agg(n(even & ~good).alias("bad"), n(even & good).alias("good"), n(~even & good).alias("n"), pairs.alias("pairs"))
+    flat = sums.select("stratum", "n", "bad", "good", F.inline("pairs"))
+    lost = F.col("good_out") / F.greatest("good", F.lit(1))
+    flat = flat.withColumn("lost", lost).where((F.col("bad_out") / F.greatest("bad", F.lit(1)) > lost) & (F.col("n") > 0))
+    order = Window.partitionBy("stratum").orderBy("lost", F.desc("bad_out"), "rule", F.desc("cutoff"))
+    tests = materialize(flat.withColumn("place", F.row_number().over(order)).select("stratum", "n", "rule", "cutoff", "place"), "tests")
+    # a holdout document is rejected from the first place on whose rule rejects it
+    listed = tests.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cutoff", "place")).alias("tests"))
+    held = known.where(~even & good).select(F.col("stratum").alias("s"), *rules)
+    value = lambda t: F.coalesce(*(F.when(t["rule"] == r, F.col(r)) for r in rules))
+    first = F.array_min(F.transform("tests", lambda t: F.when(value(t) > t["cutoff"], t["place"])))
+    out = held.join(listed, F.col("s").eqNullSafe(F.col("stratum"))).groupBy("stratum", first.alias("place")).agg(F.count("*").alias("out"))
+    t, o = tests.alias("t"), out.where("place IS NOT NULL").alias("o")
+    lines = t.join(o, F.col("t.stratum").eqNullSafe(F.col("o.stratum")) & (F.col("t.place") == F.col("o.place")), "left").select("t.*", F.coalesce("out", F.lit(0)).alias("out"))
+    k = F.sum("out").over(Window.partitionBy("stratum").orderBy("place"))  # grows with the place, and the tail with it: failures come last
+    passed = lines.withColumn("k", k).where(binomial_tail(F.col("k"), F.col("n"), risk.alpha) <= risk.delta / max(1, m))
+    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk, kept: list[str]) -> DataFrame:
-    """The ``kept`` columns of ``docs`` with the base counts, base_failed and kept_by_rules; see ``judge``."""
+    """The ``kept`` columns of ``docs`` with the base counts, base_failed and kept; see ``judge``. Texts are measured once, and what
+    is kept of the rows is written with their measures, so a row's verdict never depends on a number.
+    """
     rules = list(risk.grid)
     columns = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(kept)]
-    d = measure(docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("lang").alias("stratum"), F.col("text").alias("text")))
-    # a filter on a verdict must not be moved below the measures, where each use would compute them anew; Catalyst moves
-    # none below a column that isn't deterministic and is used
-    d = d.withColumn("_row", F.monotonically_increasing_id())
-    narrow = materialize(d.select("_doc", "stratum", *rules), "quality-values") if len(kept) > 1 else None
-    d = materialize(d, "quality") if narrow is None else d
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    values = (d if narrow is None else narrow).select(F.col("_doc").alias("doc_id"), "stratum", *rules)
-    chosen = cutoffs(values.join(marks, "doc_id"), risk)
+    d = materialize(measure(docs.select(*columns, F.col("doc_id").alias("_doc"), F.col("lang").alias("stratum"), F.col("text").alias("text"))), "quality")
+    marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("quality").alias("quality"))
+    chosen = cutoffs(d.select("_doc", "text_key", "stratum", "base_failed", *rules).join(marks, "_doc"), risk)
     table = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in rules))
     out = d.alias("d").join(materialize(table, "cutoffs").alias("c"), F.col("d.stratum").eqNullSafe(F.col("c.stratum")), "left")
     rejected = F.lit(False)
     for r in rules:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
     back = [F.col(f"in_{k}").alias(c) for k, c in enumerate(kept)]
-    return out.select(*back, *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "_row")
+    return out.select(*back, *(F.col(c).alias(f"_{c}") for c in COUNTS), F.col("base_failed").alias("_base_failed"), (~F.col("base_failed") & ~rejected).alias("_kept"))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -161,11 +170,13 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataF
     a stratum of its own; without labels, or with too few, no rule is certified and the base test alone decides. Rows
     with the same doc_id, equal rows and null numbers are judged each by its own text. Empty tables give an empty table.
     """
-    return verdicts(docs, labels, risk or Risk(), ["doc_id"]).drop("_row")
+    out = verdicts(docs, labels, risk or Risk(), ["doc_id"])
+    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in [*COUNTS, "base_failed", "kept"]))
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are scanned once for the rules' values and once
-    for the verdict, and never shuffled.
-    """
-    return verdicts(docs, labels, risk or Risk(), docs.columns).where("kept AND _row >= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are measured in one scan and never shuffled."""
+    columns = docs.columns
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)), "doc_id", "lang", "text")
+    out = verdicts(inner, labels, risk or Risk(), [f"c{k}" for k in range(len(columns))]).where("_kept")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))

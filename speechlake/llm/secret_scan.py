@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import before, let, materialize
 
 #: Patterns of the base kinds, and the least length of the group that decides.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,23 +30,25 @@ SCOPE = 400
 
 def matches(text: Column, pattern: str) -> Column:
     """Spans (start, end) of the leftmost non-overlapping matches, in code points: what lies between them gives the starts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
-    pairs = F.zip_with(F.transform(found, lambda x: F.length(x)), F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(g.alias("g"), m.alias("m")))
-    walked = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.array_append(a["out"], span(a["at"] + x["g"], a["at"] + x["g"] + x["m"])).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    span = lambda a, m: F.struct(a.cast("int").alias("start"), (a + m).cast("int").alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
+        pairs = F.zip_with(F.transform(found, lambda x: F.length(x)), F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(g.alias("g"), m.alias("m")))
+        return let(pairs, lambda p: F.zip_with(p, before(F.transform(p, lambda x: (x["g"] + x["m"]).cast("long"))), lambda x, b: span(b + x["g"], x["m"])))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def assigned(text: Column) -> Column:
     """Spans of assignments whose value has 12 characters or more; shorter ones are passed over but still consumed."""
-    value = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    paired = F.zip_with(matches(text, ASSIGN), value, lambda s, v: F.struct(s.alias("s"), (F.length(v) >= 12).alias("ok")))
-    return F.transform(F.filter(paired, lambda x: x["ok"]), lambda x: x["s"])
+
+    def long_enough(spans: Column) -> Column:
+        paired = F.zip_with(spans, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda s, v: F.struct(s.alias("s"), (F.length(v) >= 12).alias("ok")))
+        return F.transform(F.filter(paired, lambda x: x["ok"]), lambda x: x["s"])
+
+    return let(matches(text, ASSIGN), lambda spans: F.when(F.size(spans) > 0, long_enough(spans)).otherwise(spans))
 
 
 def _tagged(spans: Column, kind: int) -> Column:

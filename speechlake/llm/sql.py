@@ -49,26 +49,33 @@ g AS (
 r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS k FROM g) WHERE k > 1),
 c AS (SELECT id, sum(least(8, coalesce(i - p, 8))) AS n FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM r) GROUP BY 1),
 b AS (
-  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  SELECT doc_id, lang, md5(t) AS key, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN c USING (id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in value.items())} FROM b),
-y AS (SELECT m.*, q.quality FROM m JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id) WHERE q.quality IS NOT NULL),
-x AS (SELECT lang, quality, doc_id % 2 = 0 AS even, rule, cutoff, CASE rule {pick} END > cutoff AS hit FROM y, (VALUES {tests}) v(rule, cutoff)),
+j AS (SELECT m.*, q.quality FROM m JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id) WHERE q.quality IS NOT NULL),
+y AS (SELECT lang, key, left(key, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS even, min(quality) AS quality, {", ".join(f"max({r}) AS {r}" for r in risk.grid)} FROM j WHERE NOT base_failed GROUP BY 1, 2),
+x AS (SELECT lang, quality, even, rule, cutoff, key, CASE rule {pick} END > cutoff AS hit FROM y, (VALUES {tests}) v(rule, cutoff)),
 s AS (
-  SELECT lang, rule, cutoff, count(*) FILTER (even AND quality <> 1) AS bad, count(*) FILTER (even AND quality = 1) AS good,
-    count(*) FILTER (NOT even AND quality = 1) AS n, count(*) FILTER (even AND quality <> 1 AND hit) AS bad_out,
-    count(*) FILTER (even AND quality = 1 AND hit) AS good_out, count(*) FILTER (NOT even AND quality = 1 AND hit) AS k
-  FROM x GROUP BY ALL),
+  SELECT lang, rule, cutoff, count(*) FILTER (even AND quality <> 1) AS bad, count(*) FILTER (even AND quality = 1) AS good, count(*) FILTER (NOT even AND quality = 1) AS n,
+    count(*) FILTER (even AND quality <> 1 AND hit) AS bad_out, count(*) FILTER (even AND quality = 1 AND hit) AS good_out FROM x GROUP BY ALL),
 z AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, cutoff DESC) AS r, (SELECT count(*) FROM (SELECT DISTINCT lang FROM y)) * {len(risk.grid)} AS m
-  FROM (SELECT *, bad_out / greatest(bad, 1) - good_out / greatest(good, 1) AS gain FROM s)),
-d AS (
-  SELECT lang, {limits} FROM z WHERE r = 1 AND bad_out > 0 AND gain > 0 AND n > 0 AND list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk.alpha}) + (n - i) * ln(1 - {risk.alpha})))) <= {risk.delta} / m
-  GROUP BY 1)
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY good_out / greatest(good, 1), bad_out DESC, rule, cutoff DESC) AS place
+  FROM s WHERE bad_out / greatest(bad, 1) > good_out / greatest(good, 1) AND n > 0),
+o AS (
+  SELECT lang, place, count(*) AS k FROM (
+    SELECT x.lang, x.key, min(z.place) AS place FROM x JOIN z ON x.lang IS NOT DISTINCT FROM z.lang AND x.rule = z.rule AND x.cutoff = z.cutoff
+    WHERE hit AND NOT even AND quality = 1 GROUP BY 1, 2) GROUP BY 1, 2),
+q AS (
+  SELECT z.lang, z.rule, z.cutoff, z.n, sum(coalesce(o.k, 0)) OVER (PARTITION BY z.lang ORDER BY z.place) AS k
+  FROM z LEFT JOIN o ON z.lang IS NOT DISTINCT FROM o.lang AND z.place = o.place),
+a AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM q WHERE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
+    lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk.alpha}) + (n - i) * ln(1 - {risk.alpha}))))
+    <= {risk.delta} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM j)) GROUP BY 1, 2),
+d AS (SELECT lang, {limits} FROM a GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({hit}) AS kept
 FROM m LEFT JOIN d ON m.lang IS NOT DISTINCT FROM d.lang"""
 
@@ -92,11 +99,11 @@ FROM e GROUP BY 1"""
 
 
 def op2() -> str:
-    return """
-WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+    return r"""
+WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\x00-\x20]', '%20', 'g') AS u, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 f AS (SELECT d, n, max(page_id) AS f FROM p WHERE n >= 1000 GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f <> page_id THEN f END AS refers_to
+  CASE WHEN f <> page_id THEN f END AS refers_to, u AS target_uri, CAST(3 AS BIGINT) AS n_records
 FROM p LEFT JOIN f USING (d, n)"""
 
 
