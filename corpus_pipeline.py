@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's rows as Parquet into the shared
-folder and reads them back as the next one's documents. All but the last return the columns of documents. A row of
-``documents`` is one document; rows without a doc_id are kept by the joins on it where nothing is said against them.
+folder and reads them back as the next one's documents. All but the last return the columns of documents; other columns are
+dropped. In every stage a row is a document of its own, judged by its own text whatever its doc_id: rows that share a number, or have
+none, never speak for each other. A null text counts as empty, and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each class of linked documents the one with the smallest doc_id stays."""
-    classes = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Operator 5: of each class of linked documents the one with the smallest doc_id (null last) stays; texts without words all stay."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +36,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one row per document and pass for what the mix takes of it; a row's text is whole, or the runs of blocks taken."""
+    """Operator 1: one row per document, pass and run of blocks that the mix takes of it; a row's text is whole, or a run's words.
+    Texts without words are in no block, and so in no row."""
     return mixing.mixed_documents(docs.select(*COLUMNS), mixing.Mix()).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the documents with shard and slot, in contiguous shards of near-equal bytes."""
+    """Operator 3: every row, with shard and slot, in contiguous shards of near-equal bytes; equal rows are interchangeable."""
     d = docs.select(*COLUMNS, sharding.text_size(F.col("text")).alias("size"), sharding.text_crc32(F.col("text")).alias("text_crc32"))
     return sharding.shard_by_bytes(d, ["doc_id", "text_crc32"], "size", SHARDS)
 
