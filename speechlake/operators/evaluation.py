@@ -7,9 +7,10 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_text, parse_clock, round6
+from ..functions.scalars import let, normalize_text, parse_clock, round6
 from .intervals import detect_overlaps, range_join
 
+#: The transcript's line grammar (fixed values).
 LINE = "^\\[([^\\]]+?)\\s*-->\\s*([^\\]]+?)\\]\\s*(.+)$"
 BODY = "^([^:：]{1,80})[:：]\\s*(.+)$"
 
@@ -81,20 +82,99 @@ def cp2(r1: Column, r2: Column, h: Column) -> Column:
     return F.least(F.levenshtein(F.concat(r1, r2), h), F.levenshtein(F.concat(r2, r1), h))
 
 
-def pit(refs: list[str], hyps: list[str], distance) -> tuple[int, list[int]]:
-    """TX-08 for any number of speakers: least distance and the first assignment with it."""
-    hyps = hyps + [""] * (len(refs) - len(hyps))
-    best = min(permutations(range(len(hyps))), key=lambda o: sum(distance(r, hyps[o[i]]) for i, r in enumerate(refs)))
-    return sum(distance(r, hyps[best[i]]) for i, r in enumerate(refs)), list(best)
+def _distances(refs: Column, hyps: Column) -> Column:
+    return F.transform(refs, lambda r: F.transform(hyps, lambda h: F.levenshtein(r, h)))
+
+
+def pit(refs: Column, hyps: Column) -> Column:
+    """TX-08 for any number of speakers: struct (distance, assignment) of arrays of texts; missing hypotheses are empty ones.
+
+    Over sets of used hypotheses (bits of a number) the least distance of the references so far, reference by reference; of equal
+    ones the assignment that comes first in order. Hypotheses left over cost nothing.
+    """
+    full = F.concat(hyps, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.size(refs) - F.size(hyps))))
+    state = "array<struct<d:int,a:array<int>>>"
+    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
+
+    def steps(hs: Column) -> Column:
+        sets = F.sequence(F.lit(0), bit(F.size(hs)) - 1)
+        begin = F.transform(sets, lambda m: F.when(m == 0, F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("a")))).cast(state)
+
+        def add(dp: Column, row: Column) -> Column:
+            def best(m: Column) -> Column:
+                def via(j: Column) -> Column:
+                    prior = F.get(dp, m - bit(j))
+                    used = F.when(m.bitwiseAND(bit(j)) != 0, prior["d"])
+                    return F.when(used.isNotNull(), F.struct((used + F.get(row, j)).cast("int").alias("d"), F.concat(prior["a"], F.array(j)).alias("a")))
+
+                return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size(hs) - 1), via), lambda x: x.isNotNull()))
+
+            return F.transform(sets, best).cast(state)
+
+        done = F.aggregate(_distances(refs, hs), begin, add)
+        return F.array_min(F.filter(done, lambda x: x.isNotNull()))
+
+    found = let(full, lambda hs: F.when(F.size(hs) > 0, steps(hs)))
+    found = F.coalesce(found, F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("a")))
+    return let(found, lambda x: F.struct(x["d"].cast("long").alias("distance"), x["a"].alias("assignment")))
+
+
+MOST_ORDERS = 6  # speakers whose orders are all written out
+
+
+def cp(refs: Column, hyp: Column) -> Column:
+    """TX-09: least distance of one hypothesis to the references in any order. All orders are tried, so their number is bounded: up to
+    six speakers at once, an error beyond."""
+    orders = [F.array(*(F.array(*map(F.lit, o)) for o in permutations(range(n)))) for n in range(1, MOST_ORDERS + 1)]
+    listed = F.lit(None).cast("array<array<int>>")
+    for n, o in reversed(list(enumerate(orders, 1))):
+        listed = F.when(F.size(refs) == n, o).otherwise(listed)
+    listed = F.when(F.size(refs) > MOST_ORDERS, F.raise_error(F.lit("too many speakers for all orders of their texts"))).otherwise(listed)
+    tried = F.transform(listed, lambda o: F.levenshtein(F.array_join(F.transform(o, lambda i: F.get(refs, i)), ""), hyp))
+    return F.coalesce(F.array_min(tried), F.length(hyp)).cast("long")
+
+
+def reference_text(rows: DataFrame, key: str, order: str, text: str = "normalized_text") -> DataFrame:
+    """TX-07: a recording's normalised rows in order, as one text."""
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))).alias("r"))
+    return g.select(key, F.array_join(F.transform("r", lambda x: x["t"]), "").alias("reference_text"))
+
+
+def evaluate_cases(cases: DataFrame) -> DataFrame:
+    """EV-05: the metrics of each case, with its columns: references (array of texts), mixture (the text of the mixed sound), stems (array
+    of the separated texts), added (text that the gate let in), gate_accepted. Texts are normalised already.
+
+    Rejected cases keep the mixture's text, accepted ones add to it. Rates per case come from ``case_summary``.
+    """
+    refs, all_refs = F.col("references"), F.array_join("references", "")
+    after = F.when(F.col("gate_accepted"), F.concat("mixture", F.coalesce("added", F.lit("")))).otherwise(F.col("mixture"))
+    d = cases.withColumn("_p", pit(refs, F.col("stems"))).withColumns({
+        "reference_chars": F.length(all_refs).cast("long"), "mixture_distance": cp(refs, F.col("mixture")), "separated_distance": F.col("_p.distance"), "assignment": F.col("_p.assignment"),
+        "matched_before": shared_chars(all_refs, F.col("mixture")), "matched_after": shared_chars(all_refs, after),
+        "added_chars": (F.length(after) - F.length("mixture")).cast("long"),
+    })
+    return d.withColumn("recovered_chars", F.col("matched_after") - F.col("matched_before")).drop("_p")
+
+
+def clean_remap(cases: DataFrame, metrics: list[str]) -> DataFrame:
+    """AG-07: one row: the sums of the metrics over cases that have them against clean references (``clean_`` columns), and how many lack them."""
+    there = F.lit(True)
+    for m in metrics:
+        there = there & F.col(f"clean_{m}").isNotNull()
+    return cases.agg(F.count_if(there).alias("cases"), F.count_if(~there).alias("skipped"), *(F.coalesce(F.sum(F.when(there, F.col(f"clean_{m}"))), F.lit(0)).alias(m) for m in metrics))
+
+
+def shared_chars(ref: Column, hyp: Column) -> Column:
+    """SO-03: size of the multiset intersection of two texts' characters. How often one occurs is what removing it takes away."""
+    often = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    kinds = F.filter(F.array_distinct(F.split(ref, "")), lambda c: c != "")
+    return F.aggregate(kinds, F.lit(0).cast("long"), lambda a, c: a + F.least(often(ref, c), often(hyp, c)))
 
 
 def char_coverage(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """TX-10, SO-03/04: multiset overlap of characters per pair, counted on both sides in one aggregation by (key, character)."""
-    chars = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
-    sides = F.concat(F.transform(chars(ref), lambda x: F.struct(x.alias("c"), F.lit(1).alias("r"), F.lit(0).alias("h"))), F.transform(chars(hyp), lambda x: F.struct(x.alias("c"), F.lit(0).alias("r"), F.lit(1).alias("h"))))
-    per = pairs.select(key, F.inline_outer(sides)).groupBy(key, "c").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    out = per.groupBy(key).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("r", "reference_chars"), ("h", "hypothesis_chars"))), F.coalesce(F.sum(F.least("r", "h")), F.lit(0)).alias("matched"))
-    return rates(out)
+    """TX-10, SO-03/04: multiset overlap of characters per row (key, ref, hyp), within the row; null texts count as empty."""
+    r, h = (F.coalesce(F.col(c), F.lit("")) for c in (ref, hyp))
+    return rates(pairs.select(key, F.length(r).cast("long").alias("reference_chars"), F.length(h).cast("long").alias("hypothesis_chars"), shared_chars(r, h).alias("matched")))
 
 
 def rates(df: DataFrame) -> DataFrame:

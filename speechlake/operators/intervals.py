@@ -42,10 +42,20 @@ def islands(df: DataFrame, tolerance: float, key: str = "recording_id") -> DataF
     return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_fresh")
 
 
-def merge(df: DataFrame, tolerance: float = 0.02, key: str = "recording_id") -> DataFrame:
-    """IV-07: (key, start_s, end_s) of the merged intervals."""
-    out = islands(df.select(key, "start_s", "end_s"), tolerance, key)
-    return out.groupBy(key, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("island")
+def merge(df: DataFrame, tolerance: float = 0.02, key: str = "recording_id", span: float = 600.0) -> DataFrame:
+    """IV-07: (key, start_s, end_s) of the merged intervals.
+
+    First within stretches of ``span`` seconds, by where intervals start, then what that leaves: a long recording's intervals are sorted in
+    many tasks, and the window over all of it sees merged ones only. What is merged early would be merged anyway.
+    """
+    d = df.select(key, "start_s", "end_s").withColumn("_part", F.floor(F.col("start_s") / span))
+    for by in ([key, "_part"], [key]):
+        w = Window.partitionBy(*by).orderBy("start_s", "end_s")
+        covered = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("_fresh", F.when(F.col("start_s") <= covered + tolerance, 0).otherwise(1))
+        d = d.withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        d = d.groupBy(*by, "_run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_run")
+    return d
 
 
 def overlap_pairs(tracks: DataFrame, least: float = 0.08) -> DataFrame:
@@ -130,20 +140,19 @@ def separation_windows(intervals: DataFrame, durations: DataFrame, gap: float =
 
 
 def subtract(tracks: DataFrame, holes: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pieces of tracks outside the (disjoint) holes, ``least`` seconds or longer; columns of the tracks are kept."""
-    j = range_join(tracks.withColumn("_t", F.monotonically_increasing_id()), holes)
+    """Pieces of tracks outside the (disjoint) holes, ``least`` seconds or longer; columns of the tracks are kept, and so are equal rows."""
     names = [c for c in tracks.columns if c not in ("start_s", "end_s")]
-    # a track's holes are sorted within its own row; between them lie its pieces
-    cut = j.groupBy("_t", *names, "start_s", "end_s").agg(F.sort_array(F.collect_list(F.struct(F.col("r_start_s").alias("a"), F.col("r_end_s").alias("b")))).alias("h"))
+    hole = F.struct(F.col("r_start_s").alias("a"), F.col("r_end_s").alias("b"))
+    met = range_join(tracks, holes).select(*names, "start_s", "end_s", hole.alias("h"), F.lit(0).alias("n"))
+    own = tracks.select(*names, "start_s", "end_s", F.lit(None).cast("struct<a:double,b:double>").alias("h"), F.lit(1).alias("n"))
+    # a track's holes are sorted within its own row; between them lie its pieces. Equal rows share them and are repeated after
+    cut = met.unionByName(own).groupBy(*names, "start_s", "end_s").agg(F.sort_array(F.collect_set("h")).alias("h"), F.sum("n").alias("n"))
     h = F.col("h")
-    pieces = F.concat(
-        F.array(F.struct(F.col("start_s").alias("s"), h[0]["a"].alias("e"))),
-        F.transform(h, lambda x, i: F.struct(x["b"].alias("s"), F.coalesce(F.try_element_at(h, i + 2)["a"], F.col("end_s")).alias("e"))),
-    )
-    inside = cut.select(*names, F.inline(pieces)).withColumnRenamed("s", "start_s").withColumnRenamed("e", "end_s")
-    key = [*names, "start_s", "end_s"]
-    untouched = tracks.join(j.select(*key).distinct(), key, "left_anti")
-    return inside.unionByName(untouched.select(*inside.columns)).where(F.col("end_s") - F.col("start_s") >= least)
+    edge = lambda i, f, other: F.coalesce(F.get(h, i)[f], other)
+    pieces = F.transform(F.sequence(F.lit(0), F.size(h)), lambda i: F.struct(F.when(i == 0, F.col("start_s")).otherwise(edge(i - 1, "b", F.col("start_s"))).alias("s"), edge(i, "a", F.col("end_s")).alias("e")))
+    out = cut.where("end_s > start_s OR n > 0").select(*names, "n", F.inline(pieces)).withColumnRenamed("s", "start_s").withColumnRenamed("e", "end_s")
+    out = out.where(F.col("end_s") - F.col("start_s") >= least)
+    return out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
 
 
 def anchors(windows: DataFrame, tracks: DataFrame, holes: DataFrame, radius: float = 6.0, least: float = 0.6, most: float = 3.0, top: int = 2) -> DataFrame:
@@ -208,3 +217,62 @@ def decode_window(start: Column, duration: Column, context: Column) -> dict[str,
     d, c = clamp(duration, 10.0, 180.0, 60.0), clamp(context, 0.0, 3.0, 1.5)
     at = F.greatest(F.lit(0.0), s - c)
     return {"decode_start": at, "decode_duration": s - at + d + c, "selection_start": s - at, "selection_end": s - at + d}
+
+
+def sample_index(sec: Column, total: Column | None = None, rate: int = 16000) -> Column:
+    """IV-13: the sample at a time, rounded half up, within 0 .. total."""
+    at = F.greatest(F.lit(0), F.floor(sec * rate + 0.5))
+    return at if total is None else F.least(at, total)
+
+
+def local_parts(windows: DataFrame, speech: DataFrame, most: float = 4.0, around: float = 0.15, least: float = 0.04, alone: float = 0.25) -> DataFrame:
+    """IV-14: (recording_id, idx, part_no, start_s, end_s): pieces of a window's speech, in its own seconds, that touch its overlap.
+
+    windows (recording_id, idx, start_s, end_s, overlap_start, overlap_end); speech (recording_id, idx, seg_id, start_s, end_s), local already.
+    A window without any gets the overlap itself, if that is ``alone`` seconds long.
+    """
+    key = ["recording_id", "idx"]
+    local = windows.select(*key, F.greatest(F.lit(0.0), F.col("overlap_start") - F.col("start_s") - around).alias("o0"), F.least(F.col("end_s") - F.col("start_s"), F.col("overlap_end") - F.col("start_s") + around).alias("o1"))
+    cut = strict_split(speech.select(*key, "seg_id", "start_s", "end_s"), most).join(local, key)
+    cut = cut.where(round6(F.least("end_s", "o1") - F.greatest("start_s", "o0")) >= least)
+    rest = local.join(cut.select(*key).distinct(), key, "left_anti").where(round6(F.col("o1") - F.col("o0")) >= alone)
+    rest = strict_split(rest.select(*key, F.lit(None).cast("long").alias("seg_id"), F.col("o0").alias("start_s"), F.col("o1").alias("end_s")), most)
+    both = cut.select(*key, "seg_id", "part", "start_s", "end_s").unionByName(rest.select(*key, "seg_id", "part", "start_s", "end_s"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("start_s", "seg_id", "part"))
+    return both.select(*key, place.alias("part_no"), "start_s", "end_s")
+
+
+#: How a boundary is tried (fixed values): seconds added to start and end.
+BOUNDARIES = [(0.0, 0.0), (-0.2, 0.0), (0.0, 0.2), (-0.2, 0.2), (0.1, -0.1)]
+
+
+def boundary_variants(rows: DataFrame, key: list[str], duration: str = "duration", margin: float = 0.3, least: float = 0.1) -> DataFrame:
+    """IV-17: (key, variant, start_s, end_s): a row's range (``least`` seconds at least) widened and narrowed within what is decoded around it;
+    too short ones go, and of equal ones (to a millisecond) all but the first."""
+    a = F.greatest(F.lit(0.0), F.col("start_s"))
+    d = rows.select(*key, F.col(duration).alias("_d"), a.alias("a"), F.greatest(a + 0.1, F.col("end_s")).alias("b"))
+    tried = F.array(*(F.struct(F.lit(i).alias("variant"), F.lit(x).alias("da"), F.lit(y).alias("db")) for i, (x, y) in enumerate(BOUNDARIES)))
+    d = d.select(*key, "_d", "a", "b", F.inline(tried))
+    from_, to = F.greatest(F.lit(0.0), F.col("a") - margin), F.least(F.col("_d"), F.col("b") + margin)
+    d = d.select(*key, "variant", F.greatest(from_, F.col("a") + F.col("da")).alias("start_s"), F.least(to, F.col("b") + F.col("db")).alias("end_s"))
+    d = d.where(round6(F.col("end_s") - F.col("start_s")) >= least)
+    ms = lambda c: F.floor(F.col(c) * 1000 + 0.5)
+    n = F.row_number().over(Window.partitionBy(*key, ms("start_s"), ms("end_s")).orderBy("variant"))
+    return d.withColumn("_n", n).where("_n = 1").select(*key, "variant", round6(F.col("start_s")).alias("start_s"), round6(F.col("end_s")).alias("end_s"))
+
+
+def guard(start: Column, end: Column, least: float) -> Column:
+    """PR-11: whether a range is too short to work on: under 0.05 s a selection, under 0.1 s a separation window."""
+    return F.coalesce(round6(end - start) < least, F.lit(True))
+
+
+def work_totals(segs: DataFrame, key: str = "recording_id") -> DataFrame:
+    """AG-08: items and seconds of work per key; reversed ranges count no seconds."""
+    return segs.groupBy(key).agg(F.count("*").alias("items"), F.round(F.sum(F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))), 3).alias("seconds"))
+
+
+def range_bounds(segs: DataFrame, key: str = "recording_id", start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """AG-09: first start and last end per key, or the explicit bounds where given."""
+    none = F.lit(None).cast("double")
+    g = segs.groupBy(key).agg(F.min("start_s").alias("_a"), F.max("end_s").alias("_b"))
+    return g.select(key, F.coalesce(none if start is None else start, F.col("_a")).alias("start_s"), F.coalesce(none if end is None else end, F.col("_b")).alias("end_s"))

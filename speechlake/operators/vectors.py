@@ -17,21 +17,42 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
     return m.select(key, l2_normalize(F.transform("c", lambda s: s["x"])).alias("centroid"))
 
 
-def assign(vectors: DataFrame, cents: DataFrame, key: str, threshold: float | None = None, vec: str = "embedding") -> DataFrame:
+MOST = 1024  # centroids that travel to all tasks in one array
+
+
+def _tables(cents: DataFrame, key: str) -> list[DataFrame]:
+    """The centroids as one-row arrays of at most MOST, by their key's hash; one where there are few."""
+    parts = max(1, -(-cents.count() // (MOST // 2)))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    pack = lambda df: df.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs")).withColumn("_j", F.lit(1))
+    return [pack(cents if parts == 1 else cents.where(part == i)) for i in range(parts)]
+
+
+def assign(vectors: DataFrame, cents: DataFrame, key: str, threshold: float | None = None, vec: str = "embedding", by: list[str] | None = None) -> DataFrame:
     """VE-02/04: the nearest centroid by cosine distance, the smaller key at a tie, -1 beyond the threshold.
 
-    The centroids of a recording's speakers are a few rows; they travel as one array inside each row's join partner, and each vector
-    is compared within its row.
+    With ``by`` (such as the recording) a vector meets the centroids of its own group, in a join on it. Without, all centroids go to
+    all tasks in arrays of at most MOST, one after the other if there are more, and each vector is compared within its row.
     """
-    table = cents.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
-    v = vectors.withColumn("_j", F.lit(1)).join(F.broadcast(table.withColumn("_j", F.lit(1))), "_j", "left").drop("_j")
-    v = v.withColumn("_v", l2_normalize(F.col(vec)))
-    best = F.array_min(F.transform("cs", lambda x: F.struct(F.round(1 - dot(F.col("_v"), x["c"]), 9).alias("d"), x["k"].alias("k"))))
-    v = v.withColumn("_b", best)
+    v = vectors.withColumn("_v", l2_normalize(F.col(vec))).withColumn("_b", F.lit(None).cast("struct<d:double,k:" + dict(cents.dtypes)[key] + ">"))
+    nearest = F.array_min(F.transform("cs", lambda x: F.struct(F.round(1 - dot(F.col("_v"), x["c"]), 9).alias("d"), x["k"].alias("k"))))
+    if by:
+        table = cents.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
+        v = v.join(table, by, "left").withColumn("_b", nearest).drop("cs")
+    else:
+        for table in _tables(cents, key):
+            v = v.withColumn("_j", F.lit(1)).join(F.broadcast(table), "_j", "left").drop("_j")
+            v = v.withColumn("_b", F.array_min(F.filter(F.array("_b", nearest), lambda x: x.isNotNull()))).drop("cs")
     found = F.coalesce(F.col("_b.k"), F.lit(-1))
     if threshold is not None:
         found = F.when(F.col("_b.d") > threshold, -1).otherwise(found)
-    return v.withColumn("assigned", found.cast("int")).withColumn("distance", round6(F.col("_b.d"))).drop("cs", "_v", "_b")
+    return v.withColumn("assigned", found.cast("int")).withColumn("distance", round6(F.col("_b.d"))).drop("_v", "_b")
+
+
+def fill_cache(wanted: DataFrame, cache: DataFrame, key: list[str], compute) -> DataFrame:
+    """VE-10, CN-18: what the cache has, and what it lacks computed: only rows of ``wanted`` without a cached one go through ``compute``."""
+    have = cache.join(wanted.select(*key).distinct(), key, "left_semi")
+    return have.unionByName(compute(wanted.join(cache.select(*key).distinct(), key, "left_anti")).select(*cache.columns))
 
 
 def reassign(assigned: DataFrame, pins: DataFrame, key: str) -> DataFrame:
@@ -40,7 +61,12 @@ def reassign(assigned: DataFrame, pins: DataFrame, key: str) -> DataFrame:
 
 
 def stem_pairs(pairs: DataFrame, cents: DataFrame, key: str, limit: float = 0.75) -> DataFrame:
-    """VE-08: for two stems (id, e0, e1) the best ordered pair of distinct speakers, with a confidence for each."""
+    """VE-08: for two stems (id, e0, e1) the best ordered pair of distinct speakers, with a confidence for each.
+
+    A pair needs all speakers of one conversation side by side, so these are one array, and more than MOST of them an error.
+    """
+    if cents.count() > MOST:
+        raise ValueError(f"more than {MOST} speakers in one conversation; call this per recording")
     table = cents.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
     p = pairs.withColumn("_j", F.lit(1)).join(F.broadcast(table.withColumn("_j", F.lit(1))), "_j").drop("_j")
     far = lambda e: F.transform("cs", lambda x: F.struct(x["k"].alias("k"), F.round(1 - dot(l2_normalize(F.col(e)), x["c"]), 9).alias("d")))
