@@ -201,3 +201,23 @@ def case_summary(cases: DataFrame, groups: list[list[str]] | None = None) -> Dat
     if not groups:
         return cases.agg(*aggs)
     return cases.groupingSets([[F.col(c) for c in g] for g in groups], *cols).agg(*aggs, F.grouping_id().cast("int").alias("level"))
+
+
+def value_stats(df: DataFrame, key: str, value: str, cells: int = 1024) -> DataFrame:
+    """AG-10: (key, n, mean, median, max): the median is the upper one of two. Nothing is gathered per key.
+
+    Equal values are counted first; a table of cells between a key's least and greatest value shows in which the median lies, and only
+    the distinct values of that cell are put in order.
+    """
+    every = df.groupBy(key).agg(F.count("*").alias("_n"), F.count(value).alias("_k"), F.avg(value).alias("_mean"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    place = F.floor((F.col("_v") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * (cells - 1))
+    counted = counted.join(every.select(key, "_low", "_high", "_k"), key).withColumn("_cell", place)
+    so_far = lambda *by: Window.partitionBy(key).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.floor(F.col("_k") / 2) + 1
+    hit = counted.groupBy(key, "_cell", "_k").agg(F.sum("_c").alias("_c")).withColumn("_upto", F.sum("_c").over(so_far("_cell")))
+    hit = hit.where((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_c") < middle)).select(key, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = counted.join(hit, [key, "_cell"]).withColumn("_rank", F.col("_before") + F.sum("_c").over(so_far("_v")))
+    median = inside.where(F.col("_rank") >= middle).groupBy(key).agg(F.min("_v").alias("_median"))
+    out = every.join(median, key, "left")
+    return out.select(key, F.col("_n").alias("n"), round6(F.col("_mean")).alias("mean"), round6(F.col("_median")).alias("median"), round6(F.col("_high")).alias("max"))

@@ -1,4 +1,4 @@
-"""Sample-array operators (MA-03/04/07/08, WN-12/13, SNK-01..03, EV-07)."""
+"""Sample-array operators (MA-03/04/07/08, WN-12/13, SNK-02/03, EV-07, ST-01)."""
 
 from __future__ import annotations
 
@@ -30,16 +30,18 @@ def waveform_peaks(samples: DataFrame, key: str, vec: str, buckets: int = 1200)
     return d.groupBy(key, F.floor(F.col("i") / size).cast("int").alias("bucket")).agg(round6(F.max(F.abs("x").cast("double"))).alias("peak"))
 
 
-def peak_hold(peaks: DataFrame, key: str, order: str, peak: str, decay: float = 0.7, reach: int = 64) -> DataFrame:
-    """WN-13: peak with decay, in closed form: the largest earlier peak times decay to the power of its age.
+def peak_hold(peaks: DataFrame, key: str, order: str, peak: str, decay: float = 0.7) -> DataFrame:
+    """WN-13: peak with decay, in closed form: the largest of the peaks so far, each times decay to the power of its age.
 
-    Peaks older than ``reach`` rows have decayed below 1e-9 of themselves and can't show in six decimals of a peak up to 500.
+    The largest of log(peak) plus age does not depend on where the ages are counted from, so one running maximum over all earlier
+    rows does it, however far back the peak lies.
     """
     w = Window.partitionBy(key).orderBy(order)
     n = F.row_number().over(w)
-    near = F.collect_list(F.struct(F.col("_n").alias("i"), F.col(peak).alias("x"))).over(w.rowsBetween(-reach, 0))
-    d = peaks.withColumn("_n", n).withColumn("_near", near)
-    return d.withColumn("held", round6(F.array_max(F.transform("_near", lambda p: p["x"] * F.pow(F.lit(decay), (F.col("_n") - p["i"]).cast("double")))))).drop("_n", "_near")
+    level = F.when(F.col(peak) > 0, F.log(F.col(peak)) - F.col("_n") * F.log(F.lit(decay)))
+    d = peaks.withColumn("_n", n).withColumn("_top", F.max_by(F.struct(F.col(peak).alias("x"), F.col("_n").alias("i")), level).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.coalesce(F.col("_top.x") * F.pow(F.lit(decay), F.col("_n") - F.col("_top.i")), F.lit(0.0))
+    return d.withColumn("held", round6(held)).drop("_n", "_top")
 
 
 def pcm16_wav(samples: np.ndarray, rate: int = 16000) -> bytes:
@@ -109,3 +111,21 @@ def mix_sources(a: np.ndarray, b: np.ndarray, snr_db: float, ratio: float, lead:
     scale = 0.98 / peak if peak > 0.98 else 1.0
     x, y = x * scale, y * scale
     return {"mix": x + y, "stems": (x, y), "overlap_start": at / rate, "overlap_end": min(len(first), at + len(second)) / rate, "duration": n / rate}
+
+
+def source_shares(stems: Column) -> Column:
+    """MA-04: each stem's share of the stems' loudness; zero for silence."""
+    return let(F.transform(stems, rms), lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(r, lambda x: F.when(t > 0, x / t).otherwise(0.0))))
+
+
+def reframe(chunks: DataFrame, key: str, order: str, samples: str, size: int = 1600) -> DataFrame:
+    """ST-01: (key, frame long, samples) of exactly ``size`` samples from chunks of any length in order; the rest of a stream waits for more."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = chunks.select(key, order, F.col(samples).alias("x"), F.size(samples).alias("m")).where("m > 0")
+    d = d.withColumn("at", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("m") - 1) / size)
+    d = d.withColumn("frame", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.lit(0), F.col("frame") * size - F.col("at"))
+    cut = F.slice("x", (begin + 1).cast("int"), F.least(F.col("m") - begin, (F.col("frame") + 1) * size - F.col("at") - begin).cast("int"))
+    g = d.groupBy(key, "frame").agg(F.array_sort(F.collect_list(F.struct(F.col("at"), cut.alias("x")))).alias("p"))
+    return g.select(key, "frame", F.flatten(F.transform("p", lambda p: p["x"])).alias("samples")).where(F.size("samples") == size)

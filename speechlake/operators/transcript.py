@@ -1,4 +1,4 @@
-"""Transcript rows: same-speaker merge, exports, corrections, interpolation, and the order-dependent folds (WN, SNK, CO, CN-08/11/12/15)."""
+"""Transcript rows: same-speaker merge, exports, corrections, interpolation, and the order-dependent folds (WN, SNK-04..08, CO-02/03, CN-08, CN-10..12, CN-15)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_clock, format_time, round6, speaker_label, text_weight
-from .intervals import range_join
+from .intervals import detect_overlaps, range_join, separation_windows
 
 
 def _joined(texts: Column, stop: str = "。") -> Column:
@@ -136,51 +136,6 @@ def replace_ranges(segs: DataFrame, blocks: DataFrame, rows: DataFrame) -> DataF
     return a.unionByName(b)
 
 
-def _overlap(a, b) -> float:
-    return max(0.0, min(a["end_s"], b["end_s"]) - max(a["start_s"], b["start_s"]))
-
-
-def rows_to_remove(segs: list[dict], rows: list[dict]) -> set[int]:
-    """CO-04 for one block: positions of the segments that its replacing rows take the place of."""
-    gone: set[int] = set()
-    middle = lambda x: (x["start_s"] + x["end_s"]) / 2
-    timed = [i for i, s in enumerate(segs) if s["end_s"] is not None and s["end_s"] > s["start_s"]]
-    for row in rows:
-        free = [(i, _overlap(segs[i], row)) for i in timed if i not in gone]
-        best = None
-        for i, hit in free:
-            far = abs(middle(segs[i]) - middle(row))
-            if best is None or hit > best[1] + 1e-9 or (abs(hit - best[1]) <= 1e-9 and far < best[2]):
-                best = (i, hit, far) if hit > 0 or best is None else best
-        if best is None or best[1] <= 0:
-            continue
-        chosen = [best[0]]
-        gone.add(best[0])
-        for i, hit in free:
-            if i in gone or hit < 0.05 or not row["start_s"] <= middle(segs[i]) <= row["end_s"]:
-                continue
-            shared = [(_overlap(segs[i], segs[j]), min(segs[i]["end_s"] - segs[i]["start_s"], segs[j]["end_s"] - segs[j]["start_s"])) for j in chosen]
-            if not any(x > 0.05 and x / max(0.001, short) >= 0.35 for x, short in shared):
-                chosen.append(i)
-                gone.add(i)
-    return gone
-
-
-def apply_rows(segs: DataFrame, rows: DataFrame) -> DataFrame:
-    """CO-04/05 per recording: rows (recording_id, ord, start_s, end_s, text, operation) of one block against its segments."""
-    cols = "recording_id long, start_s double, end_s double, text string, locked boolean"
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left = a.sort_values(["start_s", "end_s", "seg_id"]).to_dict("records")
-        right = b.sort_values("ord").to_dict("records")
-        gone = rows_to_remove(left, [r for r in right if r["operation"] != "insert" and r["end_s"] > r["start_s"]])
-        out = [(s["recording_id"], s["start_s"], s["end_s"], s["text"], False) for i, s in enumerate(left) if i not in gone]
-        out += [(r["recording_id"], r["start_s"], r["end_s"], r["text"], True) for r in right]
-        return pd.DataFrame(sorted(out, key=lambda x: (x[1], not x[4])), columns=["recording_id", "start_s", "end_s", "text", "locked"])
-
-    return segs.groupBy("recording_id").cogroup(rows.groupBy("recording_id")).applyInPandas(run, cols)
-
-
 def trim_repeat(before: str, text: str, most: int = 24) -> str:
     """The text without the longest beginning (2 to 24 characters) that repeats the end of the one before."""
     for n in range(min(len(before), len(text), most), 1, -1):
@@ -337,3 +292,14 @@ def separated(base: DataFrame, windows: DataFrame) -> DataFrame:
 
     kind = f"recording_id {base.schema['recording_id'].dataType.simpleString()}, window int, reason string, start_s double, end_s double, text string, separated boolean"
     return b.groupBy("recording_id").cogroup(w.groupBy("recording_id")).applyInPandas(run, kind)
+
+
+def separation_pass(tracks: DataFrame, base: DataFrame, durations: DataFrame, separate) -> DataFrame:
+    """CN-14: where speakers overlap, windows are separated, and what the gate lets in is merged into the base segments.
+
+    ``separate`` takes windows (recording_id, idx, start_s, end_s, overlap_start, overlap_end) and adds shares, corr, emb_dist and stems, as
+    ``gate_window`` has them.
+    """
+    windows = separation_windows(detect_overlaps(tracks), durations)
+    named = separate(windows).withColumnRenamed("idx", "window").withColumnRenamed("overlap_start", "core_start_s").withColumnRenamed("overlap_end", "core_end_s")
+    return separated(base, named.withColumn("window", F.col("window").cast("int")))

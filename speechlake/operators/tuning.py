@@ -1,11 +1,14 @@
-"""Tuning search: candidate grids, distances, ranking, confidence (TU-xx, MA-09..11, AG-12, CF-02/03)."""
+"""Tuning search: candidate grids, distances, ranking, confidence (TU-01..05, MA-09..11, AG-12, CF-02/03)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, round6
+from ..functions.scalars import clamp, edit_stats_udf, normalize_text, round6, score
+from .transcript import best_candidate
 
 #: Detection presets (fixed values): most seconds, least silence, least speech, threshold, overlap-aware.
 PRESETS = {"standard": (6.0, 0.2, 0.15, 0.5, False), "conversation": (3.0, 0.1, 0.2, 0.7, True), "interview": (3.0, 0.1, 0.15, 0.2, True), "lecture": (8.0, 0.35, 0.15, 0.45, False)}
@@ -84,3 +87,67 @@ def confidence(cands: DataFrame, key: str) -> DataFrame:
     d = cands.withColumns({"_n": F.row_number().over(w), "_next": F.lead("score").over(w)}).where("_n = 1")
     margin = F.coalesce(round6(F.col("score") - F.col("_next")), F.lit(0.0))
     return d.select(key, "score", margin.alias("margin"), F.when((F.col("accuracy") >= 0.8) & (margin >= 0.03), "high").when(F.col("accuracy") >= 0.55, "medium").otherwise("low").alias("confidence"))
+
+
+def processing_cost(overlap: Column, denoise: Column) -> Column:
+    """MA-10: what a setting costs to run; separate speakers count two."""
+    return F.when(F.coalesce(overlap, F.lit(False)), 2.0).otherwise(0.0) + F.coalesce(denoise, F.lit(0.0))
+
+
+def _accuracy(d: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """``d`` with weighted, length and deletions of the edit from ``ref`` to ``hyp``."""
+    d = d.withColumn("_s", edit_stats_udf(ref, hyp))
+    return d.withColumns({"weighted": score(F.col("_s"), F.col(ref), F.col(hyp))["weighted_errors"], "length": F.length(ref), "deletions": F.col("_s.deletions")}).drop("_s")
+
+
+def speaker_accuracy(references: DataFrame, hypotheses: DataFrame, key: list[str]) -> DataFrame:
+    """TU-03: (key, speaker_accuracy) over rows (key.., speaker, ord, text), hypotheses by the reference speaker that they are mapped to.
+
+    Errors are summed over a group's reference speakers before the rate is taken; null for groups of fewer than two, and where no
+    hypothesis is mapped. Texts are normalised here.
+    """
+    joined = lambda df, name: (
+        df.where("speaker IS NOT NULL").withColumn("_t", normalize_text(F.col("text"), False)).groupBy(*key, "speaker")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_t"))), lambda x: x["_t"]), "").alias(name))
+    )
+    pairs = joined(references, "ref").where("ref != ''").join(joined(hypotheses, "hyp"), [*key, "speaker"], "left")
+    scored = _accuracy(pairs.withColumn("mapped", F.col("hyp").isNotNull()).withColumn("hyp", F.coalesce("hyp", F.lit(""))), "ref", "hyp")
+    rate = F.greatest(F.lit(0.0), 1 - F.sum("weighted") / F.greatest(F.lit(1), F.sum("length")))
+    return scored.groupBy(*key).agg(F.when((F.count("*") >= 2) & F.max("mapped"), round6(rate)).alias("speaker_accuracy"))
+
+
+Recognize = Callable[[DataFrame], DataFrame]
+
+
+def evaluate(candidates: DataFrame, references: DataFrame, recognize: Recognize) -> DataFrame:
+    """TU-04: candidates (job_id, candidate, seed_distance, options) with accuracy, deletion_rate, cost and score.
+
+    ``references`` (job_id, reference: normalised text). ``recognize`` takes the candidates and gives (job_id, candidate, text) and, if it
+    can, speaker_accuracy and boundary_accuracy; equal options of a job are recognised once by the grids, which have them once.
+    """
+    heard = recognize(candidates)
+    for c in ("speaker_accuracy", "boundary_accuracy"):
+        heard = heard if c in heard.columns else heard.withColumn(c, F.lit(None).cast("double"))
+    d = candidates.join(heard, ["job_id", "candidate"]).join(references, "job_id")
+    d = _accuracy(d.withColumn("_h", normalize_text(F.col("text"), False)), "reference", "_h")
+    n = F.greatest(F.lit(1), F.col("length"))
+    d = d.withColumns({"accuracy": round6(F.greatest(F.lit(0.0), 1 - F.col("weighted") / n)), "deletion_rate": round6(F.col("deletions") / n), "cost": processing_cost(F.col("overlap"), F.col("denoise"))})
+    d = d.withColumn("score", rank_score(F.col("accuracy"), F.col("speaker_accuracy"), F.col("boundary_accuracy")))
+    return d.select("job_id", "candidate", *FIELDS, "seed_distance", "accuracy", "deletion_rate", "cost", "score")
+
+
+def tune(current: DataFrame, references: DataFrame, recognize: Recognize, speaker_count: int = 1) -> DataFrame:
+    """TU-05: one row per job: the chosen options, their score, its gain over the job's current settings, and the confidence.
+
+    The coarse grid is tried, then a finer one around its best; the best of both wins. ``current`` (job_id, options).
+    """
+    coarse = coarse_grid(current, speaker_count).drop("label")
+    tried = evaluate(coarse, references, recognize).withColumn("ord", F.col("candidate"))
+    best = best_candidate(tried, "job_id")
+    finer = refine_grid(best.select("job_id", *FIELDS), coarse)
+    again = evaluate(finer, references, recognize).withColumn("ord", F.col("candidate") + 100)
+    every = tried.unionByName(again)
+    won = best_candidate(every, "job_id").select("job_id", *FIELDS, "ord", F.col("score").alias("best_score"), F.col("accuracy").alias("best_accuracy"))
+    own = tried.where("candidate = 1").select("job_id", F.col("score").alias("own_score"))
+    out = won.join(own, "job_id").join(confidence(every, "job_id").select("job_id", "confidence"), "job_id")
+    return out.select("job_id", *FIELDS, "ord", "best_score", "best_accuracy", round6(F.col("best_score") - F.col("own_score")).alias("improvement"), "confidence")

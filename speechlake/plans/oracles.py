@@ -83,7 +83,7 @@ where {R("end_s - start_s - 2 * 0.12e0")} between 0.8e0 and 6e0 and trim(speaker
   select 1 from v_utt b where b.recording_id = a.recording_id and b.speaker <> a.speaker and trim(b.speaker) <> '' and b.end_s > b.start_s and b.end_s > a.start_s and b.start_s < a.end_s)""")
 add("speaker_argmax_overlap", ["v_seg"], f"""select recording_id, seg_id, best_id, overlap_s from (select a.recording_id, a.seg_id, b.seg_id as best_id, {R("least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)")} as overlap_s,
   row_number() over (partition by a.recording_id, a.seg_id order by {R("least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)")} desc, {R("abs(a.start_s + a.end_s - b.start_s - b.end_s) / 2")}, b.seg_id) as n
-  from v_seg a join v_seg b on a.recording_id = b.recording_id and a.speaker = 0 and b.speaker = 1 and a.end_s > b.start_s and a.start_s < b.end_s) where n = 1""")
+  from v_seg a join v_seg b on a.recording_id = b.recording_id and a.speaker % 2 = 0 and b.speaker % 2 = 1 and a.end_s > b.start_s and a.start_s < b.end_s) where n = 1""")
 add("tune_speaker_scores", ["v_seg"], """select a.recording_id, a.speaker as cluster, b.speaker as label, round(sum(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)), 3) as score
 from v_seg a join v_seg b on a.recording_id = b.recording_id and a.speaker < 2 and b.speaker >= 2 and a.end_s > b.start_s and a.start_s < b.end_s group by 1, 2, 3""")
 add("boundary_iou", ["v_seg"], f"""select v.recording_id, v.seg_id, {R("coalesce(iou, 0e0)")} as iou from v_seg v left join (select a.recording_id, a.seg_id,
@@ -121,11 +121,11 @@ won as (select * exclude (n) from (select *, row_number() over (partition by {ke
 add("consensus_vote", ["v_cand"], f"select group_id, ord, text, {R('consensus')} as consensus, votes from won", vote("v_cand", "group_id"))
 add("expansion_needed", ["v_cand"], "select group_id from (select distinct group_id from v_cand) left join won using (group_id) where consensus is null or consensus < 0.55e0 or votes < 2", vote("v_cand", "group_id"))
 add("finalize_groups", ["v_cand"], """select group_id, repair_id, text, true as recovered from ok union all
-select group_id, null, trim(text), false from v_cand where ord = 3 and trim(text) <> '' and group_id not in (select group_id from ok)""", "c2 as (select *, ord % 2 as repair_id from v_cand),\n" + vote("c2", "group_id, repair_id") + """,
+select group_id, null, trim(text), false from v_cand where ord = 3 and trim(text) <> '' and not exists (select 1 from ok where ok.group_id = v_cand.group_id)""", "c2 as (select *, ord % 2 as repair_id from v_cand),\n" + vote("c2", "group_id, repair_id") + """,
 w as (select group_id, repair_id, (group_id + repair_id) % 3 as speaker, consensus, 0.4e0 + (group_id % 7) * 0.2e0 * (repair_id + 0.5e0) as span_s, text from won),
 cv as (select *, sum(span_s) over (partition by group_id, speaker) as cover from w),
 cm as (select *, max(cover) over (partition by group_id) as most, count(*) over (partition by group_id) as n from cv),
-ok as (select group_id, repair_id, text from cm where consensus >= 0.34e0 and span_s >= 0.45e0 and (n = 1 or cover >= most * 0.45e0))""")
+ok as materialized (select group_id, repair_id, text from cm where consensus >= 0.34e0 and span_s >= 0.45e0 and (n = 1 or cover >= most * 0.45e0))""")
 add("reject_reason_histogram", ["v_gate"], """select case when event_id % 97 = 0 then 'missing-metrics' when share < 0.008e0 then 'silent-stem' when abs(corr) > 0.97e0 then 'correlated-stems' when no_text then 'missing-stem-transcript'
 when emb_dist < 0.08e0 then 'same-speaker-embedding' when no_anchor then 'missing-baseline-anchor' else 'accepted' end as reason, count(*) as n from v_gate group by 1""")
 add("normalize_text", [], f"select doc_id, {norm('coalesce(text, chr(32))')} as normalized from documents")
@@ -262,7 +262,7 @@ add("stem_scale", [], f"""select vec_id, {R("sqrt(list_inner_product(c, c) / len
   0.95e0 / greatest(1e-12, list_max(list_transform(c, lambda x: abs(x))))) as sc from (select vec_id, list_transform(v, lambda x: x - list_sum(v) / len(v)) as c from vd))""", VEC)
 add("waveform_peaks", [], f"select vec_id, cast((i - 1) // greatest(1, n // 7) as int) as bucket, {R('max(abs(x))')} as peak from (select vec_id, len(v) as n, unnest(v) as x, unnest(range(1, len(v) + 1)) as i from vd) group by 1, 2", VEC)
 add("pcm16_samples", [], "select vec_id, cast(list_sum(p) as bigint) as total, list_max(p) as top from (select vec_id, list_transform(v, lambda x: cast(floor(greatest(-1e0, least(1e0, x)) * 32767 + 0.5e0) as int)) as p from vd)", VEC)
-add("peak_hold", [], f"""select a.stream, a.chunk, {R("max(b.peak * pow(0.7e0, a.n - b.n))")} as held from pk a join pk b on a.stream = b.stream and b.n <= a.n and b.n >= a.n - 64 group by 1, 2""",
+add("peak_hold", [], f"""select a.stream, a.chunk, {R("max(b.peak * pow(0.7e0, a.n - b.n))")} as held from pk a join pk b on a.stream = b.stream and b.n <= a.n group by 1, 2""",
     "pk as (select *, row_number() over (partition by stream order by chunk) as n from (select cast(event_id % 50 as int) as stream, cast(floor(event_id / 50) as bigint) as chunk, max(value) as peak from events group by 1, 2))")
 
 
@@ -346,9 +346,68 @@ add("inferred_ranges", ["v_utt"], f"""select recording_id, turn, {R("case when g
   (select recording_id, turn, case when speaker <> 'system' then start_s end as s, case when speaker <> 'system' then end_s end as e from v_utt)))""")
 add("clamped_rows", ["v_utt"], f"""select recording_id, turn, {R("floor(a * 100 + 0.5e0) / 100")} as start_s, {R("floor(greatest(a + 0.05e0, least(20e0, end_s)) * 100 + 0.5e0) / 100")} as end_s from
 (select *, greatest(1e0, least(20e0 - 0.05e0, case when spk is null then 1e0 else start_s end)) as a from v_utt)""")
-add("hypothesis_rows", ["v_seg"], f"""select recording_id, seg_id from v_seg a where speaker = 0 and exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id and b.end_s > a.start_s and b.start_s < a.end_s
+add("hypothesis_rows", ["v_seg"], f"""select recording_id, seg_id from v_seg a where exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id and b.end_s > a.start_s and b.start_s < a.end_s
   and ({R("least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)")} >= 0.05e0 or ((a.start_s + a.end_s) / 2 between b.start_s and b.end_s)))
-union all select recording_id, seg_id from v_seg a where speaker = 0 and not exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id)""")
+union all select recording_id, seg_id from v_seg a where not exists (select 1 from v_seg b where b.kind = 'error' and b.recording_id = a.recording_id)""")
 add("preset_upsert", [], """select user_id, id, name, ord from (select *, row_number() over (partition by user_id order by ord, id) as k from (select *, row_number() over (partition by user_id, lower(name) order by nw desc, ord desc) as j from
 (select *, row_number() over (partition by user_id, id order by nw desc, ord desc) as i from (select user_id, event_id as ord, 'p' || (event_id % 7) as id, 'Name ' || case when event_type = 'signup' then 'a' else 'A' end || (event_id % 5) as name,
   case when event_type = 'signup' then 1 else 0 end as nw from events)) where i = 1) where j = 1) where k <= 20""")
+
+
+add("sample_indices", ["v_seg"], "select seg_id, cast(least(57600000, greatest(0, floor(start_s * 16000 + 0.5e0))) as bigint) as first, cast(greatest(0, floor(end_s * 16000 + 0.5e0)) as bigint) as last from v_seg")
+add("local_parts", ["v_seg"], f"""select recording_id, idx, cast(row_number() over (partition by recording_id, idx order by start_s, seg_id nulls first, part) as int) as part_no, start_s, end_s from
+(select recording_id, idx, seg_id, part, start_s, end_s from hit union all select recording_id, idx, seg_id, part, start_s, end_s from alone)""", WINS + f""",
+lo as (select recording_id, idx, greatest(0e0, overlap_start - start_s - 0.15e0) as o0, least(end_s - start_s, overlap_end - start_s + 0.15e0) as o1 from win),
+sp0 as (select w.recording_id, w.idx, s.seg_id, {R("greatest(0e0, s.start_s - w.start_s)")} as start_s, {R("least(w.end_s, s.end_s) - w.start_s")} as end_s from win w join v_seg s on s.recording_id = w.recording_id and s.seg_id % 3 = 0 and s.end_s > w.start_s and s.start_s < w.end_s),
+""" + split("sp0", "spp", "recording_id, idx, seg_id", 4.0) + f""",
+hit as (select spp.* from spp join lo using (recording_id, idx) where {R("least(end_s, o1) - greatest(start_s, o0)")} >= 0.04e0),
+al0 as (select recording_id, idx, cast(null as bigint) as seg_id, o0 as start_s, o1 as end_s from lo where {R("o1 - o0")} >= 0.25e0 and not exists (select 1 from hit where hit.recording_id = lo.recording_id and hit.idx = lo.idx)),
+""" + split("al0", "alone", "recording_id, idx, seg_id", 4.0))
+add("boundary_variants", ["v_seg"], f"""select seg_id, variant, {R("s")} as start_s, {R("e")} as end_s from
+(select *, row_number() over (partition by seg_id, floor(s * 1000 + 0.5e0), floor(e * 1000 + 0.5e0) order by variant) as n from bv where {R("e - s")} >= 0.1e0) where n = 1""", """ab as (select seg_id, greatest(0e0, start_s - 30) as a, greatest(greatest(0e0, start_s - 30) + 0.1e0, end_s) as b from v_seg),
+bv as (select seg_id, variant, greatest(greatest(0e0, a - 0.3e0), a + da) as s, least(least(80000e0, b + 0.3e0), b + db) as e from ab, (values (0, 0e0, 0e0), (1, -0.2e0, 0e0), (2, 0e0, 0.2e0), (3, -0.2e0, 0.2e0), (4, 0.1e0, -0.1e0)) v(variant, da, db))""")
+add("guard_flags", ["v_seg"], f"select seg_id, {R('end_s - start_s')} < 0.05e0 as short_selection, {R('end_s - start_s')} < 0.1e0 as short_window from v_seg")
+add("work_totals", ["v_seg"], "select recording_id, count(*) as items, round(sum(greatest(0e0, case when seg_id % 9 <> 0 then end_s else 0e0 end - start_s)), 3) as seconds from v_seg group by 1")
+add("range_bounds", ["v_seg"], f"""select recording_id, case when recording_id % 5 = 0 then 100e0 else {R("min(start_s)")} end as start_s, case when recording_id % 7 = 0 then 9000e0 else {R("max(end_s)")} end as end_s from v_seg group by 1""")
+add("manual_tracks", ["v_utt"], f"""select recording_id, turn, 'manual:' || speaker as speaker, {R("greatest(0e0, start_s - 3e0)")} as start_s, {R("end_s - 3e0")} as end_s from v_utt where end_s > start_s and end_s - 3e0 > greatest(0e0, start_s - 3e0)""")
+add("cache_fill", [], "select case when event_id % 3 = 0 then 'cached' else 'computed' end as origin, count(*) as n from events group by 1")
+add("similar_overlaps", ["v_utt"], f"""select a.recording_id, a.turn, b.turn as r_turn from su a join su b on a.recording_id = b.recording_id and a.end_s > a.start_s and a.end_s > greatest(0e0, b.start_s + 1) and a.start_s < greatest(0e0, b.end_s + 1)
+and greatest(0e0, b.end_s + 1) > greatest(0e0, b.start_s + 1) where {R("least(a.end_s, greatest(0e0, b.end_s + 1)) - greatest(a.start_s, greatest(0e0, b.start_s + 1))")} > 0.03e0 and {R(asim("substr(a.norm, 1, 34)", "substr(b.norm, 1, 30)"))} >= 0.68e0""",
+    f"su as (select recording_id, turn, start_s, end_s, {norm(chr(34) + 'txt' + chr(34))} as norm from (select *, regexp_replace(text, '[^\\x20-\\x7E]', '~', 'g') as txt from v_utt) where {norm(chr(34) + 'txt' + chr(34))} <> '')")
+THREE = N4 + """,
+th as (select utt_id, [r1, r2, substr(r2, 1, 10) || substr(r1, 1, 10)] as r, [substr(h2, 1, 10) || substr(h1, 1, 10), h1, h2] as h, h1 || h2 as mix from np),
+od as (select [1, 2, 3] as o union all select [1, 3, 2] union all select [2, 1, 3] union all select [2, 3, 1] union all select [3, 1, 2] union all select [3, 2, 1])"""
+add("pit_cer", ["v_pair2"], """select utt_id, distance, assignment from (select *, row_number() over (partition by utt_id order by distance, assignment) as n from
+(select utt_id, levenshtein(r[1], h[o[1]]) + levenshtein(r[2], h[o[2]]) + levenshtein(r[3], h[o[3]]) as distance, (o[1] - 1) || ',' || (o[2] - 1) || ',' || (o[3] - 1) as assignment from th, od)) where n = 1""", THREE)
+add("cp_cer", ["v_pair2"], "select utt_id, min(levenshtein(r[o[1]] || r[o[2]] || r[o[3]], mix)) as distance from th, od group by 1", THREE)
+SHARE = lambda a, b: f"""coalesce(list_sum(list_transform(list_filter(list_distinct(string_split({a}, '')), lambda c: c <> ''), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, ''))))), 0)"""
+add("evaluate_cases", ["v_pair2"], f"""select utt_id, length(rr) as reference_chars, least(levenshtein(r1 || r2, h1), levenshtein(r2 || r1, h1)) as mixture_distance, least(levenshtein(r1, h1) + levenshtein(r2, h2), levenshtein(r1, h2) + levenshtein(r2, h1)) as separated_distance,
+cast({SHARE("rr", "h1")} as bigint) as matched_before, cast({SHARE("rr", "aft")} as bigint) as matched_after, length(aft) - length(h1) as added_chars, cast({SHARE("rr", "aft")} - {SHARE("rr", "h1")} as bigint) as recovered_chars
+from (select *, r1 || r2 as rr, case when utt_id % 3 <> 0 then h1 || substr(h2, 1, 20) else h1 end as aft from np)""", N4)
+add("clean_remap", ["v_cases"], """select count(*) filter (ok) as cases, count(*) filter (not ok) as skipped, cast(coalesce(sum(case when ok then mixture_distance + 1 end), 0) as bigint) as mixture_distance,
+cast(coalesce(sum(case when ok then reference_chars end), 0) as bigint) as reference_chars from (select *, case_id % 4 <> 0 and case_id % 7 <> 0 as ok from v_cases)""")
+add("reference_texts", ["v_utt"], f"select recording_id, string_agg({norm('text')}, '' order by turn) as reference_text from v_utt where {norm('text')} <> '' group by 1")
+add("processing_costs", [], f"select event_id as job_id, {R('case when event_id % 2 = 0 then 2e0 else 0e0 end + (event_id % 7) / 5e0')} as cost from events")
+RMS = lambda v: f"sqrt(list_inner_product({v}, {v}) / len({v}))"
+add("source_shares", [], f"""select vec_id, {R(f"{RMS('v[1:20]')} / ({RMS('v[1:20]')} + {RMS('v[21:64]')})")} as first, {R(f"{RMS('v[21:64]')} / ({RMS('v[1:20]')} + {RMS('v[21:64]')})")} as second from vd""", VEC)
+add("reframed", [], f"""select stream, cast(p // 100 as bigint) as frame, count(*) as n, {R("sum(x)")} as total from (select stream, x, row_number() over (partition by stream order by vec_id, i) - 1 as p from
+(select vec_id % 7 as stream, vec_id, unnest(v[1:vec_id % 50 + 1]) as x, unnest(range(1, vec_id % 50 + 2)) as i from vd)) group by 1, 2 having count(*) = 100""", VEC)
+add("padded_samples", [], f"select vec_id, cast(len(v) + 2 * 160 as bigint) as n, {R('list_sum(v)')} as total from vd", VEC)
+add("phase_state", [], """select event_id, at_s - min(at_s) over (partition by job_id, r) as in_phase_s, (at_s - min(at_s) over (partition by job_id, r)) * 1000 > case when phase = 'recognizing' then 45000e0 else 60000e0 end as slow from
+(select *, sum(f) over (partition by job_id order by at_s rows unbounded preceding) as r from (select *, case when lag(phase) over (partition by job_id order by at_s) = phase then 0 else 1 end as f from
+(select event_id, user_id as job_id, event_id * 20e0 as at_s, case when event_id % 4 = 0 then 'decoding' else 'recognizing' end as phase from events)))""")
+add("partial_results", [], "select conv_id as recording_id, turn from conversations where turn % 3 <> 0 and trim(coalesce(text, '')) <> ''")
+add("time_labels", ["v_seg"], f"""select seg_id, {clock("start_s")} as clock, lpad(cast(cast(floor(start_s / 60) as bigint) as varchar), cast(greatest(2, length(cast(cast(floor(start_s / 60) as bigint) as varchar))) as int), '0') || ':' || lpad(cast(cast(floor(start_s) as bigint) % 60 as varchar), 2, '0') as minutes,
+case when floor(start_s / 10) >= 3600 then {clock("(start_s / 10)")} else lpad(cast(cast(floor(floor(start_s / 10) / 60) as bigint) as varchar), 2, '0') || ':' || lpad(cast(cast(floor(start_s / 10) as bigint) % 60 as varchar), 2, '0') end as trial from v_seg""")
+add("number_lists", [], "select event_id, case when event_id % 3 = 0 then 1 else 2 end as n, event_id % 10 + case when event_id % 3 = 0 then 0e0 else 2.5e0 end as total from events")
+add("settings_fingerprints", [], "select event_id as job_id, sha256(cast(floor((event_id % 7) / 5e0 * 10) as bigint) || '|' || case when event_id % 4 <> 0 then cast(event_id % 6 as varchar) else '' end) as fingerprint from events")
+add("valid_times", ["v_utt"], "select recording_id, turn, coalesce(case when turn % 6 = 5 then 0e0 else end_s end > case when turn % 4 <> 0 then start_s end, false) as timed from v_utt")
+add("hotword_lines", [], "select word, count(*) as n from (select trim(substr(role, 1, turn % 4)) as word from conversations) where word <> '' group by 1")
+add("complete_model_sets", [], """select model, folder from (select *, row_number() over (partition by model order by place) as r from (select c.model, f.folder, f.place, count(distinct c.name) as n from fl f join ct c on f.name = c.name and (c.bytes is null or c.bytes = f.bytes) group by 1, 2, 3) h
+join (select model, count(*) as need from ct group by 1) using (model) where n = need) where r = 1""", """fl as (select distinct cast(user_id % 40 as varchar) as folder, user_id % 40 as place, 'f' || (event_id % 13) as name, event_id % 3 as bytes from events),
+ct as (select 'm' || (event_id % 4) as model, 'f' || (event_id % 12) as name, min(case when event_id % 12 < 6 then event_id % 2 end) as bytes from events group by 1, 2)""")
+add("phase_maps", ["v_status"], "select job_id, count(distinct phase) as phases, count(*) filter (phase = 'vad') as vad, bool_or(phase = 'queued') as was_queued from v_status group by 1")
+add("correction_blocks", ["v_utt"], f"""select recording_id, id, {R("case when good then a else r0 end")} as start_s, {R("case when good then b else r1 end")} as end_s, {R("r0")} as source_start, {R("r1")} as source_end, whole as replace_all, n from
+(select *, coalesce(b > a, false) as good from (select recording_id, id, r0, r1, whole, n, case when whole or not first then r0 else lo end as a, case when whole or not last then r1 else hi end as b from cg))""", """cr as (select recording_id, turn, floor(turn / 4) as bk, start_s, end_s, turn % 3 <> 1 and end_s > start_s as own, turn % 5 = 0 and end_s > start_s as src, min(start_s) over w as r0, max(end_s) over w as r1 from v_utt window w as (partition by recording_id, floor(turn / 4))),
+cg as (select recording_id, 'b' || cast(bk as bigint) as id, r0, r1, bk % 3 = 2 as whole, count(*) as n, min(least(case when own then start_s + 0.25e0 end, case when src then start_s end)) as lo, max(greatest(case when own then end_s + 0.25e0 end, case when src then end_s end)) as hi,
+  arg_min(own, turn) as first, arg_max(own, turn) as last from cr where turn % 11 <> 10 group by recording_id, bk, r0, r1)""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import consensus as C
+from ..operators import corrections as K
 from ..operators import evaluation as E
 from ..operators import intervals as I
 from ..operators import settings as X
@@ -16,6 +17,7 @@ from ..operators import signal as G
 from ..operators import transcript as T
 from ..operators import tuning as U
 from ..operators import vectors as V
+from ..sources import media as M
 from ..streaming import segmenter as ST
 from .views import spark_view
 
@@ -123,7 +125,7 @@ def clean_utterances(utt):
 
 @query("v_seg")
 def speaker_argmax_overlap(seg):
-    j = I.best_overlap(seg.where("speaker = 0"), seg.where("speaker = 1"), "seg_id", "seg_id")
+    j = I.best_overlap(seg.where("speaker % 2 = 0"), seg.where("speaker % 2 = 1"), "seg_id", "seg_id")
     return j.select("recording_id", "seg_id", F.col("r_seg_id").alias("best_id"), "overlap_s")
 
 
@@ -386,12 +388,34 @@ def interpolate_times(utt):
     return T.interpolate(bounded, F.col("a"), F.col("b")).select("recording_id", "ord", "start_s", "end_s")
 
 
+def _corrections(utt):
+    """Blocks of four turns each: some untimed and unconfirmed rows, inserted ones, and every third block for its whole range."""
+    block = F.floor(F.col("turn") / 4)
+    w = Window.partitionBy("recording_id", block)
+    timed = F.col("turn") % 3 != 1
+    return utt.select(
+        "recording_id", F.concat(F.lit("b"), block.cast("string")).alias("id"), F.col("turn").alias("ord"), F.concat(F.lit(" fixed "), "text").alias("text"), "speaker",
+        F.when(timed, F.col("start_s") + 0.25).alias("start_s"), F.when(timed, F.col("end_s") + 0.25).alias("end_s"), F.when(F.col("turn") % 5 == 0, F.col("start_s")).alias("source_start"),
+        F.when(F.col("turn") % 5 == 0, F.col("end_s")).alias("source_end"), F.when(F.col("turn") % 4 == 3, "insert").alias("operation"), (F.col("turn") % 11 != 10).alias("confirmed"),
+        F.min("start_s").over(w).alias("range_start"), F.max("end_s").over(w).alias("range_end"), (block % 3 == 2).alias("replace_all"),
+    )
+
+
+@query("v_utt")
+def correction_blocks(utt):
+    b = K.blocks_of(K.create_blocks(_corrections(utt)))
+    return _r(b, "start_s", "end_s", "source_start", "source_end")
+
+
 @query("v_utt")
 def apply_row_corrections(utt):
-    segs = utt.select("recording_id", F.col("turn").alias("seg_id"), "start_s", "end_s", "text")
-    rows = utt.where("speaker = 'user'").select("recording_id", F.col("turn").alias("ord"), (F.col("start_s") + 0.3).alias("start_s"), (F.col("end_s") + 0.1).alias("end_s"), F.lit("fixed").alias("text"),
-                                            F.when(F.col("turn") % 4 == 0, "insert").otherwise("replace").alias("operation"))
-    return T.apply_rows(segs, rows)
+    segs = utt.select("recording_id", "start_s", "end_s", "text", F.lit(False).alias("locked"))
+    return _times(K.apply_corrections(segs, K.create_blocks(_corrections(utt))))
+
+
+@query("v_utt")
+def corrected_texts(utt):
+    return K.rebuild(apply_row_corrections(utt))
 
 
 @query("v_utt")
@@ -547,8 +571,7 @@ def best_candidates(ev):
 
 @query("events")
 def latency_stats(ev):
-    middle = F.element_at(F.sort_array(F.collect_list("value")), F.floor(F.count("value") / 2).cast("int") + 1)
-    return ev.groupBy("event_type").agg(F.count("*").alias("n"), S.round6(F.avg("value")).alias("mean"), S.round6(middle).alias("median"), S.round6(F.max("value")).alias("max"))
+    return E.value_stats(ev, "event_type", "value")
 
 
 @query("v_status")
@@ -681,7 +704,7 @@ def clamped_rows(utt):
 
 @query("v_seg")
 def hypothesis_rows(seg):
-    return X.hypothesis_rows(seg.where("speaker = 0"), seg.where("kind = 'error'"), "seg_id").select("recording_id", "seg_id")
+    return X.hypothesis_rows(seg, seg.where("kind = 'error'"), "seg_id").select("recording_id", "seg_id")
 
 
 @query("v_status")
@@ -698,3 +721,236 @@ def report_markdown(cases):
 def preset_upsert(ev):
     row = lambda d, n: d.select("user_id", F.col("event_id").alias("ord"), F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("id"), F.concat(F.lit(f" Name  {n}"), (F.col("event_id") % 5).cast("string")).alias("name"))
     return X.upsert_presets(row(ev.where("event_type != 'signup'"), "A"), row(ev.where("event_type = 'signup'"), "a"), "user_id").select("user_id", "id", "name", "ord")
+
+
+# geometry, work and caches
+
+
+@query("v_seg")
+def sample_indices(seg):
+    return seg.select("seg_id", I.sample_index(F.col("start_s"), F.lit(16000 * 3600)).cast("long").alias("first"), I.sample_index(F.col("end_s")).cast("long").alias("last"))
+
+
+@query("v_seg")
+def local_parts(seg):
+    w = _windows(seg)
+    spans = w.select("recording_id", "idx", "start_s", "end_s")
+    j = I.range_join(spans, seg.where("seg_id % 3 = 0"))
+    a, b = F.greatest(F.lit(0.0), F.col("r_start_s") - F.col("start_s")), F.least(F.col("end_s"), F.col("r_end_s")) - F.col("start_s")
+    speech = j.select("recording_id", "idx", F.col("r_seg_id").alias("seg_id"), S.round6(a).alias("start_s"), S.round6(b).alias("end_s"))
+    return _times(I.local_parts(w, speech))
+
+
+@query("v_seg")
+def boundary_variants(seg):
+    return I.boundary_variants(seg.withColumn("duration", F.lit(80000.0)).withColumn("start_s", F.col("start_s") - 30), ["seg_id"])
+
+
+@query("v_seg")
+def guard_flags(seg):
+    return seg.select("seg_id", I.guard(F.col("start_s"), F.col("end_s"), 0.05).alias("short_selection"), I.guard(F.col("start_s"), F.col("end_s"), 0.1).alias("short_window"))
+
+
+@query("v_seg")
+def work_totals(seg):
+    return I.work_totals(seg.withColumn("end_s", F.when(F.col("seg_id") % 9 != 0, F.col("end_s")).otherwise(0.0)))
+
+
+@query("v_seg")
+def range_bounds(seg):
+    return _times(I.range_bounds(seg, "recording_id", F.when(F.col("recording_id") % 5 == 0, 100.0), F.when(F.col("recording_id") % 7 == 0, 9000.0)))
+
+
+@query("v_utt")
+def manual_tracks(utt):
+    return _times(C.manual_tracks(utt, F.lit(3.0)).select("recording_id", "turn", "speaker", "start_s", "end_s"))
+
+
+@query("v_seg")
+def cache_fill(seg):
+    cache = seg.where("seg_id % 3 = 0").select("seg_id", F.lit("cached").alias("origin"))
+    return V.fill_cache(seg.select("seg_id"), cache, ["seg_id"], lambda missing: missing.withColumn("origin", F.lit("computed"))).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query("v_utt")
+def similar_overlaps(utt):
+    said = utt.withColumn("norm", S.normalize_text(F.regexp_replace("text", "[^\\x20-\\x7E]", "~"), False)).where("norm != ''").select("recording_id", "turn", "start_s", "end_s", "norm")
+    near = I.shift(said, 1.0).withColumn("norm", F.substring("norm", 1, 30))
+    return C.similar_overlaps(said.withColumn("norm", F.substring("norm", 1, 34)), near).select("recording_id", "turn", "r_turn")
+
+
+@query("v_utt")
+def separated_merge(utt):
+    stem = lambda text, by: F.struct((F.col("start_s") + by).alias("start_s"), (F.col("end_s") + by).alias("end_s"), text.alias("text"))
+    w = utt.where("turn % 5 = 0").select(
+        "recording_id", F.col("turn").cast("int").alias("window"), (F.col("start_s") - 1).alias("start_s"), (F.col("end_s") + 1).alias("end_s"), F.col("start_s").alias("core_start_s"), F.col("end_s").alias("core_end_s"),
+        F.when(F.col("turn") % 10 != 5, F.array(F.lit(0.6), F.lit(0.4))).alias("shares"), F.lit(0.2).alias("corr"), F.lit(0.4).alias("emb_dist"),
+        F.array(F.array(stem(F.col("text"), 0.0)), F.array(stem(F.reverse("text"), 0.25))).alias("stems"),
+    )
+    return _times(T.separated(utt, w))
+
+
+# metrics over any number of speakers
+
+
+def _three(pair):
+    p = _norm(pair, "r1", "r2", "h1", "h2")
+    third = lambda a, b: F.concat(F.substring(b, 1, 10), F.substring(a, 1, 10))
+    return p.select("utt_id", "source", F.array("r1", "r2", third("r1", "r2")).alias("references"), F.array(third("h1", "h2"), "h1", "h2").alias("stems"), F.concat("h1", "h2").alias("mixture"))
+
+
+@query("v_pair2")
+def pit_cer(pair):
+    p = E.pit(F.col("references"), F.col("stems"))
+    return _three(pair).withColumn("p", p).select("utt_id", "p.distance", F.array_join(F.transform("p.assignment", lambda i: i.cast("string")), ",").alias("assignment"))
+
+
+@query("v_pair2")
+def cp_cer(pair):
+    return _three(pair).select("utt_id", E.cp(F.col("references"), F.col("mixture")).alias("distance"))
+
+
+@query("v_pair2")
+def evaluate_cases(pair):
+    p = _norm(pair, "r1", "r2", "h1", "h2")
+    cases = p.select("utt_id", F.array("r1", "r2").alias("references"), F.array("h1", "h2").alias("stems"), F.col("h1").alias("mixture"), F.substring("h2", 1, 20).alias("added"), (F.col("utt_id") % 3 != 0).alias("gate_accepted"))
+    return E.evaluate_cases(cases).select("utt_id", "reference_chars", "mixture_distance", "separated_distance", "matched_before", "matched_after", "added_chars", "recovered_chars")
+
+
+@query("v_cases")
+def clean_remap(cases):
+    some = F.col("case_id") % 4 != 0
+    d = cases.withColumns({"clean_mixture_distance": F.when(some, F.col("mixture_distance") + 1), "clean_reference_chars": F.when(some & (F.col("case_id") % 7 != 0), F.col("reference_chars"))})
+    return E.clean_remap(d, ["mixture_distance", "reference_chars"])
+
+
+@query("v_utt")
+def reference_texts(utt):
+    rows = utt.withColumn("normalized_text", S.normalize_text(F.col("text"), False)).where("normalized_text != ''")
+    return E.reference_text(rows, "recording_id", "turn")
+
+
+# tuning end to end
+
+
+@query("events")
+def processing_costs(ev):
+    return _options(ev).select("job_id", S.round6(U.processing_cost(F.col("overlap"), F.col("denoise"))).alias("cost"))
+
+
+@query("v_utt")
+def speaker_accuracies(utt):
+    ref = utt.select("recording_id", "speaker", F.col("turn").alias("ord"), "text")
+    hyp = utt.where("turn % 6 != 5").select("recording_id", F.when(F.col("recording_id") % 9 != 0, F.col("speaker")).alias("speaker"), F.col("turn").alias("ord"), F.regexp_replace("text", "the", "te").alias("text"))
+    return U.speaker_accuracy(ref, hyp, ["recording_id"])
+
+
+@query("documents")
+def tune_jobs(docs):
+    refs = docs.select(F.col("doc_id").alias("job_id"), F.substring(S.normalize_text(F.col("text"), False), 1, 200).alias("reference")).where("reference != ''")
+    i = F.col("job_id")
+    current = refs.select("job_id", ((i % 7) / 10.0).alias("denoise"), (3.0 + i % 12).alias("max_speech"), F.lit(0.2).alias("min_silence"), F.lit(0.15).alias("min_speech"), (0.2 + (i % 6) / 10.0).alias("threshold"), (i % 2 == 0).alias("overlap"), F.lit(2).alias("speakers"))
+
+    def heard(cands):
+        """A stand-in recogniser: the further the settings are from a job's own best ones, the more of the end is missed."""
+        off = F.abs(F.col("threshold") - (0.3 + (i % 5) / 10.0)) + F.abs(F.col("max_speech") - (4 + i % 5)) / 20
+        d = cands.join(refs, "job_id")
+        return d.select("job_id", "candidate", F.substring("reference", F.lit(1), F.greatest(F.lit(0), F.floor(F.length("reference") * (1 - off))).cast("int")).alias("text"))
+
+    return U.tune(current, refs, heard, 2)
+
+
+# frames, streams and jobs
+
+
+@query("embeddings")
+def source_shares(emb):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    shares = G.source_shares(F.array(F.slice(e, 1, 20), F.slice(e, 21, 44)))
+    return emb.select("vec_id", S.round6(shares[0]).alias("first"), S.round6(shares[1]).alias("second"))
+
+
+@query("embeddings")
+def reframed(emb):
+    chunks = emb.select((F.col("vec_id") % 7).alias("stream"), "vec_id", F.slice("embedding", F.lit(1), (F.col("vec_id") % 50 + 1).cast("int")).alias("x"))
+    f = G.reframe(chunks, "stream", "vec_id", "x", 100)
+    return f.select("stream", "frame", F.size("samples").cast("long").alias("n"), S.round6(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
+
+
+@query("embeddings")
+def padded_samples(emb):
+    p = S.pad_samples(F.col("embedding"), 0.01)
+    return emb.select("vec_id", F.size(p).cast("long").alias("n"), S.round6(F.aggregate(p, F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
+
+
+@query("v_status")
+def phase_state(st):
+    d = ST.phase_state(st.select("job_id", (F.col("event_id") * 20.0).alias("at_s"), F.when(F.col("event_id") % 4 == 0, "decoding").otherwise("recognizing").alias("phase"), F.lit(10.0).alias("audio_s"), "event_id"))
+    return d.select("event_id", "in_phase_s", "slow")
+
+
+@query("v_utt")
+def partial_results(utt):
+    return ST.partial_results(utt.withColumn("kind", F.when(F.col("turn") % 3 == 0, "repair").otherwise("base"))).select("recording_id", "turn")
+
+
+@query("v_seg")
+def ordered_recognition(seg):
+    def recognizer(session, start, end):
+        if int(start) % 17 == 0:
+            raise ValueError("no speech")
+        return M.stub_text(session, start, end)
+
+    return ST.recognize_in_order(seg.select(F.col("recording_id").cast("long").alias("session"), F.col("seg_id").alias("seq"), "start_s", "end_s"), recognizer)
+
+
+@query("v_seg")
+def model_tracks(seg):
+    return _times(M.tracks(seg.select("recording_id", "start_s", "end_s")))
+
+
+# labels, lists and settings
+
+
+@query("v_seg")
+def time_labels(seg):
+    s = F.col("start_s")
+    return seg.select("seg_id", S.format_minutes(s).alias("minutes"), S.format_trial_start(s / 10).alias("trial"), S.format_clock(s).alias("clock"))
+
+
+@query("events")
+def number_lists(ev):
+    text = F.concat_ws(",", (F.col("event_id") % 10).cast("string"), F.lit(" x"), F.when(F.col("event_id") % 3 == 0, "Infinity").otherwise(" 2.5 "), F.lit(""))
+    n = S.list_of_numbers(text)
+    return ev.select("event_id", F.size(n).cast("long").alias("n"), F.aggregate(n, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("events")
+def settings_fingerprints(ev):
+    d = _options(ev).select("job_id", F.floor(F.col("denoise") * 10).cast("long").alias("a"), F.when(F.col("job_id") % 4 != 0, F.col("speakers")).alias("b"))
+    return d.select("job_id", X.fingerprint("a", "b").alias("fingerprint"))
+
+
+@query("v_utt")
+def valid_times(utt):
+    return utt.select("recording_id", "turn", X.valid_time(F.when(F.col("turn") % 4 != 0, F.col("start_s")), F.when(F.col("turn") % 6 == 5, F.lit(0.0)).otherwise(F.col("end_s"))).alias("timed"))
+
+
+@query("conversations")
+def hotword_lines(conv):
+    return M.hotwords(conv.select(F.concat(F.lit("  "), F.substring("role", 1, (F.col("turn") % 4).cast("int")), F.lit(" ")).alias("value"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("events")
+def complete_model_sets(ev):
+    i = F.col("event_id")
+    files = ev.select((F.col("user_id") % 40).cast("string").alias("folder"), (F.col("user_id") % 40).alias("place"), F.concat(F.lit("f"), (i % 13).cast("string")).alias("name"), (i % 3).alias("bytes")).distinct()
+    catalogue = ev.select(F.concat(F.lit("m"), (i % 4).cast("string")).alias("model"), F.concat(F.lit("f"), (i % 12).cast("string")).alias("name"), F.when(i % 12 < 6, i % 2).alias("bytes")).distinct()
+    one = catalogue.groupBy("model", "name").agg(F.min("bytes").alias("bytes"))
+    return M.complete_sets(files, one)
+
+
+@query("v_status")
+def phase_maps(st):
+    per = st.groupBy("job_id", "phase").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("phase", "n"))).alias("m"))
+    return per.select("job_id", F.size("m").cast("long").alias("phases"), F.coalesce(F.try_element_at("m", F.lit("vad")), F.lit(0)).alias("vad"), F.map_contains_key("m", "queued").alias("was_queued"))

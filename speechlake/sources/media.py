@@ -1,4 +1,4 @@
-"""Audio sources and sinks (SRC-01..04, SRC-08..12, SNK-01, SNK-09..11) and model boundaries (UD-xx).
+"""Audio sources and sinks (SRC-01..04, SRC-08..12, SNK-01, SNK-10/11, AG-13) and model boundaries (UD-01..06).
 
 Files come in through Spark's readers only, so any store that Spark reads will do. Decoding of compressed media and all neural
 models are boundaries: functions over Arrow batches that a user supplies; what is here for them are deterministic stand-ins for tests.
@@ -7,10 +7,12 @@ models are boundaries: functions over Arrow batches that a user supplies; what i
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +35,36 @@ def decode_pcm(data: bytes) -> np.ndarray:
     return np.frombuffer(data[: len(data) // 4 * 4], "<f4")
 
 
-def read_media(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None, decoder: Callable[[bytes], np.ndarray] = decode_pcm) -> DataFrame:
-    """SRC-01/02/04: files as chunk rows of samples; the range is applied while decoding."""
+def cut_wav(data: bytes, start: float, seconds: float | None) -> np.ndarray:
+    """The samples of a range alone, of raw float32 or a 16-bit mono WAV: only the range's bytes are converted."""
+    kind, at, n = "<f4", 0, len(data)
+    if data[:4] == b"RIFF":
+        kind, at, n, pos = "<i2", 0, 0, 12
+        while pos + 8 <= len(data):
+            size = int.from_bytes(data[pos + 4 : pos + 8], "little")
+            if data[pos : pos + 4] == b"data":
+                at, n = pos + 8, min(size, len(data) - pos - 8)
+                break
+            pos += 8 + size + size % 2
+    wide = np.dtype(kind).itemsize
+    first = min(int(start * RATE), n // wide)
+    count = n // wide - first if seconds is None else min(int(seconds * RATE), n // wide - first)
+    x = np.frombuffer(data, kind, count, at + wide * first)
+    return x.astype(np.float32) / 32768 if kind == "<i2" else x
+
+
+def read_media(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None, decoder: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """SRC-01/02/04: files as chunk rows of samples of a range. Without a decoder (for compressed media, which decodes whole files) only the
+    range's bytes are converted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                x = decoder(content.as_py())[int(start * RATE) :]
-                x = x if seconds is None else x[: int(seconds * RATE)]
+                if decoder is None:
+                    x = cut_wav(content.as_py(), start, seconds)
+                else:
+                    x = decoder(content.as_py())[int(start * RATE) :]
+                    x = x if seconds is None else x[: int(seconds * RATE)]
                 for k in range(0, max(1, len(x)), CHUNK):
                     yield pa.record_batch([pa.array([name]), pa.array([k // CHUNK], pa.int64()), pa.array([x[k : k + CHUNK]], pa.list_(pa.float32()))], ["path", "chunk", "samples"])
 
@@ -76,6 +100,42 @@ def hotwords(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("word")).where("word != ''")
 
 
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """SRC-09: a JSON object of settings; a missing or broken file gives none."""
+    try:
+        found = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    except (AnalysisException, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def write_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    """SRC-09: settings are one small object, written as text where ``read_settings`` finds it."""
+    spark.createDataFrame([(json.dumps(settings, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_pcm(chunks: DataFrame, path: str) -> None:
+    """SNK-01: chunk rows (path, chunk, samples) as files that ``sample_range`` reads again: float32 arrays, in order within a file."""
+    chunks.select("path", "chunk", F.col("samples").cast("array<float>").alias("samples")).repartition("path").sortWithinPartitions("path", "chunk").write.parquet(path)
+
+
+def directory_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """AG-13: (files, bytes) below a folder, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def complete_sets(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """SRC-12: (model, folder): for each model the first folder (by its place) that has all of its files.
+
+    ``files`` (folder, place, name, bytes), ``catalogue`` (model, name, bytes; null: any size).
+    """
+    fits = F.col("c.bytes").isNull() | (F.col("c.bytes") == F.col("f.bytes"))
+    have = files.alias("f").join(catalogue.alias("c"), (F.col("f.name") == F.col("c.name")) & fits).groupBy("c.model", "f.folder", "f.place").agg(F.countDistinct("c.name").alias("n"))
+    need = catalogue.groupBy("model").agg(F.countDistinct("name").alias("n"))
+    return have.join(need, ["model", "n"]).groupBy("model").agg(F.min_by("folder", "place").alias("folder"))
+
+
 MANIFEST = (
     "schemaVersion int, dataset struct<name:string,language:string,license:string,consent:string,annotationStatus:string>, recordings array<struct<id:string,audio:string,"
     "cases:array<struct<id:string,start:double,end:double,overlapStart:double,overlapEnd:double,references:array<struct<speaker:string,text:string>>>>>>"
@@ -121,3 +181,53 @@ def recognize(items: DataFrame, recognizer: Callable[[object, float, float], str
     kind = dict(items.dtypes)["recording_id"]
     done = keyed.select("recording_id", "_a", "_b").distinct().mapInArrow(run, f"recording_id {kind}, _a long, _b long, text string")
     return keyed.join(done, ["recording_id", "_a", "_b"]).drop("_a", "_b")
+
+
+def _unit(*key: object) -> float:
+    """A number in 0 .. 1 that only depends on the key."""
+    return int.from_bytes(hashlib.sha256("|".join(map(str, key)).encode()).digest()[:6], "big") / (1 << 48)
+
+
+def stub_embedding(recording_id: object, start: float, end: float, size: int = 16) -> list[float]:
+    """UD-02's stand-in: a vector that is the same for the same span."""
+    return [_unit("e", recording_id, f"{start:.3f}", f"{end:.3f}", i) - 0.5 for i in range(size)]
+
+
+def stub_tracks(recording_id: object, start: float, end: float) -> list[tuple[float, float, int]]:
+    """UD-03's and UD-06's stand-in: tracks (start, end, speaker) of two speakers that overlap a little."""
+    cut = start + (end - start) * (0.3 + 0.4 * _unit("d", recording_id, f"{start:.3f}", f"{end:.3f}"))
+    return [(start, min(end, cut + 0.2), 0), (max(start, cut - 0.2), end, 1)] if end > start else []
+
+
+def stub_stems(recording_id: object, start: float, end: float) -> list[tuple[int, float, float]]:
+    """UD-04's stand-in: (stem, share, correlation) of two stems."""
+    share = 0.2 + 0.6 * _unit("s", recording_id, f"{start:.3f}", f"{end:.3f}")
+    return [(0, share, 0.1), (1, 1 - share, 0.1)]
+
+
+def stub_denoise(samples: np.ndarray) -> np.ndarray:
+    """UD-05's stand-in: samples under a hundredth are silence."""
+    return np.where(np.abs(samples) < 0.01, 0, samples).astype(np.float32)
+
+
+def spans(items: DataFrame, model: Callable[[object, float, float], object], result: str) -> DataFrame:
+    """UD-02, UD-04: a model over (recording_id, start_s, end_s), its result (of the given SQL type) as a column ``result`` beside the items' own."""
+    call = F.udf(lambda r, a, b: model(r, a, b), result, useArrow=True)
+    return items.withColumn("result", call("recording_id", "start_s", "end_s"))
+
+
+def tracks(items: DataFrame, model: Callable[[object, float, float], list[tuple[float, float, int]]] = stub_tracks) -> DataFrame:
+    """UD-03, UD-06: (recording_id, speaker, start_s, end_s): the tracks that a model finds in each item, chunk by chunk."""
+    out = spans(items, model, "array<struct<start_s:double,end_s:double,speaker:int>>")
+    return out.select("recording_id", F.explode("result").alias("t")).select("recording_id", "t.speaker", "t.start_s", "t.end_s")
+
+
+def denoise(chunks: DataFrame, model: Callable[[np.ndarray], np.ndarray] = stub_denoise) -> DataFrame:
+    """UD-05: chunk rows with their samples through a model, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [model(np.asarray(x, np.float32)) for x in b.column("samples").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("samples"), "samples", pa.array(clean, pa.list_(pa.float32())))
+
+    return chunks.mapInArrow(run, chunks.schema)

@@ -1,4 +1,4 @@
-"""Streaming segmentation (ST-01..08): frames with a speech flag to finalised segments, by one rule for batch and stream.
+"""Streaming segmentation (ST-02..09): frames with a speech flag to finalised segments, by one rule for batch and stream.
 
 A segment ends after ``silence`` seconds without speech, or at ``most`` seconds; shorter than ``least`` it is dropped. The state of a
 session is the open segment alone. Frames after a session's stop marker are dropped, which is the only lateness rule.
@@ -6,7 +6,7 @@ session is the open segment alone. Frames after a session's stop marker are drop
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import slow_threshold
+
 SEGMENT = "session long, start_s double, end_s double, frames int"
 STATE = "start_s double, end_s double, frames int, stopped boolean"
 
@@ -121,3 +123,36 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("queue", "job_id").orderBy("submitted", "seq"))
     d = jobs.withColumn("_n", first).where("_n = 1 AND NOT cancelled").drop("_n")
     return d.withColumn("position", F.row_number().over(Window.partitionBy("queue").orderBy("submitted", "seq")))
+
+
+RECOGNIZED = "session long, seq long, start_s double, end_s double, text string, error string"
+
+
+def recognize_in_order(segments: DataFrame, recognizer: Callable[[int, float, float], str]) -> DataFrame:
+    """ST-06 per session: finished segments (session, seq, start_s, end_s) recognised one after the other; one that fails has its error
+    in its place, and the rest go on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.sort_values("seq").itertuples():
+            try:
+                out.append((r.session, r.seq, r.start_s, r.end_s, recognizer(r.session, r.start_s, r.end_s), None))
+            except Exception as e:  # noqa: BLE001  # whatever a model raises is that segment's error
+                out.append((r.session, r.seq, r.start_s, r.end_s, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["session", "seq", "start_s", "end_s", "text", "error"])
+
+    return segments.select("session", "seq", "start_s", "end_s").groupBy("session").applyInPandas(run, RECOGNIZED)
+
+
+def partial_results(items: DataFrame) -> DataFrame:
+    """ST-07: what may be shown before a job ends: base items with text; a filter alone, so it holds for streams in append mode too."""
+    return items.where("kind = 'base' AND trim(coalesce(text, '')) != ''")
+
+
+def phase_state(status: DataFrame) -> DataFrame:
+    """ST-08: status rows (job_id, at_s, phase, audio_s) with the seconds spent in the running phase and whether that is slow (PR-10)."""
+    w = Window.partitionBy("job_id").orderBy("at_s")
+    new = F.when(F.lag("phase").over(w) == F.col("phase"), 0).otherwise(1)
+    d = status.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("in_phase_s", F.col("at_s") - F.min("at_s").over(Window.partitionBy("job_id", "_run")))
+    return d.withColumn("slow", F.coalesce(F.col("in_phase_s") * 1000 > slow_threshold(F.col("phase"), F.col("audio_s")), F.lit(False))).drop("_new", "_run")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from speechlake.functions import scalars as S
 from speechlake.operators import evaluation as E
 from speechlake.operators import signal as G
+from speechlake.operators import corrections as K
 from speechlake.operators import transcript as T
 from speechlake.operators import tuning as U
 from speechlake.operators import vectors as V
@@ -55,8 +56,8 @@ def test_transcript_golden(spark):
 
 
 def test_permutation_metrics_golden(spark):
-    lev = lambda a, b: S.edit_stats(a, b)[4]
-    assert E.pit(["あいう", "かき"], ["かき", "あいえ"], lev) == (1, [1, 0])
+    texts = lambda *x: F.array(*map(F.lit, x))
+    assert tuple(one(spark, E.pit(texts("あいう", "かき"), texts("かき", "あいえ")))) == (1, [1, 0])
     d, swapped = E.pit2(*(F.lit(x) for x in ("あいう", "かき", "かき", "あいえ")))
     assert one(spark, d) == 1 and one(spark, swapped) and one(spark, E.cp2(F.lit("あいう"), F.lit("かき"), F.lit("かきあいう"))) == 0
     c = E.char_coverage(spark.createDataFrame([(1, "あいうかき", "あいうか"), (2, "", ""), (3, None, "x")], "k int, ref string, hyp string"), "k").orderBy("k").collect()
@@ -83,8 +84,9 @@ def test_interpolation_golden(spark):
 
 def test_corrections(spark):
     segs = [{"start_s": 0.0, "end_s": 2.0}, {"start_s": 2.0, "end_s": 4.0}, {"start_s": 3.9, "end_s": 6.0}]
-    assert T.rows_to_remove(segs, [{"start_s": 2.1, "end_s": 3.9}]) == {1}
-    assert T.rows_to_remove(segs, [{"start_s": 0.0, "end_s": 4.1}]) == {0, 1} and T.rows_to_remove(segs, [{"start_s": 9.0, "end_s": 9.5}]) == set()
+    gone = lambda *rows: set(np.flatnonzero(K.taken(*(np.array([x[c] for x in segs]) for c in ("start_s", "end_s")), *np.array(rows).T)).tolist())
+    assert gone((2.1, 3.9)) == {1}
+    assert gone((0.0, 4.1)) == {0, 1} and gone((9.0, 9.5)) == set()
     block = "recording_id long, id string, block_start double, block_end double, source_start double, source_end double"
     old = spark.createDataFrame([(1, "a", 0.0, 2.0, None, None), (1, "b", 3.0, 4.0, None, None), (1, "c", 8.0, 9.0, None, None)], block)
     new = spark.createDataFrame([(1, "c", 1.0, 2.5, 1.0, 2.5)], block)
