@@ -98,5 +98,13 @@ def before(amounts: Column) -> Column:
     return F.when(F.size(amounts) > 0, let(amounts, sums)).otherwise(F.array().cast("array<long>"))
 
 
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """A table of fewer files than the cluster has cores, and not more than ``small`` bytes for each core, dealt over all cores: one
+    row group is one task, whatever Spark's split size. Larger tables are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if files < cores and plan_bytes(df) <= small * cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

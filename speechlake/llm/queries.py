@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, licenses, mixing, ngram_join, packing, quality, secret_scan, sharding, warc
-from .common import materialize, read, word_count
+from .common import materialize, read, spread, word_count
 
 SHARDS = 24
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
     return mixing.taken_words(sized, mixing.Mix())
 
@@ -24,34 +24,34 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     sized = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), sharding.text_crc32(F.col("text")).alias("text_crc32"))
     out = sharding.shard_by_bytes(materialize(sized, "sized"), ["doc_id", "text_crc32"], "size", SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.contamination(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(spread(read(spark, sf_dir, "documents")))
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.write(packing.pack(read(spark, sf_dir, "documents")))
+    return packing.write(packing.pack(spread(read(spark, sf_dir, "documents"))))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents"))
+    return licenses.scan(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(read(spark, sf_dir, "documents"))
+    return secret_scan.report(spread(read(spark, sf_dir, "documents")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.judge(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
