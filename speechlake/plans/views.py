@@ -68,10 +68,22 @@ NEEDS = {
 }
 
 
+SMALL = 32 << 20  # bytes for each core, up to which a table of few files is dealt over all cores
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """Texts of few and small files over all cores: a file's row group is one task, and every text becomes many utterances in it.
+    Larger tables are read as they lie, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if len(table.inputFiles()) < cores and size <= SMALL * cores else table
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a table of the data directory, as a DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _spread(table) if name == "documents" else table
     text = VIEWS[name].format(**SPARK)
     return spark.sql(text.replace(f"from {NEEDS[name][0]}", "from {source}"), source=spark_view(spark, sf_dir, NEEDS[name][0]))
 
