@@ -186,3 +186,12 @@ def test_labels_and_lists(spark):
 @pytest.mark.parametrize("name", ["tune_jobs", "speaker_accuracies", "separated_merge", "ordered_recognition", "model_tracks", "apply_row_corrections", "corrected_texts"])
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_percent_and_markdown(spark):
+    from speechlake.operators import settings as X
+
+    d = spark.createDataFrame([(0.125,), (float("nan"),), (None,), (1.0,)], "x double")
+    assert [r[0] for r in d.select(X.percent(F.col("x"))).collect()] == ["12.5%", "-", "-", "100.0%"]
+    rows = spark.createDataFrame([("b", 2), (None, 3), ("a", 1)], "dataset string, cases int")
+    assert X.markdown_report(rows, ["dataset", "cases"]).first().content == "| dataset | cases |\n|-|-|\n| all | 3 |\n| a | 1 |\n| b | 2 |"
