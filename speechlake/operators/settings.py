@@ -120,7 +120,7 @@ def hypothesis_rows(segs: DataFrame, windows: DataFrame, seg_key: str, least: fl
 
 def percent(x: Column) -> Column:
     """TX-16: one decimal and a percent sign, ``-`` for what isn't finite."""
-    return F.coalesce(F.format_string("%.1f%%", finite(x) * 100), F.lit("-"))
+    return F.when(finite(x).isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise("-")
 
 
 def markdown_report(summary_rows: DataFrame, columns: list[str]) -> DataFrame:
