@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, mixing, ngram_join, packing, quality, secret_scan, sharding, warc
+from . import chat, decontam, filter_audit, licenses, media_columns, mixing, ngram_join, packing, periodic, quality, secret_scan, sharding, warc
 from .common import materialize, read, spread, word_count
 
 SHARDS = 24
@@ -61,6 +61,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.find_runs(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_columns(spread(read(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_media_columns": op12_media_columns,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
