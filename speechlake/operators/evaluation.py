@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import let, normalize_text, parse_clock, round6
+from ..functions.alignment import assign_udf, concatenated_udf
+from ..functions.scalars import normalize_text, parse_clock, round6
 from .intervals import detect_overlaps, range_join
 
 #: The transcript's line grammar (fixed values).
@@ -82,56 +81,17 @@ def cp2(r1: Column, r2: Column, h: Column) -> Column:
     return F.least(F.levenshtein(F.concat(r1, r2), h), F.levenshtein(F.concat(r2, r1), h))
 
 
-def _distances(refs: Column, hyps: Column) -> Column:
-    return F.transform(refs, lambda r: F.transform(hyps, lambda h: F.levenshtein(r, h)))
-
-
 def pit(refs: Column, hyps: Column) -> Column:
     """TX-08 for any number of speakers: struct (distance, assignment) of arrays of texts; missing hypotheses are empty ones.
 
-    Over sets of used hypotheses (bits of a number) the least distance of the references so far, reference by reference; of equal
-    ones the assignment that comes first in order. Hypotheses left over cost nothing.
+    The assignment is found by shortest augmenting paths; of equal ones that which comes first in order. Hypotheses left over cost nothing.
     """
-    full = F.concat(hyps, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.size(refs) - F.size(hyps))))
-    state = "array<struct<d:int,a:array<int>>>"
-    bit = lambda j: F.call_function("shiftleft", F.lit(1), j)
-
-    def steps(hs: Column) -> Column:
-        sets = F.sequence(F.lit(0), bit(F.size(hs)) - 1)
-        begin = F.transform(sets, lambda m: F.when(m == 0, F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("a")))).cast(state)
-
-        def add(dp: Column, row: Column) -> Column:
-            def best(m: Column) -> Column:
-                def via(j: Column) -> Column:
-                    prior = F.get(dp, m - bit(j))
-                    used = F.when(m.bitwiseAND(bit(j)) != 0, prior["d"])
-                    return F.when(used.isNotNull(), F.struct((used + F.get(row, j)).cast("int").alias("d"), F.concat(prior["a"], F.array(j)).alias("a")))
-
-                return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size(hs) - 1), via), lambda x: x.isNotNull()))
-
-            return F.transform(sets, best).cast(state)
-
-        done = F.aggregate(_distances(refs, hs), begin, add)
-        return F.array_min(F.filter(done, lambda x: x.isNotNull()))
-
-    found = let(full, lambda hs: F.when(F.size(hs) > 0, steps(hs)))
-    found = F.coalesce(found, F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("a")))
-    return let(found, lambda x: F.struct(x["d"].cast("long").alias("distance"), x["a"].alias("assignment")))
-
-
-MOST_ORDERS = 6  # speakers whose orders are all written out
+    return assign_udf(refs, hyps)
 
 
 def cp(refs: Column, hyp: Column) -> Column:
-    """TX-09: least distance of one hypothesis to the references in any order. All orders are tried, so their number is bounded: up to
-    six speakers at once, an error beyond."""
-    orders = [F.array(*(F.array(*map(F.lit, o)) for o in permutations(range(n)))) for n in range(1, MOST_ORDERS + 1)]
-    listed = F.lit(None).cast("array<array<int>>")
-    for n, o in reversed(list(enumerate(orders, 1))):
-        listed = F.when(F.size(refs) == n, o).otherwise(listed)
-    listed = F.when(F.size(refs) > MOST_ORDERS, F.raise_error(F.lit("too many speakers for all orders of their texts"))).otherwise(listed)
-    tried = F.transform(listed, lambda o: F.levenshtein(F.array_join(F.transform(o, lambda i: F.get(refs, i)), ""), hyp))
-    return F.coalesce(F.array_min(tried), F.length(hyp)).cast("long")
+    """TX-09: least distance of one hypothesis to the references in any order, for any number of them (work grows with 2^n, not n!)."""
+    return concatenated_udf(refs, hyp)
 
 
 def reference_text(rows: DataFrame, key: str, order: str, text: str = "normalized_text") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, edit_stats_udf, normalize_text, round6, score
+from ..functions.alignment import edit_stats_udf
+from ..functions.scalars import clamp, normalize_text, round6, score
 from .transcript import best_candidate
 
 #: Detection presets (fixed values): most seconds, least silence, least speech, threshold, overlap-aware.

@@ -372,7 +372,8 @@ add("range_bounds", ["v_seg"], f"""select recording_id, case when recording_id %
 add("manual_tracks", ["v_utt"], f"""select recording_id, turn, 'manual:' || speaker as speaker, {R("greatest(0e0, start_s - 3e0)")} as start_s, {R("end_s - 3e0")} as end_s from v_utt where end_s > start_s and end_s - 3e0 > greatest(0e0, start_s - 3e0)""")
 add("cache_fill", [], "select case when event_id % 3 = 0 then 'cached' else 'computed' end as origin, count(*) as n from events group by 1")
 add("similar_overlaps", ["v_utt"], f"""select a.recording_id, a.turn, b.turn as r_turn from su a join su b on a.recording_id = b.recording_id and a.end_s > a.start_s and a.end_s > greatest(0e0, b.start_s + 1) and a.start_s < greatest(0e0, b.end_s + 1)
-and greatest(0e0, b.end_s + 1) > greatest(0e0, b.start_s + 1) where {R("least(a.end_s, greatest(0e0, b.end_s + 1)) - greatest(a.start_s, greatest(0e0, b.start_s + 1))")} > 0.03e0 and {R(asim("substr(a.norm, 1, 34)", "substr(b.norm, 1, 30)"))} >= 0.68e0""",
+and greatest(0e0, b.end_s + 1) > greatest(0e0, b.start_s + 1) where {R("least(a.end_s, greatest(0e0, b.end_s + 1)) - greatest(a.start_s, greatest(0e0, b.start_s + 1))")} > 0.03e0 and case when contains(a.norm, b.norm) or contains(b.norm, a.norm) or least(length(a.norm), length(b.norm)) >= 0.67e0 * greatest(length(a.norm), length(b.norm))
+then {R(asim("a.norm", "b.norm"))} >= 0.68e0 else false end""",
     f"su as (select recording_id, turn, start_s, end_s, {norm(chr(34) + 'txt' + chr(34))} as norm from (select *, regexp_replace(text, '[^\\x20-\\x7E]', '~', 'g') as txt from v_utt) where {norm(chr(34) + 'txt' + chr(34))} <> '')")
 THREE = N4 + """,
 th as (select utt_id, [r1, r2, substr(r2, 1, 10) || substr(r1, 1, 10)] as r, [substr(h2, 1, 10) || substr(h1, 1, 10), h1, h2] as h, h1 || h2 as mix from np),
@@ -380,6 +381,25 @@ od as (select [1, 2, 3] as o union all select [1, 3, 2] union all select [2, 1,
 add("pit_cer", ["v_pair2"], """select utt_id, distance, assignment from (select *, row_number() over (partition by utt_id order by distance, assignment) as n from
 (select utt_id, levenshtein(r[1], h[o[1]]) + levenshtein(r[2], h[o[2]]) + levenshtein(r[3], h[o[3]]) as distance, (o[1] - 1) || ',' || (o[2] - 1) || ',' || (o[3] - 1) as assignment from th, od)) where n = 1""", THREE)
 add("cp_cer", ["v_pair2"], "select utt_id, min(levenshtein(r[o[1]] || r[o[2]] || r[o[3]], mix)) as distance from th, od group by 1", THREE)
+def talks(most: int) -> str:
+    return nv("v_pair", "ref", "hyp") + f""",
+tk as (select doc_id, pos // (2 + doc_id % {most - 1}) as talk, list(ref order by pos) as r, list(hyp order by pos * 3 % 8, pos) as h, len(r) as n from np group by 1, 2)"""
+
+
+LAYERS = ",\n".join(f"""l{k} as (select l.doc_id, l.talk, l.m | (1 << j) as m, min(l.d + ct.d) as d from l{k - 1} l join ct on ct.doc_id = l.doc_id and ct.talk = l.talk and ct.i = {k} and (l.m >> ct.j) & 1 = 0 group by 1, 2, 3)""" for k in range(1, 9))
+add("pit_cer_many", ["v_pair"], "select doc_id, talk, n as speakers, d as distance, n as used, d as assigned from tk join (" + " union all ".join(f"select doc_id, talk, {k} as n, min(d) as d from l{k} group by 1, 2" for k in range(1, 9)) + ") using (doc_id, talk, n)", talks(8) + f""",
+ct as (select doc_id, talk, i, j, levenshtein(r[i], h[j + 1]) as d from (select doc_id, talk, r, h, i, unnest(range(0, n)) as j from (select doc_id, talk, r, h, n, unnest(range(1, n + 1)) as i from tk))),
+l0 as (select doc_id, talk, cast(0 as bigint) as m, cast(0 as bigint) as d from tk),
+{LAYERS}""")
+add("cp_cer_many", ["v_pair"], """select doc_id, talk, n as speakers, min(levenshtein(list_aggregate(list_transform(o, lambda i: r[i]), 'string_agg', ''), mix)) as distance
+from (select doc_id, talk, r, n, list_aggregate(h, 'string_agg', '') as mix from tk) join od on len(o) = n group by 1, 2, 3""", talks(4) + """,
+s4 as (select unnest([1, 2, 3, 4]) as a), od as (select [1] as o union all select [a.a, b.a] from s4 a, s4 b where a.a <> b.a and greatest(a.a, b.a) = 2
+  union all select [a.a, b.a, c.a] from s4 a, s4 b, s4 c where a.a <> b.a and c.a <> a.a and c.a <> b.a and greatest(a.a, b.a, c.a) = 3
+  union all select [a.a, b.a, c.a, d.a] from s4 a, s4 b, s4 c, s4 d where a.a <> b.a and c.a <> a.a and c.a <> b.a and d.a not in (a.a, b.a, c.a))""")
+# the engine's levenshtein counts bytes: each pair's characters are written as its own alphabet of single bytes first
+add("edit_distance_original", ["v_orig"], f"""select utt_id, length(ref) as chars, d as distance, {R('1 - d / greatest(1, length(ref), length(hyp))::double')} as similarity from
+(select *, levenshtein(list_aggregate(list_transform(string_split(ref, ''), lambda c: chr(cast(list_position(abc, c) as int))), 'string_agg', ''), list_aggregate(list_transform(string_split(hyp, ''), lambda c: chr(cast(list_position(abc, c) as int))), 'string_agg', '')) as d
+from (select *, list_distinct(string_split(ref || hyp, '')) as abc from v_orig))""")
 SHARE = lambda a, b: f"""coalesce(list_sum(list_transform(list_filter(list_distinct(string_split({a}, '')), lambda c: c <> ''), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, ''))))), 0)"""
 add("evaluate_cases", ["v_pair2"], f"""select utt_id, length(rr) as reference_chars, least(levenshtein(r1 || r2, h1), levenshtein(r2 || r1, h1)) as mixture_distance, least(levenshtein(r1, h1) + levenshtein(r2, h2), levenshtein(r1, h2) + levenshtein(r2, h1)) as separated_distance,
 cast({SHARE("rr", "h1")} as bigint) as matched_before, cast({SHARE("rr", "aft")} as bigint) as matched_after, length(aft) - length(h1) as added_chars, cast({SHARE("rr", "aft")} - {SHARE("rr", "h1")} as bigint) as recovered_chars

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import alignment as L
 from ..functions import scalars as S
 from ..operators import consensus as C
 from ..operators import corrections as K
@@ -251,12 +252,12 @@ def anchor_similarity(pair):
 
 @query("v_pair")
 def edit_stats(pair):
-    return _norm(pair, "ref", "hyp").select("utt_id", S.edit_stats_udf("ref", "hyp").alias("s")).select("utt_id", "s.*")
+    return _norm(pair, "ref", "hyp").select("utt_id", L.edit_stats_udf("ref", "hyp").alias("s")).select("utt_id", "s.*")
 
 
 @query("v_pair")
 def score_text(pair):
-    p = _norm(pair, "ref", "hyp").withColumn("s", S.edit_stats_udf("ref", "hyp"))
+    p = _norm(pair, "ref", "hyp").withColumn("s", L.edit_stats_udf("ref", "hyp"))
     return p.select("utt_id", *(S.round6(c).alias(n) for n, c in S.score(F.col("s"), F.col("ref"), F.col("hyp")).items()))
 
 
@@ -775,8 +776,7 @@ def cache_fill(seg):
 @query("v_utt")
 def similar_overlaps(utt):
     said = utt.withColumn("norm", S.normalize_text(F.regexp_replace("text", "[^\\x20-\\x7E]", "~"), False)).where("norm != ''").select("recording_id", "turn", "start_s", "end_s", "norm")
-    near = I.shift(said, 1.0).withColumn("norm", F.substring("norm", 1, 30))
-    return C.similar_overlaps(said.withColumn("norm", F.substring("norm", 1, 34)), near).select("recording_id", "turn", "r_turn")
+    return C.similar_overlaps(said, I.shift(said, 1.0)).select("recording_id", "turn", "r_turn")
 
 
 @query("v_utt")
@@ -810,6 +810,33 @@ def cp_cer(pair):
     return _three(pair).select("utt_id", E.cp(F.col("references"), F.col("mixture")).alias("distance"))
 
 
+def _talks(pair, most):
+    """The utterances of a text in groups of 2 to ``most``, a speaker each, and their hypotheses in another order."""
+    k = 2 + F.col("doc_id") % (most - 1)
+    said = lambda order, text: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("pos"), F.col(text).alias("t")))), lambda x: x["t"])
+    g = _norm(pair, "ref", "hyp").groupBy("doc_id", F.floor(F.col("pos") / k).alias("talk"))
+    return g.agg(said(F.col("pos"), "ref").alias("references"), said(F.col("pos") * 3 % 8, "hyp").alias("stems"))
+
+
+@query("v_pair")
+def pit_cer_many(pair):
+    t = _talks(pair, 8).withColumn("p", E.pit(F.col("references"), F.col("stems")))
+    right = F.aggregate(F.sequence(F.lit(0), F.size("references") - 1), F.lit(0), lambda a, i: a + F.levenshtein(F.get("references", i), F.get("stems", F.get("p.assignment", i))))
+    return t.select("doc_id", "talk", F.size("references").cast("long").alias("speakers"), "p.distance", (F.size(F.array_distinct("p.assignment")).cast("long")).alias("used"), right.cast("long").alias("assigned"))
+
+
+@query("v_pair")
+def cp_cer_many(pair):
+    t = _talks(pair, 4)
+    return t.select("doc_id", "talk", F.size("references").cast("long").alias("speakers"), E.cp(F.col("references"), F.array_join("stems", "")).alias("distance"))
+
+
+@query("v_orig")
+def edit_distance_original(pair):
+    d = F.levenshtein("ref", "hyp")
+    return pair.select("utt_id", F.length("ref").cast("long").alias("chars"), d.cast("long").alias("distance"), S.round6(S.edit_similarity(F.col("ref"), F.col("hyp"))).alias("similarity"))
+
+
 @query("v_pair2")
 def evaluate_cases(pair):
     p = _norm(pair, "r1", "r2", "h1", "h2")
@@ -847,7 +874,7 @@ def speaker_accuracies(utt):
 
 @query("documents")
 def tune_jobs(docs):
-    refs = docs.select(F.col("doc_id").alias("job_id"), F.substring(S.normalize_text(F.col("text"), False), 1, 200).alias("reference")).where("reference != ''")
+    refs = docs.select(F.col("doc_id").alias("job_id"), S.normalize_text(F.col("text"), False).alias("reference")).where("reference != ''")
     i = F.col("job_id")
     current = refs.select("job_id", ((i % 7) / 10.0).alias("denoise"), (3.0 + i % 12).alias("max_speech"), F.lit(0.2).alias("min_silence"), F.lit(0.15).alias("min_speech"), (0.2 + (i % 6) / 10.0).alias("threshold"), (i % 2 == 0).alias("overlap"), F.lit(2).alias("speakers"))
 

@@ -13,6 +13,7 @@ SPARK = {
     "micros": "(unix_micros(cast(ts as timestamp)) - unix_micros(cast(date_trunc('day', ts) as timestamp)))",
     "epoch": "unix_micros(cast(ts as timestamp))",
     "utterances": "(select doc_id, source, posexplode(regexp_extract_all(regexp_replace(text, '[^\\\\x20-\\\\x7E]', '~'), '.{{1,60}}', 0)) as (pos, ref) from documents)",
+    "originals": "(select doc_id, source, posexplode(regexp_extract_all(text, '[^\\n]{{1,60}}', 0)) as (pos, ref) from documents)",
     "nl": "chr(10)",
 }
 DUCK = {
@@ -20,6 +21,7 @@ DUCK = {
     "micros": "(epoch_us(ts) - epoch_us(date_trunc('day', ts)))",
     "epoch": "epoch_us(ts)",
     "utterances": "(select doc_id, source, unnest(range(len(c))) as pos, unnest(c) as ref from (select doc_id, source, regexp_extract_all(regexp_replace(text, '[^\\x20-\\x7E]', '~', 'g'), '.{1,60}') as c from documents))",
+    "originals": "(select doc_id, source, unnest(range(len(c))) as pos, unnest(c) as ref from (select doc_id, source, regexp_extract_all(text, '[^\\n]{1,60}') as c from documents))",
     "nl": "chr(10)",
 }
 
@@ -36,6 +38,8 @@ VIEWS = {
     # reference and hypothesis: all texts, cut into utterances of 60 characters; what isn't printable ASCII counts as ~, as the two
     # engines measure edit distances of other characters differently
     "v_pair": """select doc_id * 1000000 + pos as utt_id, doc_id, pos, source, ref, replace(replace(ref, 'the', 'te'), 'an', 'on') as hyp from {utterances} u""",
+    # the same of texts as they are, in any script; the hypothesis loses accents and letters
+    "v_orig": """select doc_id * 1000000 + pos as utt_id, doc_id, pos, source, ref, replace(replace(replace(ref, 'é', 'e'), 'ó', 'ö'), 'en', 'ü') as hyp from {originals} u""",
     # two-speaker pairs: neighbouring utterances of a text
     "v_pair2": """select utt_id, source, r1, r2, case when pos % 2 = 1 then n2 else n1 end as h1, case when pos % 2 = 1 then n1 else n2 end as h2
   from (select utt_id, pos, source, ref as r1, lead(ref) over (partition by doc_id order by pos) as r2, hyp as n1, lead(hyp) over (partition by doc_id order by pos) as n2 from v_pair) t where r2 is not null""",
@@ -63,7 +67,7 @@ VIEWS = {
   cast(100 + utt_id % 900 as int) as separation_ms from v_pair2""",
 }
 NEEDS = {
-    "v_seg": ["events"], "v_utt": ["conversations"], "v_pair": ["documents"], "v_pair2": ["v_pair"], "v_cand": ["v_pair"], "v_lines": ["v_utt"],
+    "v_seg": ["events"], "v_utt": ["conversations"], "v_pair": ["documents"], "v_orig": ["documents"], "v_pair2": ["v_pair"], "v_cand": ["v_pair"], "v_lines": ["v_utt"],
     "v_status": ["events"], "v_gate": ["events"], "v_cases": ["v_pair2"],
 }
 

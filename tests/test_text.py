@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from speechlake.functions import alignment as L
 from speechlake.functions import scalars as S
 from speechlake.operators import evaluation as E
 from speechlake.operators import signal as G
@@ -23,20 +24,8 @@ def test_normalize_golden(spark):
     assert one(spark, S.normalize_text(F.lit(" 今日は、ＡＩです。\n"))) == "今日はaiです" and one(spark, S.normalize_text(F.lit(None).cast("string"))) == ""
 
 
-def test_edit_stats_properties():
-    r = random.Random(2)
-    for _ in range(200):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(2))
-        m, s, d, i, dist = S.edit_stats(a, b)
-        assert s + d + i == dist and m + s + d == len(a) and m + s + i == len(b)
-    assert S.edit_stats("abcdef", "abc")[2] == 3
-    pairs = [tuple("".join(r.choice("abé") for _ in range(r.randint(0, 12))) for _ in range(2)) for _ in range(300)]
-    assert S.edit_stats_batch(*map(list, zip(*pairs, strict=True))).tolist() == [list(S.edit_stats(a, b)) for a, b in pairs]
-    assert S.edit_stats_batch([""], [""]).tolist() == [[0] * 5]
-
-
 def test_scores_and_clocks(spark):
-    d = spark.createDataFrame([("abcdef", "abc"), ("abc", "abcdef"), ("", "x")], "r string, h string").withColumn("s", S.edit_stats_udf("r", "h"))
+    d = spark.createDataFrame([("abcdef", "abc"), ("abc", "abcdef"), ("", "x")], "r string, h string").withColumn("s", L.edit_stats_udf("r", "h"))
     got = d.select(*(c.alias(n) for n, c in S.score(F.col("s"), F.col("r"), F.col("h")).items())).collect()
     assert got[0].weighted_errors == pytest.approx(4.05) and got[1].weighted_errors == 3 and got[2].accuracy == 0
     for text, want in (("01:02:03.5", 3723.5), ("1:60:00", None), ("00:00:60", None), ("x", None), ("100:00:00", 360000)):
