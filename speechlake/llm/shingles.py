@@ -14,17 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
-_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(0, 1 << 64, 256, U) | U(1)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BASE, _BACK = U(0x5851F42D4C957F2D - 2), U(pow(0x5851F42D4C957F2D - 2, -1, 1 << 64))
-_PIECE = 1 << 17
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, U), np.full(n, base, U)]))
-
-
-_UP, _DOWN = _powers(_BASE, _PIECE), _powers(_BACK, _PIECE)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -57,21 +47,24 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run: a polynomial over random byte values, from prefix sums, then mixed with the length."""
-    out = np.empty(len(start), U)
-    at = 0
-    while at < len(start):
-        base = start[at]
-        to = max(at + 1, int(np.searchsorted(end, base + _PIECE, "right")))
-        n = int(end[to - 1] - base)
-        power, back = (_UP, _DOWN) if n <= _PIECE else (_powers(_BASE, n), _powers(_BACK, n))
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[data[base : base + n]] * power[:n], out=sums[1:])
-        s, e = start[at:to] - base, end[at:to] - base
-        # dividing by the power at the start makes it free of the position; powers of the inverse do that
-        out[at:to] = mix((sums[e] - sums[s]) * back[s], 7) ^ ((e - s).astype(U) * GOLD)
-        at = to
-    return mix(out, 9)
+    """A 64-bit hash of each byte run, from its length and its lanes of eight bytes, one after the other, each through ``mix``.
+
+    A step is a bijection of what came before it, so runs that first differ in a lane only meet again by a chance of 2^-64, whatever
+    pattern they follow (sums of powers, as a polynomial modulo 2^64, are blind to some).
+    """
+    lanes = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    out = mix((end - start).astype(U), 7)
+    left = np.arange(len(start))
+    at = start.astype(np.int64)
+    while len(left):
+        rest = end[left] - at
+        lane = lanes[at].view(U)[:, 0]
+        short = rest < 8
+        lane[short] &= (U(1) << (U(8) * rest[short].astype(U))) - U(1)
+        out[left] = mix(out[left] ^ lane, 9) * GOLD
+        on = rest > 8
+        left, at = left[on], at[on] + 8
+    return mix(out, 11)
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
