@@ -97,16 +97,17 @@ def write(pages: DataFrame, path: str) -> None:
 RECORDS = "id string, type string, concurrent_to string, refers_to string, uri string, page_id long, digest string, bytes long, payload binary"
 
 
-def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The contents of gzip members, one after the other, piece by piece."""
-    while data:
-        member, left = zlib.decompressobj(31), memoryview(data)
-        while not member.eof and len(left):
-            yield member.decompress(left[:step])
-            left = left[step:]
-        if not member.eof:
-            raise ValueError("a gzip member is cut short")
-        data = member.unused_data + bytes(left)
+def inflate(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of gzip members, one after the other, piece by piece. Only the piece in which a member ends is read again for the next."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = view[at : at + step]
+            if not len(piece):
+                raise ValueError("a gzip member is cut short")
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

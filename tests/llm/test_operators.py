@@ -144,6 +144,33 @@ def test_warc_large_pages_extra_columns_and_members(spark, tmp_path, monkeypatch
         list(warc.parse(iter([one + b"WARC/1.1\r\n"])))
 
 
+def test_warc_many_members_are_read_in_linear_time():
+    import gzip
+    import time
+
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 40\r\n\r\n" + b"x" * 40 + b"\r\n\r\n"
+    members, began = gzip.compress(one, 1) * 50_000, time.process_time()
+    assert sum(len(b) for _, b in warc.parse(warc.inflate(members))) == 40 * 50_000
+    assert time.process_time() - began < 10
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.inflate(members[:-9]))
+
+
+def test_warc_foreign_archives(spark, tmp_path):
+    """Of another writer: WARC/1.0, headers in any case and order, chunked members, a record that isn't ours, uncompressed parts within members."""
+    import gzip
+
+    body = b"<html>\r\n\r\nWARC/1.0</html>"
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: %d\r\n\r\n" % len(body) + body
+    rec = lambda kind, ident, block, *more: b"WARC/1.0\r\n" + b"\r\n".join([b"content-length:%d" % len(block), b"warc-type: " + kind, b"WARC-Record-ID:  " + ident, *more]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    digest = b"WARC-Payload-Digest: sha1:" + hashlib.sha1(body).hexdigest().encode()
+    parts = [rec(b"warcinfo", b"<i>", b"software: x\r\n"), rec(b"response", b"<a>", http, digest, b"WARC-Target-URI: http://a/"), rec(b"request", b"<b>", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <a>")]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(parts[0]) + gzip.compress(parts[1].replace(b"<a>", b"<c>") + parts[2].replace(b"<a>", b"<c>")))
+    got = warc.assemble(warc.read(spark, f"file://{tmp_path}")).collect()
+    assert sorted((r.response.id, r.response.payload, r.request.id, r.metadata) for r in got) == [("<a>", body, "<b>", None), ("<c>", body, "<b>", None)]
+
+
 def test_warc_names_rows_by_their_place_in_files(spark, tmp_path):
     spark.createDataFrame(pages() * 5, PAGES).repartition(3).write.parquet(f"{tmp_path}/p")
     p = spark.read.parquet(f"{tmp_path}/p")
@@ -253,6 +280,18 @@ def test_one_of_each_class_stays_whatever_the_numbers(spark):
     assert ngram_join.one_of_each(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("k", [8, 9, 10, 11])
+def test_patterned_long_words_are_apart(spark, k):
+    """A Thue-Morse word and its complement have equal sums of powers modulo 2^64, whatever the base."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    data = [(1, word, "", "", 0), (2, other, "", "", 0), (3, " ".join([word] * 6), "", "", 0), (4, " ".join([other] * 6), "", "", 0), (5, word, "", "", 0)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(data, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
 def test_several_texts_of_one_number_are_pooled(spark):
     t = ["a b c d e f g h", "q w e r t y u i", "z x c v b n m l"]
     data = [(5, t[0], "", "", 0), (5, t[1], "", "", 0), (3, t[1], "", "", 0), (7, t[2], "", "", 0), (5, t[2], "", "", 0)]
