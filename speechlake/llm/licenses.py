@@ -101,7 +101,11 @@ SPELLINGS: list[tuple[str, ...]] = [
     ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("favor", "favour"), ("while", "whilst"), ("and or", "and/or"),
 ]
 SALT = 16
-_COPYRIGHT = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*\d{4}[^\n]*$"
+#: Lines that name a holder and not the terms: copyright with a year, a sign, a placeholder or named authors, and what often stands below.
+_COPYRIGHT = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright\b[^\n]*\d{4}[^\n]*|copyright[^\S\n]*(?:\(c\)|©|&copy;|<|\[|:)[^\n]*|copyright[^\S\n]+the\b[^\n]*\b(?:authors|contributors|developers)\b[^\n]*"
+    r"|\(c\)[^\n]*\d{4}[^\n]*|(?:©|&copy;)[^\n]*|all rights reserved[^a-z0-9\n]*)$"
+)
 _SPELL = {w: row[0] for row in SPELLINGS for w in row[1:]}
 
 

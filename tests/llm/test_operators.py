@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -438,6 +439,33 @@ def test_license_scan_knows_common_texts_and_takes_a_table(spark):
     assert found == {1: ("Other,Own", "Other,Own", 1), 2: (None, "Other,Own,Third", 2), 3: (None, "", 0), 4: (None, "", 0)}
 
 
+@pytest.mark.parametrize("above", ["Copyright (c) Facebook, Inc. and its affiliates.", "Copyright (c) <year> <copyright holders>", "# Copyright 2020 X", "Copyright 2020 X\nAll rights reserved.", "/* Copyright The Example Authors. */", "\u00a9 Acme", " * (C) 1999 x", "Copyright: Me\nCopyright [yyyy] [name]"])
+def test_copyright_lines_are_no_terms(above):
+    assert licenses.canonical(above + "\n\n" + licenses.MIT) == licenses.canonical(licenses.MIT)
+    kept = "copyright notice and this permission notice\ncopyright law\n(c) You must retain\nall rights reserved by others"
+    assert licenses.canonical(kept) == "copyright notice and this permission notice copyright law c you must retain all rights reserved by others"
+
+
+def plain_scan(text, table):
+    text = text or ""
+    units = {text} | {u for cut in ("\n[\x20\t\r]*\n", "\n") for u in re.split(cut, text) if u}
+    forms = Counter(licenses.canonical(u) for u in units)
+    found = {table[f] for f in forms if f in table}
+    return table.get(licenses.canonical(text)), ",".join(sorted(found)), sum(n for f, n in forms.items() if f in table)
+
+
+def test_license_scan_against_a_plain_version(spark):
+    r = random.Random(12)
+    table = {c: n for c, n in ((licenses.canonical(t), n) for n, t in reversed(licenses.KNOWN))}
+    table.pop("", None)
+    short = [t for _, t in licenses.KNOWN if len(t) < 3000]
+    line = lambda: r.choice(["", " ", "\t", "Copyright (c) Someone", "# Copyright 2001 A, B", "All rights reserved.", "some other words", "(c) you may", r.choice(short), r.choice(short).upper(), "// " + r.choice(short).replace("\n", "\n// "), r.choice(short).replace("license", "licence")])
+    data = [(i, "\n".join(line() for _ in range(r.randint(1, 5))), "", "", 0) for i in range(150)]
+    data += [(200 + i, r.choice(["", "Copyright \u00a9 Me\n\n"]) + t, "", "", 0) for i, (_, t) in enumerate(r.sample(licenses.KNOWN, 40))] + [(300, None, "", "", 0), (301, "", "", "", 0)]
+    got = {x.doc_id: (x.whole, x.licenses, x.n_units) for x in licenses.scan(frame(spark, data)).collect()}
+    assert got == {i: plain_scan(t, table) for i, t, *_ in data} and sum(g[0] is not None for g in got.values()) > 40
+
+
 def test_canonical_forms_agree(spark):
     texts = [t for _, t in licenses.KNOWN] + ["Sub-Licence, AND/OR  copyright owner ©", "(c) 2001 x\nCopyright 1999 y\nkeep copyright"]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
