@@ -431,3 +431,24 @@ add("correction_blocks", ["v_utt"], f"""select recording_id, id, {R("case when g
 (select *, coalesce(b > a, false) as good from (select recording_id, id, r0, r1, whole, n, case when whole or not first then r0 else lo end as a, case when whole or not last then r1 else hi end as b from cg))""", """cr as (select recording_id, turn, floor(turn / 4) as bk, start_s, end_s, turn % 3 <> 1 and end_s > start_s as own, turn % 5 = 0 and end_s > start_s as src, min(start_s) over w as r0, max(end_s) over w as r1 from v_utt window w as (partition by recording_id, floor(turn / 4))),
 cg as (select recording_id, 'b' || cast(bk as bigint) as id, r0, r1, bk % 3 = 2 as whole, count(*) as n, min(least(case when own then start_s + 0.25e0 end, case when src then start_s end)) as lo, max(greatest(case when own then end_s + 0.25e0 end, case when src then end_s end)) as hi,
   arg_min(own, turn) as first, arg_max(own, turn) as last from cr where turn % 11 <> 10 group by recording_id, bk, r0, r1)""")
+
+
+# sessions, ordered results, caches and sound files
+add("session_events", ["v_seg"], f"""select * from (
+select session, 'error' as event, seq, cast(null as double) as start_s, cast(null as double) as end_s, cast(null as bigint) as frames, case when kind = 'stop' then 'not-running' else 'already-running' end as detail from sl where (kind = 'stop') <> coalesce(c = 'start', false) and kind in ('start', 'stop')
+union all select session, 'segment', out_seq, {R("a")}, {R("b")}, n, null from si where out_seq is not null
+union all select session, 'done', stop_seq, null, {R("fed")}, segments, 'stop' from (select session, run, stop_seq, count(*) filter (out_seq is not null) as segments, coalesce(sum(fed), 0e0) as fed from se left join si using (session, run, stop_seq) group by 1, 2, 3) where stop_seq is not null)""", """sq as (select recording_id as session, row_number() over (partition by recording_id order by start_s, seg_id) - 1 as seq, case when seg_id % 10 = 0 then 'start' when seg_id % 10 = 9 then 'stop' when seg_id % 50 = 5 then 'cancel' else 'frame' end as kind, start_s, end_s from v_seg),
+sl0 as (select *, last_value(case when kind <> 'frame' then kind end ignore nulls) over (partition by session order by seq rows between unbounded preceding and 1 preceding) as c from sq),
+sl as (select *, sum(case when kind = 'start' and c is distinct from 'start' then 1 else 0 end) over (partition by session order by seq rows unbounded preceding) as run from sl0),
+se as (select session, run, max(case when kind = 'stop' and c = 'start' then seq end) as stop_seq from sl group by 1, 2 having run > 0),
+sf as (select *, case when start_s - lag(end_s) over (partition by session, run order by seq) >= 120e0 then 1 else 0 end as f from sl where kind = 'frame' and c = 'start'),
+sg as (select *, sum(f) over (partition by session, run order by seq rows unbounded preceding) as g from sf),
+sh as (select session, run, g, arg_min(start_s, seq) as a, arg_max(end_s, seq) as b, count(*) as n, min(seq) as first_seq, sum(end_s - start_s) as fed from sg group by 1, 2, 3),
+si as (select sh.*, se.stop_seq, coalesce(lead(first_seq) over (partition by session, run order by g), se.stop_seq) as out_seq from sh join se using (session, run))""")
+add("results_in_order", ["v_seg"], """select session, seq, case when error is null then text end as text, error from rs join (select session, min(seq) as gap from (select session, seq from rs0 where lost union all select session, max(seq) + 1 from rs0 group by 1) group by 1) using (session) where seq < gap and (error is not null or text <> ' ')""",
+    "rs0 as (select recording_id as session, row_number() over (partition by recording_id order by start_s, seg_id) - 1 as seq, case when seg_id % 5 = 0 then ' ' else kind end as text, case when seg_id % 7 = 0 then 'lost' end as error, seg_id % 199 = 0 as lost from v_seg), rs as (select * from rs0 where not lost)")
+add("cache_hits", [], """select cache, seq, entry, p is not null and (select count(*) from ca b where b.cache = a.cache and b.seq > a.p and b.seq < a.seq and (b.n is null or b.n > a.seq)) < 12 as hit from ca a""", """ca as (select *, lag(seq) over (partition by cache, entry order by seq) as p, lead(seq) over (partition by cache, entry order by seq) as n
+  from (select user_id % 20 as cache, event_id as seq, event_type || '-' || cast(floor(value) % 9 as int) as entry from events))""")
+add("sound_ranges", [], """select form, stream, count(*) as n, cast(sum(floor(greatest(-1e0, least(1e0, cast(x as double))) * 32767 + 0.5e0)) as bigint) as total from
+(select stream, x, row_number() over (partition by stream order by vec_id, i) as p from (select vec_id % 16 as stream, vec_id, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings)), (values ('wav'), ('raw')) f(form)
+where p > 800 and p <= 2400 group by 1, 2""")

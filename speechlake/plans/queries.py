@@ -19,6 +19,9 @@ from ..operators import transcript as T
 from ..operators import tuning as U
 from ..operators import vectors as V
 from ..sources import media as M
+from ..sources import pcm as P
+from ..sources.shared import new_folder
+from ..streaming import lifecycle as LC
 from ..streaming import segmenter as ST
 from .views import spark_view
 
@@ -981,3 +984,44 @@ def complete_model_sets(ev):
 def phase_maps(st):
     per = st.groupBy("job_id", "phase").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("phase", "n"))).alias("m"))
     return per.select("job_id", F.size("m").cast("long").alias("phases"), F.coalesce(F.try_element_at("m", F.lit("vad")), F.lit(0)).alias("vad"), F.map_contains_key("m", "queued").alias("was_queued"))
+
+
+# sessions, ordered results, caches and sound files
+
+
+@query("v_seg")
+def session_events(seg):
+    n = F.col("seg_id")
+    kind = F.when(n % 10 == 0, "start").when(n % 10 == 9, "stop").when(n % 50 == 5, "cancel").otherwise("frame")
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_s", "seg_id")) - 1
+    d = seg.select(F.col("recording_id").cast("long").alias("session"), place.cast("long").alias("seq"), kind.alias("kind"), "start_s", "end_s", F.lit(True).alias("speech"))
+    return _r(LC.session_events(d, silence=120.0, least=0.0, most=1e9), "start_s", "end_s")
+
+
+@query("v_seg")
+def results_in_order(seg):
+    n = F.col("seg_id")
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_s", "seg_id")) - 1
+    d = seg.select(F.col("recording_id").cast("long").alias("session"), place.cast("long").alias("seq"), "start_s", "end_s", F.when(n % 5 == 0, " ").otherwise(F.col("kind")).alias("text"), F.when(n % 7 == 0, "lost").alias("error"), "seg_id")
+    return LC.results_in_order(d.where("seg_id % 199 != 0")).select("session", "seq", "text", "error")
+
+
+@query("events")
+def cache_hits(ev):
+    log = ev.select((F.col("user_id") % 20).cast("long").alias("cache"), F.col("event_id").cast("long").alias("seq"), F.concat("event_type", F.lit("-"), F.floor("value") % 9).alias("entry"))
+    return LC.cache_accesses(log).select("cache", "seq", "entry", "hit")
+
+
+@query("embeddings")
+def sound_ranges(emb):
+    """Streams of samples written as sound files, and a range of each read back: 1 600 samples from the 800th on."""
+    chunks = emb.select(F.concat(F.lit("s"), F.col("vec_id") % 16).alias("name"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("samples"))
+    out = None
+    for form in ("wav", "raw"):
+        path = new_folder(emb.sparkSession, "sound")
+        P.write_audio(chunks, path, form)
+        whole = (lambda x: x.cast("double") * 32768) if form == "wav" else (lambda x: F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767 + 0.5))
+        read = P.read_audio(emb.sparkSession, path, 0.05, 0.1).where("chunk < 1")
+        rows = read.select(F.lit(form).alias("form"), F.regexp_extract("path", "s([0-9]+)[.][a-z]+$", 1).cast("long").alias("stream"), F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + whole(x)).cast("long").alias("total"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
