@@ -1,9 +1,7 @@
-"""Transcript rows: same-speaker merge, exports, corrections, interpolation, and the order-dependent folds (WN, SNK-04..08, CO-02/03, CN-08, CN-10..12, CN-15)."""
+"""Transcript rows: same-speaker merge, exports, corrections, interpolation, and the order-dependent folds (WN, SNK-04..08, CO-02/03, CN-08, CN-15)."""
 
 from __future__ import annotations
 
-import math
-import unicodedata
 from functools import cmp_to_key
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_clock, format_time, round6, speaker_label, text_weight
-from .intervals import detect_overlaps, range_join, separation_windows
+from .intervals import range_join
 
 
 def _joined(texts: Column, stop: str = "。") -> Column:
@@ -193,113 +191,3 @@ def best_candidate(cands: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(rows[:1], columns=list(pdf.columns))
 
     return cands.groupBy(key).applyInPandas(run, cands.schema)
-
-
-def normalized(text: str) -> str:
-    """TX-01 in plain Python, for the folds."""
-    text = unicodedata.normalize("NFKC", text).lower()
-    return "".join(c for c in text if c not in "\t\n\x0b\f\r\ufeff" and unicodedata.category(c)[0] not in "PZ")
-
-
-def anchor(a: str, b: str, whole: int = 4) -> float:
-    """TX-04 of two normalised strings, in plain Python for the folds; ``whole=0`` for TX-03, without full matches."""
-    if not a or not b:
-        return 0.0
-    if a in b or b in a:
-        return 1.0 if whole and min(len(a), len(b)) >= whole else min(len(a), len(b)) / max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
-def _meet(a: dict, start: float, end: float) -> float:
-    return max(0.0, min(a["end_s"], end) - max(a["start_s"], start))
-
-
-def _known(seg: dict, others: list[dict]) -> bool:
-    return any(_meet(o, seg["start_s"], seg["end_s"]) > 0.03 and anchor(o["norm"], seg["norm"]) >= 0.68 for o in others)
-
-
-def gate_window(w: dict, stems: list[list[dict]], base: list[dict]) -> tuple[str, list[dict]]:
-    """CN-10 and CN-11 of one window (start_s, end_s, core_start_s, core_end_s, shares, corr, emb_dist): its reason and additions.
-
-    ``stems``: the segments (start_s, end_s, text, norm) of each stem in order; a later addition must differ from earlier ones.
-    """
-    if len(stems) != 2:
-        return "invalid-stem-count", []
-    finite = lambda x: x is not None and math.isfinite(x)
-    if w["shares"] is None or len(w["shares"]) != 2:
-        return "missing-metrics", []
-    if any(not finite(x) or x < 0.008 for x in w["shares"]):
-        return "silent-stem", []
-    if finite(w["corr"]) and abs(w["corr"]) > 0.97:
-        return "correlated-stems", []
-    if not all(any(s["text"] for s in stem) for stem in stems):
-        return "missing-stem-transcript", []
-    if anchor(*(normalized("".join(s["text"] for s in stem)) for stem in stems), whole=0) >= 0.88:
-        return "duplicate-stem-transcript", []
-    if not finite(w["emb_dist"]):
-        return "missing-speaker-embedding", []
-    if w["emb_dist"] < 0.08:
-        return "same-speaker-embedding", []
-    near = [b for b in base if _meet(b, w["start_s"], w["end_s"]) > 0]
-    if not near:
-        return "missing-baseline-anchor", []
-    if max(anchor(s["norm"], b["norm"]) for stem in stems for s in stem for b in near) < 0.45:
-        return "unanchored-transcript", []
-    added: list[dict] = []
-    for s in (s for stem in stems for s in stem):
-        if len(s["norm"]) >= 2 and _meet(s, w["core_start_s"], w["core_end_s"]) > 0 and not _known(s, near + added):
-            added.append(s)
-    return ("novel-transcript" if added else "no-novel-transcript"), added
-
-
-def merge_separated(base: list[dict], additions: list[dict]) -> list[dict]:
-    """CN-12: additions that neither the base nor earlier additions have; by start and end, base rows first."""
-    out = [b | {"separated": False} for b in base]
-    for a in additions:
-        if not _known(a, out):
-            out.append(a | {"separated": True})
-    return sorted(out, key=lambda x: (x["start_s"], x["end_s"], x["separated"]))
-
-
-def separated(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """CN-10 to CN-12 per recording: (recording_id, window, reason, start_s, end_s, text, separated).
-
-    ``base``: recording_id, start_s, end_s, text. ``windows``: recording_id, window int and gate_window's columns, with stems
-    (array of arrays of (start_s, end_s, text)). One row per window has its reason; the merged segments have a null window.
-    """
-    seg = lambda s: {"start_s": s["start_s"], "end_s": s["end_s"], "text": s["text"] or "", "norm": normalized(s["text"] or "")}
-    b = base.select("recording_id", "start_s", "end_s", F.coalesce("text", F.lit("")).alias("text"))
-    # Arrow gives pandas no ragged arrays of arrays, so a segment has its stem's number
-    flat = F.flatten(F.transform("stems", lambda x, i: F.transform(x, lambda s: F.struct(i.alias("stem"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"), s["text"].alias("text")))))
-    w = windows.select("recording_id", "window", "start_s", "end_s", "core_start_s", "core_end_s", "shares", "corr", "emb_dist", F.coalesce(F.size("stems"), F.lit(0)).alias("n"), flat.alias("flat"))
-    cols = ["recording_id", "window", "reason", "start_s", "end_s", "text", "separated"]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        segs, out, added = [seg(s) for s in left.sort_values(["start_s", "end_s", "text"]).to_dict("records")], [], []
-        for r in right.sort_values("window").to_dict("records"):
-            stems = [[seg(s) for s in (r["flat"] if r["flat"] is not None else []) if s["stem"] == i] for i in range(max(r["n"], 0))]
-            reason, new = gate_window(r, stems, segs)
-            added += new
-            out.append((r["recording_id"], r["window"], reason, None, None, None, None))
-        rec = (left if len(left) else right)["recording_id"].iloc[0]
-        out += [(rec, None, None, s["start_s"], s["end_s"], s["text"], s["separated"]) for s in merge_separated(segs, added)]
-        return pd.DataFrame(out, columns=cols).astype({"window": "Int32", "separated": "boolean"})
-
-    kind = f"recording_id {base.schema['recording_id'].dataType.simpleString()}, window int, reason string, start_s double, end_s double, text string, separated boolean"
-    return b.groupBy("recording_id").cogroup(w.groupBy("recording_id")).applyInPandas(run, kind)
-
-
-def separation_pass(tracks: DataFrame, base: DataFrame, durations: DataFrame, separate) -> DataFrame:
-    """CN-14: where speakers overlap, windows are separated, and what the gate lets in is merged into the base segments.
-
-    ``separate`` takes windows (recording_id, idx, start_s, end_s, overlap_start, overlap_end) and adds shares, corr, emb_dist and stems, as
-    ``gate_window`` has them.
-    """
-    windows = separation_windows(detect_overlaps(tracks), durations)
-    named = separate(windows).withColumnRenamed("idx", "window").withColumnRenamed("overlap_start", "core_start_s").withColumnRenamed("overlap_end", "core_end_s")
-    return separated(base, named.withColumn("window", F.col("window").cast("int")))

@@ -452,3 +452,20 @@ add("cache_hits", [], """select cache, seq, entry, p is not null and (select cou
 add("sound_ranges", [], """select form, stream, count(*) as n, cast(sum(floor(greatest(-1e0, least(1e0, cast(x as double))) * 32767 + 0.5e0)) as bigint) as total from
 (select stream, x, row_number() over (partition by stream order by vec_id, i) as p from (select vec_id % 16 as stream, vec_id, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings)), (values ('wav'), ('raw')) f(form)
 where p > 800 and p <= 2400 group by 1, 2""")
+
+
+# the gate of separated speech. Accented letters are written as control characters, which normalised texts don't have: the engine's levenshtein counts bytes
+ACCENTS = "áàâäæçéèêëíîïñóôöœúùûüÿß"
+plain = lambda x: f"translate({x}, '{ACCENTS}', {' || '.join(f'chr({i})' for i in range(1, len(ACCENTS) + 1))})"
+meet = lambda a, b: f"least({a}.end_s, {b}.end_s) - greatest({a}.start_s, {b}.start_s)"
+add("gate_reasons", ["v_utt"], f"""select recording_id, turn as window, reason, case when reason = 'novel-transcript' then new else 0 end as added from (select *, case when turn % 10 = 5 then 'missing-metrics' when turn % 9 = 4 then 'silent-stem'
+  when turn % 7 = 3 then 'correlated-stems' when text = '' then 'missing-stem-transcript' when {tsim("n0", "n1")} >= 0.88e0 then 'duplicate-stem-transcript' when turn % 8 = 7 then 'missing-speaker-embedding'
+  when turn % 8 = 6 then 'same-speaker-embedding' when likeness is null then 'missing-baseline-anchor' when likeness < 0.45e0 then 'unanchored-transcript' when new = 0 then 'no-novel-transcript' else 'novel-transcript' end as reason from gj)""", f"""gu as (select *, {plain(norm("coalesce(text, '')"))} as n from v_utt),
+gw as (select recording_id, turn, coalesce(text, '') as text, start_s, end_s, n as n0, case when turn % 4 = 1 then n else {plain(norm("reverse(coalesce(text, ''))"))} end as n1 from gu),
+gh as (select *, 0 as place, n0 as n from gw union all select * replace (start_s + 0.25e0 as start_s, end_s + 0.25e0 as end_s), 1, n1 from gw),
+gp as (select h.recording_id, h.turn, h.place, {asim("h.n", "b.n")} as a, {meet("h", "b")} > 0.03e0 as now from gh h join gw w using (recording_id, turn) join gu b on b.recording_id = h.recording_id and b.end_s > b.start_s and w.end_s + 1 > w.start_s - 1
+  and b.end_s > w.start_s - 1 and b.start_s < w.end_s + 1),
+gm as (select recording_id, turn, place, max(a) as likeness, bool_or(now and a >= 0.68e0) as known from gp group by 1, 2, 3),
+gf as (select h.recording_id, h.turn, h.place, likeness, not coalesce(known, false) and length(h.n) >= 2 and {meet("h", "w")} > 0 as fresh from gh h join gw w using (recording_id, turn) left join gm using (recording_id, turn, place)),
+gj as (select w.*, f.likeness, f.fa + case when f.fb = 1 and not (f.fa = 1 and w.end_s - w.start_s - 0.25e0 > 0.03e0 and {asim("w.n0", "w.n1")} >= 0.68e0) then 1 else 0 end as new
+  from gw w join (select recording_id, turn, max(likeness) as likeness, max(case when place = 0 and fresh then 1 else 0 end) as fa, max(case when place = 1 and fresh then 1 else 0 end) as fb from gf group by 1, 2) f using (recording_id, turn))""")

@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import consensus as C
 from ..operators import corrections as K
 from ..operators import evaluation as E
+from ..operators import gate as W
 from ..operators import intervals as I
 from ..operators import settings as X
 from ..operators import signal as G
@@ -782,15 +783,26 @@ def similar_overlaps(utt):
     return C.similar_overlaps(said, I.shift(said, 1.0)).select("recording_id", "turn", "r_turn")
 
 
-@query("v_utt")
-def separated_merge(utt):
+def _stem_windows(utt):
+    """A window around every turn; one stem says what the turn says, the other the same backwards a little later."""
     stem = lambda text, by: F.struct((F.col("start_s") + by).alias("start_s"), (F.col("end_s") + by).alias("end_s"), text.alias("text"))
-    w = utt.where("turn % 5 = 0").select(
-        "recording_id", F.col("turn").cast("int").alias("window"), (F.col("start_s") - 1).alias("start_s"), (F.col("end_s") + 1).alias("end_s"), F.col("start_s").alias("core_start_s"), F.col("end_s").alias("core_end_s"),
-        F.when(F.col("turn") % 10 != 5, F.array(F.lit(0.6), F.lit(0.4))).alias("shares"), F.lit(0.2).alias("corr"), F.lit(0.4).alias("emb_dist"),
-        F.array(F.array(stem(F.col("text"), 0.0)), F.array(stem(F.reverse("text"), 0.25))).alias("stems"),
+    n = F.col("turn")
+    return utt.select(
+        "recording_id", n.cast("int").alias("window"), (F.col("start_s") - 1).alias("start_s"), (F.col("end_s") + 1).alias("end_s"), F.col("start_s").alias("core_start_s"), F.col("end_s").alias("core_end_s"),
+        F.when(n % 10 != 5, F.array(F.when(n % 9 == 4, 0.001).otherwise(0.6), F.lit(0.4))).alias("shares"), F.when(n % 7 == 3, -0.99).otherwise(0.2).alias("corr"),
+        F.when(n % 8 != 7, F.when(n % 8 == 6, 0.01).otherwise(0.4)).alias("emb_dist"),
+        F.array(F.array(stem(F.col("text"), 0.0)), F.array(stem(F.when(n % 4 == 1, F.col("text")).otherwise(F.reverse("text")), 0.25))).alias("stems"),
     )
-    return _times(T.separated(utt, w))
+
+
+@query("v_utt")
+def separated_merge(utt):
+    return _times(W.separated(utt, _stem_windows(utt)))
+
+
+@query("v_utt")
+def gate_reasons(utt):
+    return W.gate(utt, _stem_windows(utt)).select("recording_id", "window", "reason", F.size("added").cast("long").alias("added"))
 
 
 # metrics over any number of speakers

@@ -10,6 +10,7 @@ from speechlake.operators import consensus as C
 from speechlake.operators import evaluation as E
 from speechlake.operators import intervals as I
 from speechlake.operators import signal as G
+from speechlake.operators import gate as W
 from speechlake.operators import transcript as T
 from speechlake.operators import tuning as U
 from speechlake.operators import vectors as V
@@ -130,7 +131,7 @@ def test_separation_pass_and_staged_execution(spark):
         seg = lambda t: F.array(F.struct(F.lit(4.0).alias("start_s"), F.lit(5.0).alias("end_s"), F.lit(t).alias("text")))
         return w.withColumns({"shares": F.array(F.lit(0.5), F.lit(0.5)), "corr": F.lit(0.1), "emb_dist": F.lit(0.5), "stems": F.array(seg("good morning everyone"), seg("not so fast"))})
 
-    out = T.separation_pass(tracks, base, dur, separate).collect()
+    out = W.separation_pass(tracks, base, dur, separate).collect()
     assert [r.reason for r in out if r.window is not None] == ["novel-transcript"] and [r.text for r in out if r.separated] == ["not so fast"]
 
     items = [("r", g, o, t, float(o), o + 1.0) for g in (1, 2) for o, t in enumerate(["primary", "primary", "extended"])]
