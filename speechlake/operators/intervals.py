@@ -42,14 +42,15 @@ def islands(df: DataFrame, tolerance: float, key: str = "recording_id") -> DataF
     return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_fresh")
 
 
-def merge(df: DataFrame, tolerance: float = 0.02, key: str = "recording_id", span: float = 600.0) -> DataFrame:
+def merge(df: DataFrame, tolerance: float = 0.02, key: str | list[str] = "recording_id", span: float = 600.0) -> DataFrame:
     """IV-07: (key, start_s, end_s) of the merged intervals.
 
     First within stretches of ``span`` seconds, by where intervals start, then what that leaves: a long recording's intervals are sorted in
     many tasks, and the window over all of it sees merged ones only. What is merged early would be merged anyway.
     """
-    d = df.select(key, "start_s", "end_s").withColumn("_part", F.floor(F.col("start_s") / span))
-    for by in ([key, "_part"], [key]):
+    keys = [key] if isinstance(key, str) else key
+    d = df.select(*keys, "start_s", "end_s").withColumn("_part", F.floor(F.col("start_s") / span))
+    for by in ([*keys, "_part"], keys):
         w = Window.partitionBy(*by).orderBy("start_s", "end_s")
         covered = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
         d = d.withColumn("_fresh", F.when(F.col("start_s") <= covered + tolerance, 0).otherwise(1))
@@ -65,9 +66,26 @@ def overlap_pairs(tracks: DataFrame, least: float = 0.08) -> DataFrame:
     return pairs.where(F.col("end_s") - F.col("start_s") >= least)
 
 
-def detect_overlaps(tracks: DataFrame, least: float = 0.08, tolerance: float = 0.02) -> DataFrame:
-    """IV-06."""
-    return merge(overlap_pairs(tracks, least), tolerance)
+def detect_overlaps(tracks: DataFrame, least: float = 0.08, tolerance: float = 0.02, span: float = 600.0) -> DataFrame:
+    """IV-06: (recording_id, start_s, end_s) where tracks of different speakers overlap for ``least`` seconds or more, merged.
+
+    No pairs are made. Two tracks share ``least`` seconds just when they meet with that much cut off their ends, so a sweep counts the
+    speakers of such shortened tracks, and each stretch with two or more is as much longer again. Counts are taken within stretches
+    of ``span`` seconds, from what is open at their start; over a whole recording only the edges of overlaps are put in order.
+    """
+    own = tracks.where("speaker IS NOT NULL").where(F.col("end_s") - F.col("start_s") >= least)
+    spoken = merge(own, -least, ["recording_id", "speaker"], span)
+    begin = spoken.select("recording_id", F.col("start_s").alias("at"), F.lit(1).alias("step"), F.lit(None).cast("double").alias("end_s"))
+    end = spoken.select("recording_id", (F.col("end_s") - least).alias("at"), F.lit(-1).alias("step"), "end_s")
+    events = begin.unionByName(end).withColumn("part", F.floor(F.col("at") / span))
+    before = Window.partitionBy("recording_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = events.groupBy("recording_id", "part").agg(F.sum("step").alias("net")).withColumn("open", F.coalesce(F.sum("net").over(before), F.lit(0))).drop("net")
+    upto = Window.partitionBy("recording_id", "part").orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    d = events.join(open_, ["recording_id", "part"]).withColumn("depth", F.col("open") + F.sum("step").over(upto))
+    edges = d.where(((F.col("step") == 1) & (F.col("depth") == 2)) | ((F.col("step") == -1) & (F.col("depth") == 1)))
+    following = F.lead("end_s").over(Window.partitionBy("recording_id").orderBy("at", F.desc("step")))
+    found = edges.withColumn("end_s", following).where("step = 1").select("recording_id", F.col("at").alias("start_s"), "end_s")
+    return merge(found, tolerance, span=span)
 
 
 def strict_split(segs: DataFrame, most: float = 6.0, overlap: float = 0.18) -> DataFrame:

@@ -1,12 +1,11 @@
-"""Sample-array operators (MA-03/04/07/08, WN-12/13, SNK-02/03, EV-07, ST-01)."""
+"""Sample-array operators (MA-03/04, WN-12/13, SNK-02/03, ST-01)."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let, mean, rms, round6
@@ -55,64 +54,6 @@ def pcm16(v: Column) -> Column:
     return F.transform(v, lambda x: F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767 + 0.5).cast("int"))
 
 
-def xorshift(seed: int) -> Iterator[float]:
-    """MA-08: 32-bit xorshift (13, 17, 5) as fractions; seed 0 counts as 1."""
-    state = (seed or 1) & 0xFFFFFFFF
-    while True:
-        for by in (13, -17, 5):
-            state ^= (state << by if by > 0 else state >> -by) & 0xFFFFFFFF
-        yield state / 2**32
-
-
-def mix_plan(spark: SparkSession, utts: list[dict], count: int, seed: int, snr: tuple[float, ...] = (-6.0, 0.0, 6.0), ratios: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """EV-07: seeded distinct pairs of utterances of two speakers; loudness cycles fastest, then the overlap ratio; the lead alternates.
-
-    The plan of a test set is small and made on the driver; it fails where a hundred draws for each pair don't give enough.
-    """
-    draw = xorshift(seed)
-    by: dict[str, list[dict]] = {}
-    for u in utts:
-        by.setdefault(u["speaker"], []).append(u)
-    names = list(by)
-    if len(names) < 2:
-        raise ValueError("a mix needs utterances of two speakers")
-    pick = lambda values: values[int(next(draw) * len(values))]
-    seen: set[tuple[str, str]] = set()
-    rows: list[tuple] = []
-    for _ in range(100 * count):
-        if len(rows) == count:
-            break
-        a = pick(names)
-        b = pick([n for n in names if n != a])
-        pair = pick(by[a])["id"], pick(by[b])["id"]
-        if pair not in seen:
-            seen.add(pair)
-            i = len(rows)
-            rows.append((i, *pair, snr[i % len(snr)], ratios[i // len(snr) % len(ratios)], i % 2))
-    if len(rows) < count:
-        raise ValueError("too few different pairs")
-    return spark.createDataFrame(rows, "idx int, source_a string, source_b string, snr_db double, overlap_ratio double, lead int")
-
-
-def mix_sources(a: np.ndarray, b: np.ndarray, snr_db: float, ratio: float, lead: int, rate: int = 16000) -> dict:
-    """MA-07: two sources overlapped by a share of the shorter one, the second at the given loudness below the first."""
-    a, b = (np.asarray(x, np.float64) - np.mean(x) for x in (a, b))
-    loud = lambda x: float(np.sqrt(np.mean(x * x))) if len(x) else 0.0
-    b = b * (loud(a) / max(1e-9, loud(b)) / 10 ** (snr_db / 20))
-    ratio = min(1.0, max(0.1, ratio or 0.5))
-    first, second = (a, b) if lead == 0 else (b, a)
-    shared = max(1, int(np.floor(min(len(a), len(b)) * ratio + 0.5)))
-    at = max(0, len(first) - shared)
-    n = max(len(first), at + len(second))
-    x, y = np.zeros(n), np.zeros(n)
-    x[: len(first)] = first
-    y[at : at + len(second)] = second
-    peak = float(np.max(np.abs(x + y))) if n else 0.0
-    scale = 0.98 / peak if peak > 0.98 else 1.0
-    x, y = x * scale, y * scale
-    return {"mix": x + y, "stems": (x, y), "overlap_start": at / rate, "overlap_end": min(len(first), at + len(second)) / rate, "duration": n / rate}
-
-
 def source_shares(stems: Column) -> Column:
     """MA-04: each stem's share of the stems' loudness; zero for silence."""
     return let(F.transform(stems, rms), lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(r, lambda x: F.when(t > 0, x / t).otherwise(0.0))))

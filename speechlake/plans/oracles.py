@@ -469,3 +469,23 @@ gm as (select recording_id, turn, place, max(a) as likeness, bool_or(now and a >
 gf as (select h.recording_id, h.turn, h.place, likeness, not coalesce(known, false) and length(h.n) >= 2 and {meet("h", "w")} > 0 as fresh from gh h join gw w using (recording_id, turn) left join gm using (recording_id, turn, place)),
 gj as (select w.*, f.likeness, f.fa + case when f.fb = 1 and not (f.fa = 1 and w.end_s - w.start_s - 0.25e0 > 0.03e0 and {asim("w.n0", "w.n1")} >= 0.68e0) then 1 else 0 end as new
   from gw w join (select recording_id, turn, max(likeness) as likeness, max(case when place = 0 and fresh then 1 else 0 end) as fa, max(case when place = 1 and fresh then 1 else 0 end) as fb from gf group by 1, 2) f using (recording_id, turn))""")
+
+
+# synthetic overlaps
+X32 = lambda x, by: f"xor({x}, ({x} << {by}) & 4294967295)"
+add("mix_plans", ["v_utt"], """select cast(i as bigint) as idx, source_a, source_b, [-6e0, 0e0, 6e0][i % 3 + 1] as snr_db, [0.25e0, 0.5e0, 0.75e0, 1e0][(i // 3) % 4 + 1] as overlap_ratio, case when i % 2 = 0 then 'a' else 'b' end as lead from
+(select *, row_number() over (order by t) - 1 as i from (select least(u.id, v.id) as lo, greatest(u.id, v.id) as hi, min(t) as t, arg_min(u.id, t) as source_a, arg_min(v.id, t) as source_b from xb
+  join xr u on u.who = a and u.place = cast(floor(x2 * na) as bigint) join xr v on v.who = b and v.place = cast(floor(x3 * nb) as bigint) group by 1, 2)) where i < (select count(*) // 2 from xu)""", f"""xu as (select recording_id * 1000 + turn as id, speaker from v_utt where trim(coalesce(text, '')) <> ''),
+xs as (select speaker, n, row_number() over (order by f) - 1 as who from (select speaker, count(*) as n, min(id) as f from xu group by 1)),
+xr as (select id, who, row_number() over (partition by who order by id) - 1 as place from xu join xs using (speaker)),
+x0 as (with recursive st as (select 0 as k, cast(2024 as bigint) as x union all select k + 1, {X32("w", 5)} from (select k, xor(v, v >> 17) as w from (select k, {X32("x", 13)} as v from st where k < 8 * (select count(*) from xu)))) select k - 1 as k, x / 4294967296::double as x from st where k > 0),
+xa as (select k // 4 as t, max(case when k % 4 = 0 then x end) as x0, max(case when k % 4 = 1 then x end) as x1, max(case when k % 4 = 2 then x end) as x2, max(case when k % 4 = 3 then x end) as x3 from x0 group by 1),
+xc as (select *, cast(floor(x0 * (select count(*) from xs)) as bigint) as a, cast(floor(x1 * ((select count(*) from xs) - 1)) as bigint) as b0 from xa),
+xb as (select c.*, c.b, p.n as na, q.n as nb from (select *, b0 + case when b0 >= a then 1 else 0 end as b from xc) c join xs p on p.who = c.a join xs q on q.who = c.b)""")
+add("mixed_sounds", [], f"""select idx, count(*) as n, {R("sum(m * m)")} as energy, {R("sum(abs(y))")} as second, {R("max(abs(m))")} as peak from
+(select idx, (x + y) * k as m, y * k as y from (select *, case when max(abs(x + y)) over (partition by idx) > 0.98e0 then 0.98e0 / max(abs(x + y)) over (partition by idx) else 1e0 end as k from
+(select idx, p, sum(x) as x, sum(y) as y from (select l.idx, s.p + case when l.idx % 2 = 0 then 0 else l.o end as p, (s.x - l.ma) * l.ga as x, 0e0 as y from zl l join zs s on s.id = l.idx
+union all select l.idx, s.p + case when l.idx % 2 = 0 then l.o else 0 end, 0e0, (s.x - l.mb) * l.gb from zl l join zs s on s.id = (l.idx + 1) % 16) group by 1, 2))) group by 1""", """zs as (select vec_id % 16 as id, x, row_number() over (partition by vec_id % 16 order by vec_id, i) - 1 as p from (select vec_id, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings)),
+zm as (select id, count(*) as n, avg(x) as mean, sqrt(greatest(0, var_pop(x))) as rms from zs group by 1),
+zl as (select a.id as idx, a.mean as ma, b.mean as mb, 0.1e0 / a.rms as ga, 0.1e0 * pow(10e0, -((a.id % 3 - 1) * 6) / 20e0) / b.rms as gb,
+  greatest(0, case when a.id % 2 = 0 then a.n else b.n end - greatest(1, cast(floor(least(a.n, b.n) * ((a.id % 4 + 1) / 4e0) + 0.5e0) as bigint))) as o from zm a join zm b on b.id = (a.id + 1) % 16 where least(a.n, b.n) >= 250)""")

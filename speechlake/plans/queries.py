@@ -14,6 +14,7 @@ from ..operators import corrections as K
 from ..operators import evaluation as E
 from ..operators import gate as W
 from ..operators import intervals as I
+from ..operators import mixtures as MX
 from ..operators import settings as X
 from ..operators import signal as G
 from ..operators import transcript as T
@@ -1037,3 +1038,27 @@ def sound_ranges(emb):
         rows = read.select(F.lit(form).alias("form"), F.regexp_extract("path", "s([0-9]+)[.][a-z]+$", 1).cast("long").alias("stream"), F.size("samples").cast("long").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + whole(x)).cast("long").alias("total"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# synthetic overlaps
+
+
+@query("v_utt")
+def mix_plans(utt):
+    said = utt.where("trim(coalesce(text, '')) != ''").select((F.col("recording_id") * 1000 + F.col("turn")).cast("long").alias("id"), "speaker", (F.col("recording_id") * 1000 + F.col("turn")).alias("ord"))
+    return MX.mix_plan(said, said.count() // 2, 2024)
+
+
+@query("embeddings")
+def mixed_sounds(emb):
+    """Every two neighbouring streams of samples mixed: length, energies and peak of the mixture, from its chunks."""
+    n = F.col("vec_id") % 16
+    chunks = emb.select(n.alias("id"), F.col("vec_id").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    i = F.col("id")
+    plans = chunks.select("id").distinct().select(i.alias("idx"), i.alias("source_a"), ((i + 1) % 16).alias("source_b"), ((i % 3 - 1) * 6).cast("double").alias("snr_db"), ((i % 4 + 1) / 4).alias("overlap_ratio"), F.when(i % 2 == 0, "a").otherwise("b").alias("lead"))
+    out = MX.mixed(MX.mix_layout(plans, chunks, rate=1000), chunks, size=500)
+    total = lambda c, f: S.round6(F.sum(F.aggregate(c, F.lit(0.0), lambda a, v: a + f(v))))
+    return out.groupBy("idx").agg(
+        F.sum(F.size("mixture")).cast("long").alias("n"), total("mixture", lambda v: v * v).alias("energy"), total("stem_b", lambda v: F.abs(v)).alias("second"),
+        S.round6(F.max(F.array_max(F.transform("mixture", F.abs)))).alias("peak"),
+    )

@@ -126,3 +126,17 @@ def test_gate_reasons(spark):
 def test_thread_budget_golden(spark):
     d = spark.createDataFrame([(16, 4), (4, 3), (16, 1)], "c int, w int").select(S.diarization_threads(F.col("c"), F.col("w")))
     assert [r[0] for r in d.collect()] == [3, 1, 4]
+
+
+def test_overlaps_by_sweep_equal_merged_pairs(spark):
+    r = random.Random(21)
+    rows, n = [], 0
+    for rec in range(20):
+        for _ in range(r.choice([1, 20, 60])):
+            start = r.randrange(0, 2000) / 8
+            rows.append((rec, r.choice([1, 2, 3, None]), n, start, start + r.choice([0, 1, 2, 8, 40, 90]) / 8))
+            n += 1
+    d = spark.createDataFrame(rows, "recording_id long, speaker int, seg_id long, start_s double, end_s double")
+    for least, span in ((0.125, 600.0), (0.25, 7.0), (1.0, 0.5)):
+        got = sorted(map(tuple, I.detect_overlaps(d, least, 0.0625, span).collect()))
+        assert got == sorted(map(tuple, I.merge(I.overlap_pairs(d, least), 0.0625).collect())) and len(got) > 10
