@@ -489,3 +489,7 @@ union all select l.idx, s.p + case when l.idx % 2 = 0 then l.o else 0 end, 0e0,
 zm as (select id, count(*) as n, avg(x) as mean, sqrt(greatest(0, var_pop(x))) as rms from zs group by 1),
 zl as (select a.id as idx, a.mean as ma, b.mean as mb, 0.1e0 / a.rms as ga, 0.1e0 * pow(10e0, -((a.id % 3 - 1) * 6) / 20e0) / b.rms as gb,
   greatest(0, case when a.id % 2 = 0 then a.n else b.n end - greatest(1, cast(floor(least(a.n, b.n) * ((a.id % 4 + 1) / 4e0) + 0.5e0) as bigint))) as o from zm a join zm b on b.id = (a.id + 1) % 16 where least(a.n, b.n) >= 250)""")
+
+add("speech_segments", [], f"""select cast(path as varchar) as path, {R("min(k) / 10e0")} as start_s, {R("(max(k) + 1) / 10e0")} as end_s, cast(count(*) as int) as frames from (select *, sum(f) over (partition by path order by k rows unbounded preceding) as g from
+(select path, k, case when k - lag(k) over (partition by path order by k) <= 2 then 0 else 1 end as f from sf where loud)) group by path, g""", """sf as (select path, k, sqrt(list_sum(list_transform(x, lambda v: v::double * v::double)) / 16) >= 0.13e0 as loud from
+  (select vec_id % 5 as path, row_number() over (partition by vec_id % 5 order by vec_id, q) - 1 as k, embedding[q * 16 + 1:q * 16 + 16] as x from embeddings, range(0, 4) r(q)))""")

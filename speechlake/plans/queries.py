@@ -21,6 +21,7 @@ from ..operators import transcript as T
 from ..operators import tuning as U
 from ..operators import vectors as V
 from ..sources import media as M
+from ..sources import models as MD
 from ..sources import pcm as P
 from ..sources.shared import new_folder
 from ..streaming import lifecycle as LC
@@ -1062,3 +1063,10 @@ def mixed_sounds(emb):
         F.sum(F.size("mixture")).cast("long").alias("n"), total("mixture", lambda v: v * v).alias("energy"), total("stem_b", lambda v: F.abs(v)).alias("second"),
         S.round6(F.max(F.array_max(F.transform("mixture", F.abs)))).alias("peak"),
     )
+
+
+@query("embeddings")
+def speech_segments(emb):
+    """Streams of samples at 160 a second, a tenth of a second a frame: where they are loud."""
+    chunks = emb.select((F.col("vec_id") % 5).cast("string").alias("path"), F.col("vec_id").cast("long").alias("chunk"), F.col("embedding").cast("array<float>").alias("samples"))
+    return _times(MD.speech(chunks, 160, 16, 0.13, silence=0.15, least=0.0, most=1e9))
