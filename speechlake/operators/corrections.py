@@ -68,25 +68,31 @@ def taken(start: np.ndarray, end: np.ndarray, row_start: np.ndarray, row_end: np
 
     A row takes the free segment that shares most with it, the nearest by its middle of equal ones. With it go the free segments that
     lie in the row by their middle, unless they cross one that already goes: those are someone else speaking at the same time.
+    Only segments that meet the block's rows are looked at, so work and memory are the block's, not the recording's.
     """
-    timed = np.isfinite(start) & np.isfinite(end) & (end > start)
-    hit = np.where(timed[:, None], _shared(start, end, row_start, row_end), 0.0)
-    middle = (start + end) / 2
-    both = _shared(start, end, start, end)
-    shorter = np.maximum(1e-3, np.minimum.outer(end - start, end - start))
-    crossing = (both > CROSSED) & (both / shorter >= CROSSED_SHARE)
     gone = np.zeros(len(start), bool)
+    timed = np.isfinite(start) & np.isfinite(end) & (end > start)
+    near = np.flatnonzero(timed & (end > row_start.min(initial=np.inf)) & (start < row_end.max(initial=-np.inf)))
+    a, b = start[near], end[near]
+    hit, middle, out = _shared(a, b, row_start, row_end), (a + b) / 2, np.zeros(len(near), bool)
+
+    def crossing(i: int, chosen: list[int]) -> bool:
+        both = _shared(a[[i]], b[[i]], a[chosen], b[chosen])[0]
+        shorter = np.maximum(1e-3, np.minimum(b[i] - a[i], b[chosen] - a[chosen]))
+        return bool(((both > CROSSED) & (both / shorter >= CROSSED_SHARE)).any())
+
     for k in range(len(row_start)):
-        free = np.flatnonzero(~gone & timed)
+        free = np.flatnonzero(~out)
         if not len(free) or hit[free, k].max() <= EPS:
             continue
         top = free[hit[free, k] >= hit[free, k].max() - EPS]
-        best = top[np.argmin(np.abs(middle[top] - (row_start[k] + row_end[k]) / 2))]
+        best = int(top[np.argmin(np.abs(middle[top] - (row_start[k] + row_end[k]) / 2))])
         chosen = [best]
-        for i in free:
-            if i != best and hit[i, k] >= SHARED and row_start[k] <= middle[i] <= row_end[k] and not crossing[i, chosen].any():
+        for i in free[(hit[free, k] >= SHARED) & (row_start[k] <= middle[free]) & (middle[free] <= row_end[k])].tolist():
+            if i != best and not crossing(i, chosen):
                 chosen.append(i)
-        gone[chosen] = True
+        out[chosen] = True
+    gone[near] = out
     return gone
 
 

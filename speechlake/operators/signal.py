@@ -23,10 +23,12 @@ def normalize_stem(v: Column, target: Column) -> Column:
 
 
 def waveform_peaks(samples: DataFrame, key: str, vec: str, buckets: int = 1200) -> DataFrame:
-    """WN-12: (key, bucket, peak): the largest magnitude in each of about ``buckets`` stretches."""
-    size = F.greatest(F.lit(1), F.floor(F.col("n") / buckets)).cast("int")
-    d = samples.select(key, F.size(vec).alias("n"), F.posexplode(vec).alias("i", "x"))
-    return d.groupBy(key, F.floor(F.col("i") / size).cast("int").alias("bucket")).agg(round6(F.max(F.abs("x").cast("double"))).alias("peak"))
+    """WN-12: (key, bucket, peak): the largest magnitude in each of about ``buckets`` stretches, found within the row."""
+    n = F.size(vec)
+    size = F.greatest(F.lit(1), F.floor(n / buckets)).cast("int")
+    loud = lambda b: F.array_max(F.transform(F.slice(vec, b * size + 1, size), F.abs))
+    peaks = F.when(n > 0, F.transform(F.sequence(F.lit(0), (F.ceil(n / size) - 1).cast("int")), loud))
+    return samples.select(key, F.posexplode(peaks).alias("bucket", "_x")).select(key, "bucket", round6(F.col("_x").cast("double")).alias("peak"))
 
 
 def peak_hold(peaks: DataFrame, key: str, order: str, peak: str, decay: float = 0.7) -> DataFrame:
@@ -60,10 +62,14 @@ def source_shares(stems: Column) -> Column:
 
 
 def reframe(chunks: DataFrame, key: str, order: str, samples: str, size: int = 1600) -> DataFrame:
-    """ST-01: (key, frame long, samples) of exactly ``size`` samples from chunks of any length in order; the rest of a stream waits for more."""
+    """ST-01: (key, frame long, samples) of exactly ``size`` samples from chunks of any length in order; the rest of a stream waits for more.
+
+    A chunk's place comes from a window over sizes alone, joined back to the samples; ``order`` is a chunk's own within its key.
+    """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     d = chunks.select(key, order, F.col(samples).alias("x"), F.size(samples).alias("m")).where("m > 0")
-    d = d.withColumn("at", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    at = d.select(F.col(key).alias("_k"), F.col(order).alias("_o"), "m").withColumn("at", F.coalesce(F.sum("m").over(w.partitionBy("_k").orderBy("_o")), F.lit(0))).drop("m")
+    d = d.join(at, F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))).drop("_k", "_o")
     first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("m") - 1) / size)
     d = d.withColumn("frame", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.lit(0), F.col("frame") * size - F.col("at"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignment import edit_stats_udf
 from ..functions.scalars import clamp, normalize_text, round6, score
+from ..sources.shared import written
 from .transcript import best_candidate
 
 #: Detection presets (fixed values): most seconds, least silence, least speech, threshold, overlap-aware.
@@ -41,24 +42,23 @@ def distance(a: str, b: str) -> Column:
 
 
 def coarse_grid(current: DataFrame, speaker_count: int = 1, most: int = 12) -> DataFrame:
-    """TU-01 per job (job_id and option columns): its own settings, then each preset at each denoising strength, equal ones once."""
-    spark: SparkSession = current.sparkSession
+    """TU-01 per job (job_id and option columns): its own settings, then each preset at each denoising strength, equal ones once.
+
+    A job's candidates are an array of its row until the last step, so nothing is shuffled.
+    """
     count = min(4, max(1, speaker_count))
     cur = normalize(current).withColumn("speakers", F.lit(max(2, count)))
     cur = cur if count >= 2 else cur.withColumn("overlap", F.lit(False))
-    rows = [(i, name, *v[:4], v[4] and count >= 2) for i, (name, v) in enumerate(PRESETS.items())]
-    presets = spark.createDataFrame(rows, "p int, name string, max_speech double, min_silence double, min_speech double, threshold double, overlap boolean")
-    seed = cur.select("job_id", F.struct(*FIELDS).alias("seed"))
-    own = cur.select("job_id", F.lit(-1).alias("p"), F.lit(0).alias("k"), F.lit("current").alias("label"), F.struct(*FIELDS).alias("o"))
+    option = lambda denoise, v: F.struct(*(c.alias(n) for n, c in zip(FIELDS, (denoise, *(F.lit(x) for x in v[:4]), F.lit(v[4] and count >= 2), F.lit(max(2, count))), strict=True)))
+    candidate = lambda label, o: F.struct(label.alias("label"), o.alias("o"))
     strengths = F.array(F.lit(0.0), F.lit(0.8), F.col("seed.denoise"))
-    grid = seed.select("job_id", F.posexplode(strengths).alias("k", "strength")).join(F.broadcast(presets), F.lit(True))  # a constant table of four rows
-    grid = grid.withColumns({"denoise": F.col("strength"), "speakers": F.lit(max(2, count))})
-    grid = grid.select("job_id", "p", "k", F.concat_ws("-", "name", F.col("strength").cast("string")).alias("label"), F.struct(*FIELDS).alias("o"))
-    every = own.unionByName(grid).join(seed, "job_id")
-    first = Window.partitionBy("job_id", "o").orderBy("p", "k")
-    every = every.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy("p", "k"))
-    return every.withColumn("candidate", place).where(F.col("candidate") <= most).select("job_id", "candidate", "label", *(F.col(f"o.{c}").alias(c) for c in FIELDS), distance("o", "seed").alias("seed_distance"))
+    preset = lambda name, v: lambda s: candidate(F.concat_ws("-", F.lit(name), s.cast("string")), option(s, v))
+    tried = [F.transform(strengths, preset(name, v)) for name, v in PRESETS.items()]
+    every = F.concat(F.array(candidate(F.lit("current"), F.col("seed"))), *tried)
+    keep = lambda kept, c: F.when(F.exists(kept, lambda k: k["o"] == c["o"]), kept).otherwise(F.concat(kept, F.array(c)))
+    d = cur.select("job_id", F.struct(*FIELDS).alias("seed")).withColumn("_all", every)
+    d = d.select("job_id", "seed", F.posexplode(F.slice(F.aggregate("_all", F.slice("_all", 1, 0), keep), 1, most)).alias("_n", "c")).select("job_id", "seed", (F.col("_n") + 1).alias("candidate"), "c.*")
+    return d.select("job_id", "candidate", "label", *(F.col(f"o.{c}").alias(c) for c in FIELDS), distance("o", "seed").alias("seed_distance"))
 
 
 def refine_grid(best: DataFrame, existing: DataFrame) -> DataFrame:
@@ -140,13 +140,15 @@ def evaluate(candidates: DataFrame, references: DataFrame, recognize: Recognize)
 def tune(current: DataFrame, references: DataFrame, recognize: Recognize, speaker_count: int = 1) -> DataFrame:
     """TU-05: one row per job: the chosen options, their score, its gain over the job's current settings, and the confidence.
 
-    The coarse grid is tried, then a finer one around its best; the best of both wins. ``current`` (job_id, options).
+    The coarse grid is tried, then a finer one around its best; the best of both wins. ``current`` (job_id, options). Results of the recogniser are
+    written, so each candidate is recognised once.
     """
     coarse = coarse_grid(current, speaker_count).drop("label")
-    tried = evaluate(coarse, references, recognize).withColumn("ord", F.col("candidate"))
+    coarse = written(coarse, "grid")
+    tried = written(evaluate(coarse, references, recognize).withColumn("ord", F.col("candidate")), "tried")
     best = best_candidate(tried, "job_id")
     finer = refine_grid(best.select("job_id", *FIELDS), coarse)
-    again = evaluate(finer, references, recognize).withColumn("ord", F.col("candidate") + 100)
+    again = written(evaluate(finer, references, recognize).withColumn("ord", F.col("candidate") + 100), "tried")
     every = tried.unionByName(again)
     won = best_candidate(every, "job_id").select("job_id", *FIELDS, "ord", F.col("score").alias("best_score"), F.col("accuracy").alias("best_accuracy"))
     own = tried.where("candidate = 1").select("job_id", F.col("score").alias("own_score"))
