@@ -120,12 +120,20 @@ won as (select * exclude (n) from (select *, row_number() over (partition by {ke
 
 add("consensus_vote", ["v_cand"], f"select group_id, ord, text, {R('consensus')} as consensus, votes from won", vote("v_cand", "group_id"))
 add("expansion_needed", ["v_cand"], "select group_id from (select distinct group_id from v_cand) left join won using (group_id) where consensus is null or consensus < 0.55e0 or votes < 2", vote("v_cand", "group_id"))
+# each pair of candidates is measured once; with itself a candidate agrees
 add("finalize_groups", ["v_cand"], """select group_id, repair_id, text, true as recovered from ok union all
-select group_id, null, trim(text), false from v_cand where ord = 3 and trim(text) <> '' and not exists (select 1 from ok where ok.group_id = v_cand.group_id)""", "c2 as (select *, ord % 2 as repair_id from v_cand),\n" + vote("c2", "group_id, repair_id") + """,
+select c.group_id, null, trim(c.text), false from v_cand c left join (select distinct group_id from ok) k on k.group_id = c.group_id where c.ord = 3 and trim(c.text) <> '' and k.group_id is null""", """u as (select group_id, ord % 2 as repair_id, ord, trim(text) as text from v_cand where trim(text) <> ''),
+p as (select a.group_id, a.ord as i, b.ord as j, 1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))::double as sim, case when a.text = b.text then 1 else 0 end as eq
+  from u a join u b on a.group_id = b.group_id and a.repair_id = b.repair_id and a.ord < b.ord),
+q as (select group_id, i as ord, sim, eq from p union all select group_id, j, sim, eq from p union all select group_id, ord, 1e0, 1 from u),
+r as (select group_id, ord, round(sum(sim) / count(*), 9) as consensus, sum(eq) as votes from q group by 1, 2),
+won as (select * from (select u.*, consensus, row_number() over (partition by u.group_id, u.repair_id order by consensus desc, votes desc, length(text) desc, u.ord) as n from u join r on r.group_id = u.group_id and r.ord = u.ord) where n = 1),
 w as (select group_id, repair_id, (group_id + repair_id) % 3 as speaker, consensus, 0.4e0 + (group_id % 7) * 0.2e0 * (repair_id + 0.5e0) as span_s, text from won),
-cv as (select *, sum(span_s) over (partition by group_id, speaker) as cover from w),
-cm as (select *, max(cover) over (partition by group_id) as most, count(*) over (partition by group_id) as n from cv),
-ok as materialized (select group_id, repair_id, text from cm where consensus >= 0.34e0 and span_s >= 0.45e0 and (n = 1 or cover >= most * 0.45e0))""")
+cv as (select group_id, speaker, sum(span_s) as cover from w group by 1, 2),
+cm as (select group_id, max(cover) as most from cv group by 1),
+cn as (select group_id, count(*) as n from w group by 1),
+ok as (select w.group_id, w.repair_id, w.text from w join cv on cv.group_id = w.group_id and cv.speaker = w.speaker join cm on cm.group_id = w.group_id join cn on cn.group_id = w.group_id
+  where consensus >= 0.34e0 and span_s >= 0.45e0 and (n = 1 or cover >= most * 0.45e0))""")
 add("reject_reason_histogram", ["v_gate"], """select case when event_id % 97 = 0 then 'missing-metrics' when share < 0.008e0 then 'silent-stem' when abs(corr) > 0.97e0 then 'correlated-stems' when no_text then 'missing-stem-transcript'
 when emb_dist < 0.08e0 then 'same-speaker-embedding' when no_anchor then 'missing-baseline-anchor' else 'accepted' end as reason, count(*) as n from v_gate group by 1""")
 add("normalize_text", [], f"select doc_id, {norm('coalesce(text, chr(32))')} as normalized from documents")
@@ -493,3 +501,17 @@ zl as (select a.id as idx, a.mean as ma, b.mean as mb, 0.1e0 / a.rms as ga, 0.1e
 add("speech_segments", [], f"""select cast(path as varchar) as path, {R("min(k) / 10e0")} as start_s, {R("(max(k) + 1) / 10e0")} as end_s, cast(count(*) as int) as frames from (select *, sum(f) over (partition by path order by k rows unbounded preceding) as g from
 (select path, k, case when k - lag(k) over (partition by path order by k) <= 2 then 0 else 1 end as f from sf where loud)) group by path, g""", """sf as (select path, k, sqrt(list_sum(list_transform(x, lambda v: v::double * v::double)) / 16) >= 0.13e0 as loud from
   (select vec_id % 5 as path, row_number() over (partition by vec_id % 5 order by vec_id, q) - 1 as k, embedding[q * 16 + 1:q * 16 + 16] as x from embeddings, range(0, 4) r(q)))""")
+
+
+# reports and maps
+add("percent_labels", ["v_status"], "select event_id, case when phase <> 'queued' then printf('%.1f%%', floor(value * 2) / 1000e0 * 100) else '-' end as label from v_status")
+add("report_markdown", ["v_cases"], f"""select '| dataset | cases | mixture_cer | separated_cer | gate_rate |' || chr(10) || '|-|-|-|-|-|' || chr(10) || string_agg('| ' || coalesce(dataset, 'all') || ' | ' || cases || ' | ' || mixture_cer || ' | ' || separated_cer || ' | ' || gate_rate || ' |', chr(10)
+order by dataset nulls first) as content from (select dataset, {REPORT} from v_cases group by grouping sets ((), (dataset)))""")
+add("export_json", ["v_utt"], """select recording_id, '{"segments":[' || string_agg('{"idx":' || turn || ',"start":' || start_s || ',"end":' || end_s || ',"text":' || cast(to_json(text) as varchar) || case when spk is null then '' else ',"speaker":' || spk end || '}', ',' order by turn) || ']}' as content from v_utt group by 1""")
+add("tune_speaker_map", ["v_seg"], "select recording_id, cluster, label, score from (select *, unnest(kept) as k from fin) join sc using (recording_id, n) where k = n", """sc as (select *, row_number() over (partition by recording_id order by score desc, cluster, label) as n from
+  (select a.recording_id, a.speaker as cluster, b.speaker as label, round(sum(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)), 3) as score from v_seg a join v_seg b on a.recording_id = b.recording_id and a.end_s > b.start_s and a.start_s < b.end_s
+   and a.end_s > a.start_s and b.end_s > b.start_s where a.speaker < 2 and b.speaker >= 2 group by 1, 2, 3) where score > 0),
+fo as (with recursive f as (select distinct recording_id, cast(0 as bigint) as n, cast([] as int[]) as cs, cast([] as int[]) as ls, cast([] as bigint[]) as kept from sc
+  union all select f.recording_id, s.n, case when free then list_append(cs, s.cluster) else cs end, case when free then list_append(ls, s.label) else ls end, case when free then list_append(kept, s.n) else kept end
+  from (select f.*, s.n as m, s.cluster, s.label, not list_contains(cs, s.cluster) and not list_contains(ls, s.label) as free from f join sc s on s.recording_id = f.recording_id and s.n = f.n + 1) f join sc s on s.recording_id = f.recording_id and s.n = f.m) select * from f),
+fin as (select recording_id, kept, unnest(kept) as n from (select recording_id, arg_max(kept, n) as kept from fo group by 1))""")
