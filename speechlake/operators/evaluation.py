@@ -28,13 +28,11 @@ def parse_transcript(lines: DataFrame, compatible: bool = True) -> DataFrame:
     return d.withColumn("warning", warning).drop("_v", "_m", "_b", "_s")
 
 
-def overlap_cases(segs: DataFrame, most: float = 10.0) -> DataFrame:
-    """EV-01/02: (recording_id, overlap_start, overlap_end, start_s, end_s, speakers, texts, reason): cases of exactly two speakers.
-
-    Overlaps with the same set of segments count once, the first; reason is null for cases. Segments (recording_id, seg_id, speaker, text).
+def built_cases(segs: DataFrame, most: float = 10.0) -> DataFrame:
+    """EV-01/02: (recording_id, o0, o1, start_s, end_s, speakers, rows, reason) of overlaps, unrounded: rows (array of who, s, e, t) are the segments
+    that meet them, sorted; reason is null for cases of exactly two speakers. Overlaps with the same segments count once, the first.
     """
-    cores = detect_overlaps(segs)
-    j = range_join(cores, segs)
+    j = range_join(detect_overlaps(segs), segs)
     a = j.groupBy("recording_id", F.col("start_s").alias("o0"), F.col("end_s").alias("o1")).agg(
         F.countDistinct("r_speaker").alias("speakers"), F.array_join(F.array_sort(F.collect_list(F.col("r_seg_id").cast("string"))), "|").alias("ids"),
         F.min("r_start_s").alias("start_s"), F.max("r_end_s").alias("end_s"),
@@ -43,11 +41,19 @@ def overlap_cases(segs: DataFrame, most: float = 10.0) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("recording_id", "ids").orderBy("o0"))
     a = a.withColumn("_n", n).where((F.col("speakers") != 2) | (F.col("_n") == 1))
     reason = F.when(F.col("speakers") != 2, "not-exactly-two-speakers").when(F.col("end_s") - F.col("start_s") > most + 1e-6, "case-too-long")
+    return a.withColumn("reason", reason).drop("_n", "ids")
+
+
+def overlap_cases(segs: DataFrame, most: float = 10.0) -> DataFrame:
+    """EV-01/02: (recording_id, overlap_start, overlap_end, start_s, end_s, speakers, texts, reason): cases of exactly two speakers.
+
+    Overlaps with the same set of segments count once, the first; reason is null for cases. Segments (recording_id, seg_id, speaker, text).
+    """
     who = F.array_distinct(F.transform("rows", lambda r: r["who"]))
     said = F.transform(who, lambda w: F.array_join(F.transform(F.filter("rows", lambda r: r["who"] == w), lambda r: r["t"]), ""))
-    return a.select(
+    return built_cases(segs, most).select(
         "recording_id", round6(F.col("o0")).alias("overlap_start"), round6(F.col("o1")).alias("overlap_end"), round6(F.col("start_s")).alias("start_s"),
-        round6(F.col("end_s")).alias("end_s"), F.col("speakers").cast("int").alias("speakers"), F.array_join(said, "/").alias("texts"), reason.alias("reason"),
+        round6(F.col("end_s")).alias("end_s"), F.col("speakers").cast("int").alias("speakers"), F.array_join(said, "/").alias("texts"), "reason",
     )
 
 

@@ -515,3 +515,18 @@ fo as (with recursive f as (select distinct recording_id, cast(0 as bigint) as n
   union all select f.recording_id, s.n, case when free then list_append(cs, s.cluster) else cs end, case when free then list_append(ls, s.label) else ls end, case when free then list_append(kept, s.n) else kept end
   from (select f.*, s.n as m, s.cluster, s.label, not list_contains(cs, s.cluster) and not list_contains(ls, s.label) as free from f join sc s on s.recording_id = f.recording_id and s.n = f.n + 1) f join sc s on s.recording_id = f.recording_id and s.n = f.m) select * from f),
 fin as (select recording_id, kept, unnest(kept) as n from (select recording_id, arg_max(kept, n) as kept from fo group by 1))""")
+
+# manifests from transcripts: the cases of parsed lines
+PREP = PARSED + f""",
+sg as (select recording_id, turn as seg_id, trim(speaker) as speaker, start_s, end_s, trim(text) as text from pw where warning is null and trim(speaker) <> '' and {norm("text")} <> ''),
+""" + PAIRS.replace("v_seg", "sg") + ",\n" + merged("pairs", "isl") + f""",
+ac as (select i.recording_id, i.start_s as o0, s.* exclude (recording_id) from isl i join sg s on i.recording_id = s.recording_id and s.end_s > i.start_s and s.start_s < i.end_s),
+ag as (select recording_id, o0, count(distinct speaker) as speakers, string_agg(cast(seg_id as varchar), '|' order by cast(seg_id as varchar)) as ids, min(start_s) as a, max(end_s) as b from ac group by 1, 2),
+an as (select *, row_number() over (partition by recording_id, ids order by o0) as n from ag),
+cs as (select *, speakers <> 2 or b - a > 25e0 + 1e-6 as bad from an where speakers <> 2 or n = 1),
+sp as (select recording_id, o0, speaker, min(start_s) as f, arg_min(end_s, start_s) as g, sum(length(text)) as n from ac group by 1, 2, 3),
+rf as (select recording_id, o0, string_agg(speaker || ':' || n, ' ' order by f, g, speaker) as refs from sp group by 1, 2),
+nm as (select cs.recording_id, 'call-' || cs.recording_id || '-overlap-' || lpad(cast(row_number() over (partition by cs.recording_id order by o0) as varchar), 3, '0') || ' ' || refs as line, o0 from cs join rf using (recording_id, o0) where not bad)"""
+add("prepared_manifests", ["v_lines"], """select r.recording_id, coalesce(c.cases, 0) as cases, coalesce(k.skipped, 0) as skipped, coalesce(w.warnings, 0) as warnings, cast(0 as bigint) as faults, coalesce(c.listing, '') as listing from (select distinct recording_id from v_lines) r
+left join (select recording_id, count(*) as cases, string_agg(line, ';' order by o0) as listing from nm group by 1) c using (recording_id)
+left join (select recording_id, count(*) as skipped from cs where bad group by 1) k using (recording_id) left join (select recording_id, count(*) as warnings from pw where warning is not null group by 1) w using (recording_id)""", PREP)

@@ -15,6 +15,7 @@ from ..operators import evaluation as E
 from ..operators import gate as W
 from ..operators import intervals as I
 from ..operators import mixtures as MX
+from ..operators import prepare as PR
 from ..operators import settings as X
 from ..operators import signal as G
 from ..operators import transcript as T
@@ -1070,3 +1071,13 @@ def speech_segments(emb):
     """Streams of samples at 160 a second, a tenth of a second a frame: where they are loud."""
     chunks = emb.select((F.col("vec_id") % 5).cast("string").alias("path"), F.col("vec_id").cast("long").alias("chunk"), F.col("embedding").cast("array<float>").alias("samples"))
     return _times(MD.speech(chunks, 160, 16, 0.13, silence=0.15, least=0.0, most=1e9))
+
+
+@query("v_lines")
+def prepared_manifests(lines):
+    """A manifest for each recording's transcript: what was taken, left out and warned of, and its cases with their speakers."""
+    recs = lines.select("recording_id").distinct().select("recording_id", F.concat(F.lit("call "), "recording_id").alias("name"), F.lit("a.wav").alias("audio"), F.lit("a.txt").alias("transcript"))
+    d = PR.prepare(lines.select("recording_id", F.col("turn").cast("long").alias("line_no"), "line"), recs, most=25.0)
+    m = F.from_json("manifest", M.MANIFEST)
+    cases = F.transform(m["recordings"][0]["cases"], lambda c: F.concat_ws(" ", c["id"], F.array_join(F.transform(c["references"], lambda r: F.concat(r["speaker"], F.lit(":"), F.length(r["text"]).cast("string"))), " ")))
+    return d.select("recording_id", "cases", "skipped", "warnings", F.size("faults").cast("long").alias("faults"), F.array_join(cases, ";").alias("listing"))
