@@ -28,15 +28,18 @@ def valid_time(start: Column, end: Column) -> Column:
 
 
 def reference_rows(rows: DataFrame, key: str, order: str, compatible: bool = True) -> DataFrame:
-    """CF-08: confirmed rows with their fields cleaned. ``ord`` counts confirmed rows before those without text go."""
+    """CF-08: confirmed rows with their fields cleaned. ``ord`` counts confirmed rows before those without text go. The speaker's name
+    (speaker_name) and the times in the source (source_start, source_end) are kept where there are such columns."""
     d = rows.where(F.coalesce("confirmed", F.lit(True)))
     d = d.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     speaker = F.when(F.coalesce("speaker", F.lit("")) == "", "speaker-1").otherwise(F.col("speaker"))
     time = lambda c: F.greatest(F.lit(0.0), finite(F.col(c)))
+    at = lambda c: F.when(finite(F.col(c)).isNotNull(), time(c)).alias(c)
+    more = [F.substring(F.trim(F.coalesce("speaker_name", F.lit(""))), 1, 40).alias("speaker_name")] if "speaker_name" in rows.columns else []
+    more += [at(c) for c in ("source_start", "source_end") if c in rows.columns]
     d = d.select(
         key, "ord", F.substring(speaker, 1, 40).alias("speaker"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), normalize_text(F.col("text"), compatible).alias("normalized_text"),
-        F.when(finite(F.col("start_s")).isNotNull(), time("start_s")).alias("start_s"), F.when(finite(F.col("end_s")).isNotNull(), time("end_s")).alias("end_s"),
-        F.when(F.col("operation") == "insert", "insert").otherwise("replace").alias("operation"),
+        at("start_s"), at("end_s"), F.when(F.col("operation") == "insert", "insert").otherwise("replace").alias("operation"), *more,
     )
     return d.where("normalized_text != ''")
 
@@ -136,3 +139,21 @@ def markdown_report(summary_rows: DataFrame, columns: list[str]) -> DataFrame:
 def clamp_recognition(x: Column, low: float, high: float, fallback: float) -> Column:
     """CF-01 as recognition uses it."""
     return clamp(x, low, high, fallback)
+
+
+#: What a report says of its cases: columns of ``case_summary`` and their names in the report (fixed values).
+REPORTED = {
+    "cases": "cases", "reference_chars": "referenceChars", "mixture_cer": "mixtureCer", "separated_cer": "separatedPitCer", "cer_delta": "cerDelta", "gate_accepted": "gateAccepted",
+    "gate_rate": "gateAcceptanceRate", "audio_s": "audioSeconds", "separation_rtf": "separationRtf",
+}
+
+
+def json_report(overall: DataFrame, by_dataset: DataFrame, by_condition: DataFrame, generated_at: Column) -> DataFrame:
+    """SNK-09: one JSON report (column content) from ``case_summary`` over all cases, by dataset, and by snr_db and overlap_ratio. A report has a row
+    per data set and condition, so it fits one value; texts stay out of it."""
+    said = F.struct(*(F.col(c).alias(n) for c, n in REPORTED.items()))
+    one = overall.select(F.lit(1).alias("_k"), said.alias("summary"))
+    sets = by_dataset.agg(F.sort_array(F.collect_list(F.struct("dataset", said.alias("summary")))).alias("byDataset")).withColumn("_k", F.lit(1))
+    made = by_condition.agg(F.sort_array(F.collect_list(F.struct(F.col("snr_db").alias("snrDb"), F.col("overlap_ratio").alias("overlapRatio"), said.alias("summary")))).alias("bySyntheticCondition")).withColumn("_k", F.lit(1))
+    time = F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt")
+    return one.join(sets, "_k").join(made, "_k").select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), time, "summary", "byDataset", "bySyntheticCondition")).alias("content"))

@@ -60,47 +60,71 @@ def reassign(assigned: DataFrame, pins: DataFrame, key: str) -> DataFrame:
     return assigned.join(pins, key, "left").withColumn("assigned", F.coalesce("pin", "assigned")).drop("pin")
 
 
-def stem_pairs(pairs: DataFrame, cents: DataFrame, key: str, limit: float = 0.75) -> DataFrame:
+def stem_pairs(pairs: DataFrame, cents: DataFrame, key: str, limit: float = 0.75, by: str | None = None) -> DataFrame:
     """VE-08: for two stems (id, e0, e1) the best ordered pair of distinct speakers, with a confidence for each.
 
-    A pair needs all speakers of one conversation side by side, so these are one array, and more than MOST of them an error.
+    A pair needs all speakers of one conversation side by side, so these are one array, and more than MOST of them an error. ``by`` names the
+    conversation in both tables; without it all rows are of one.
     """
-    if cents.count() > MOST:
-        raise ValueError(f"more than {MOST} speakers in one conversation; call this per recording")
-    table = cents.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
-    p = pairs.withColumn("_j", F.lit(1)).join(F.broadcast(table.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    groups = cents.withColumn("_j", F.lit(1) if by is None else F.col(by)).groupBy("_j")
+    if (groups.count().agg(F.max("count")).first()[0] or 0) > MOST:
+        raise ValueError(f"more than {MOST} speakers in one conversation; name the conversations with by")
+    table = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
+    table = F.broadcast(table) if by is None else table  # one row, or one for each conversation
+    p = pairs.withColumn("_j", F.lit(1) if by is None else F.col(by)).join(table, "_j").drop("_j")
     far = lambda e: F.transform("cs", lambda x: F.struct(x["k"].alias("k"), F.round(1 - dot(l2_normalize(F.col(e)), x["c"]), 9).alias("d")))
     p = p.withColumns({"d0": far("e0"), "d1": far("e1")})
     both = F.flatten(F.transform("d0", lambda a: F.transform(F.filter("d1", lambda b: b["k"] != a["k"]), lambda b: F.struct(
         F.round(a["d"] + b["d"], 9).alias("s"), a["k"].alias("k0"), b["k"].alias("k1"), a["d"].alias("d0"), b["d"].alias("d1")))))
     p = p.withColumn("_p", F.slice(F.sort_array(both), 1, 2)).where(F.size("_p") > 0)
-    b = F.col("_p")[0]
+    b = F.get("_p", F.lit(0))
     margin = F.coalesce(F.try_element_at("_p", F.lit(2))["s"] - b["s"], F.lit(0.0))
     sure = lambda d: round6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)) * F.least(F.lit(1.0), 0.5 + margin * 4))
     return p.where((b["d0"] <= limit) & (b["d1"] <= limit)).select("id", b["k0"].alias("speaker0"), b["k1"].alias("speaker1"), sure(b["d0"]).alias("confidence0"), sure(b["d1"]).alias("confidence1"))
 
 
 def average_linkage(vectors: np.ndarray, speakers: int = 0, threshold: float = 0.55) -> np.ndarray:
-    """VE-06: labels of agglomerative clustering with size-weighted mean distances, numbered by their first member."""
+    """VE-06: labels of agglomerative clustering with size-weighted mean distances, numbered by their first member.
+
+    Each cluster knows its nearest among those after it, so a merge looks for the nearest pair in one row of numbers, and only clusters whose
+    nearest was one of the two look again: about n steps of n, where searching the matrix takes n steps of n * n.
+    """
     n = len(vectors)
     if n == 0:
         return np.empty(0, np.int64)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     v = (vectors / np.where(norm == 0, 1, norm)).astype(np.float32).astype(np.float64)
-    d = 1 - v @ v.T
-    d[np.tril_indices(n)] = np.inf
-    d = np.minimum(d, d.T)
+    upper = np.triu(1 - v @ v.T, 1)
+    d = upper + upper.T
+    np.fill_diagonal(d, np.inf)
     size, label, left, goal = np.ones(n), np.arange(n), n, min(speakers, n) if speakers > 0 else 1
+    near, far = np.full(n, n - 1), np.full(n, np.inf)
+
+    def look(k: int) -> None:
+        if k + 1 < n:
+            near[k] = k + 1 + int(np.argmin(d[k, k + 1 :]))
+            far[k] = d[k, near[k]]
+
+    for k in range(n):
+        look(k)
     while left > goal:
-        i, j = divmod(int(np.argmin(np.triu(d, 1) + np.tril(np.full((n, n), np.inf)))), n)
-        if not np.isfinite(d[i, j]) or (speakers <= 0 and d[i, j] > threshold):
+        i = int(np.argmin(far))
+        j = int(near[i])
+        if not np.isfinite(far[i]) or (speakers <= 0 and far[i] > threshold):
             break
         row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[[i, j]] = np.inf
         d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
-        d[i, i] = np.inf
         size[i] += size[j]
         label[label == j] = i
         left -= 1
+        far[j] = np.inf
+        again = np.flatnonzero(((near == i) | (near == j)) & np.isfinite(far))
+        for k in {i, *again.tolist()}:
+            look(k)
+        before = np.arange(i)
+        closer = before[(d[:i, i] < far[:i]) | ((d[:i, i] == far[:i]) & (near[:i] > i) & np.isfinite(far[:i]))]
+        near[closer], far[closer] = i, d[closer, i]
     return np.searchsorted(np.unique(label), label)
 
 

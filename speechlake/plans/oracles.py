@@ -530,3 +530,12 @@ nm as (select cs.recording_id, 'call-' || cs.recording_id || '-overlap-' || lpad
 add("prepared_manifests", ["v_lines"], """select r.recording_id, coalesce(c.cases, 0) as cases, coalesce(k.skipped, 0) as skipped, coalesce(w.warnings, 0) as warnings, cast(0 as bigint) as faults, coalesce(c.listing, '') as listing from (select distinct recording_id from v_lines) r
 left join (select recording_id, count(*) as cases, string_agg(line, ';' order by o0) as listing from nm group by 1) c using (recording_id)
 left join (select recording_id, count(*) as skipped from cs where bad group by 1) k using (recording_id) left join (select recording_id, count(*) as warnings from pw where warning is not null group by 1) w using (recording_id)""", PREP)
+
+add("report_json", ["v_cases"], f"""select '2024-01-01T00:00:00.000Z' as generatedAt, (select count(*) from v_cases) as cases, (select mixture_cer from (select {REPORT} from v_cases)) as mixture_cer,
+(select string_agg(dataset || ' ' || cases || ' ' || cer_delta, ';' order by dataset) from (select dataset, {REPORT} from v_cases group by 1)) as by_dataset,
+(select string_agg(snr_db || ' ' || overlap_ratio || ' ' || cases || ' ' || separation_rtf, ';' order by snr_db, overlap_ratio) from (select snr_db, overlap_ratio, {REPORT} from v_cases group by 1, 2)) as by_condition""")
+add("stem_pairs_by_conversation", [], "select id, k0 as speaker0, k1 as speaker1 from (select *, row_number() over (partition by id order by s, k0, k1, d0, d1) as n from pt) where n = 1 and d0 <= 0.95e0 and d1 <= 0.95e0", VEC + """,
+cx as (select talk, label, list(x order by i) as c from (select vec_id % 9 as talk, label, i, avg(u[i]) as x from vn, range(1, 65) r(i) group by 1, 2, 3) group by 1, 2),
+cy as (select talk, label, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) as c from cx),
+dt as (select vec_id, cy.label as k, round(1 - list_inner_product(u, c), 9) as d0, round(1 - list_inner_product(list_reverse(u), c), 9) as d1 from vn e join cy on cy.talk = e.vec_id % 9),
+pt as (select a.vec_id as id, a.k as k0, b.k as k1, a.d0, b.d1, round(a.d0 + b.d1, 9) as s from dt a join dt b on a.vec_id = b.vec_id and a.k <> b.k)""")

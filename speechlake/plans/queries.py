@@ -1081,3 +1081,24 @@ def prepared_manifests(lines):
     m = F.from_json("manifest", M.MANIFEST)
     cases = F.transform(m["recordings"][0]["cases"], lambda c: F.concat_ws(" ", c["id"], F.array_join(F.transform(c["references"], lambda r: F.concat(r["speaker"], F.lit(":"), F.length(r["text"]).cast("string"))), " ")))
     return d.select("recording_id", "cases", "skipped", "warnings", F.size("faults").cast("long").alias("faults"), F.array_join(cases, ";").alias("listing"))
+
+
+@query("v_cases")
+def report_json(cases):
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    r = X.json_report(E.case_summary(cases), E.case_summary(cases, [["dataset"]]), E.case_summary(cases, [["snr_db", "overlap_ratio"]]), at)
+    kind = "generatedAt string, summary struct<cases:bigint,mixtureCer:double>, byDataset array<struct<dataset:string,summary:struct<cases:bigint,cerDelta:double>>>, bySyntheticCondition array<struct<snrDb:int,overlapRatio:double,summary:struct<cases:bigint,separationRtf:double>>>"
+    j = r.select(F.from_json("content", kind).alias("j"))
+    sets = F.array_join(F.transform("j.byDataset", lambda d: F.concat_ws(" ", d["dataset"], d["summary"]["cases"].cast("string"), d["summary"]["cerDelta"].cast("string"))), ";")
+    made = F.array_join(F.transform("j.bySyntheticCondition", lambda d: F.concat_ws(" ", d["snrDb"].cast("string"), d["overlapRatio"].cast("string"), d["summary"]["cases"].cast("string"), d["summary"]["separationRtf"].cast("string"))), ";")
+    return j.select("j.generatedAt", F.col("j.summary.cases").alias("cases"), F.col("j.summary.mixtureCer").alias("mixture_cer"), sets.alias("by_dataset"), made.alias("by_condition"))
+
+
+@query("embeddings")
+def stem_pairs_by_conversation(emb):
+    """Each conversation (vec_id modulo 9) knows its own speakers: two stems of it against their centroids."""
+    talk = F.col("vec_id") % 9
+    e = emb.select(talk.alias("talk"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    cents = V.centroids(e.withColumn("k", F.struct("talk", "label")), "k").select("k.talk", "k.label", "centroid")
+    p = e.select("talk", F.col("vec_id").alias("id"), F.col("embedding").alias("e0"), F.reverse("embedding").alias("e1"))
+    return V.stem_pairs(p, cents, "label", 0.95, by="talk").select("id", "speaker0", "speaker1")

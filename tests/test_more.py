@@ -196,3 +196,43 @@ def test_percent_and_markdown(spark):
     assert [r[0] for r in d.select(X.percent(F.col("x"))).collect()] == ["12.5%", "-", "-", "100.0%"]
     rows = spark.createDataFrame([("b", 2), (None, 3), ("a", 1)], "dataset string, cases int")
     assert X.markdown_report(rows, ["dataset", "cases"]).first().content == "| dataset | cases |\n|-|-|\n| all | 3 |\n| a | 1 |\n| b | 2 |"
+
+
+def plain_linkage(vectors, speakers=0, threshold=0.55):
+    """Merge the nearest two clusters, looking at all pairs each time."""
+    v = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    v = v.astype(np.float32).astype(np.float64)
+    groups = [[i] for i in range(len(v))]
+    apart = lambda a, b: np.mean([1 - v[i] @ v[j] for i in a for j in b])
+    while len(groups) > max(1, speakers):
+        far, i, j = min((apart(a, b), i, i + 1 + k) for i, a in enumerate(groups) for k, b in enumerate(groups[i + 1 :]))
+        if not speakers and far > threshold:
+            break
+        groups[i] += groups.pop(j)
+    out = np.empty(len(v), int)
+    for k, g in enumerate(groups):
+        out[g] = k
+    return out.tolist()
+
+
+def test_linkage_by_nearest_neighbours_equals_all_pairs():
+    g = np.random.default_rng(6)
+    for n, speakers, threshold in [(1, 0, 0.5), (2, 0, 0.9), (12, 0, 0.4), (25, 0, 0.8), (25, 3, 0.1), (40, 0, 0.6), (40, 7, 0.1), (30, 40, 0.1)]:
+        v = g.normal(0, 1, (n, 6)) + g.normal(0, 2, (4, 6))[g.integers(0, 4, n)]
+        assert V.average_linkage(v, speakers, threshold).tolist() == plain_linkage(v, speakers, threshold)
+    big = g.normal(0, 1, (1500, 16)) + 4 * np.eye(16)[g.integers(0, 8, 1500)]
+    assert len(set(V.average_linkage(big, 8).tolist())) == 8
+
+
+def test_reference_rows_keep_names_and_source_times(spark):
+    from speechlake.operators import settings as X
+
+    d = spark.createDataFrame([("r", 0, None, " Ann  ", "a b", None, 2.0, True, "insert", -1.0, float("nan"))], "k string, o int, speaker string, speaker_name string, text string, start_s double, end_s double, confirmed boolean, operation string, source_start double, source_end double")
+    r = X.reference_rows(d, "k", "o").first()
+    assert (r.speaker, r.speaker_name, r.start_s, r.end_s, r.source_start, r.source_end, r.operation, r.ord) == ("speaker-1", "Ann", None, 2.0, 0.0, None, "insert", 0)
+
+
+def test_stem_pairs_of_each_conversation_alone(spark):
+    cents = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 1.0]), ("y", 7, [1.0, 0.0]), ("y", 8, [0.0, 1.0]), ("z", 9, [1.0, 0.0])], "talk string, label int, centroid array<double>")
+    pairs = spark.createDataFrame([(t, i, [1.0, 0.1], [0.1, 1.0]) for i, t in enumerate("xyz")], "talk string, id long, e0 array<double>, e1 array<double>")
+    assert sorted((r.id, r.speaker0, r.speaker1) for r in V.stem_pairs(pairs, cents, "label", by="talk").collect()) == [(0, 1, 2), (1, 7, 8)]
