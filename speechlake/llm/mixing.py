@@ -25,6 +25,7 @@ from .sharding import bucket_count, prefix_sums
 CHUNK = 1 << 14
 WALK = 64
 TASK_SLOTS = 1 << 18
+STRETCH = 4096  # shards whose counts are added up together
 
 
 @dataclass(frozen=True)
@@ -112,8 +113,11 @@ def draw(sources: DataFrame, mix: Mix) -> DataFrame:
         _ranges(s, "slots", "i", tasks).withColumn("shard", F.call_function("div", place, F.lit(mix.shard_slots).cast("long")))
         .groupBy("rank", "blocks", "shard").count()
     )
-    sofar = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("count").over(sofar), F.lit(0)))
+    # a source's counts are added up within stretches of shards, and these among themselves: no window holds all shards
+    counts = materialize(counts.withColumn("stretch", F.call_function("div", F.col("shard"), F.lit(STRETCH).cast("long"))), "mix-counts")
+    sofar = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("rank", "stretch").agg(F.sum("count").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(sofar("rank", "stretch")), F.lit(0))).drop("n")
+    counts = counts.join(sums, ["rank", "stretch"]).withColumn("first", F.col("base") + F.coalesce(F.sum("count").over(sofar("rank", "stretch", "shard")), F.lit(0))).drop("base", "stretch")
     slots = counts.repartition(tasks, "rank", "shard").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     i = F.col("first") + F.col("k")
     slots = slots.select("rank", "shard", "blocks", F.call_function("div", i, F.col("blocks")).alias("pass"), F.pmod(i, F.col("blocks")).alias("at"))
