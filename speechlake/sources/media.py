@@ -1,6 +1,6 @@
 """Audio sources and sinks (SRC-01..04, SRC-08..12, SNK-01, SNK-10/11, AG-13) and model boundaries (UD-01..06).
 
-Files come in through Spark's readers only, so any store that Spark reads will do. Decoding of compressed media and all neural
+Raw and WAV files come in through the sound data source (``pcm``), others through Spark's binary reader. Decoding of compressed media and all neural
 models are boundaries: functions over Arrow batches that a user supplies; what is here for them are deterministic stand-ins for tests.
 """
 
@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pcm import read_audio
+
 RATE = 16000
 MEDIA_GLOB = "*.{wav,mp3,m4a,aac,flac,ogg,opus,wma,mp4,mov,mkv,webm,avi,pcm}"
 CHUNKS = "path string, chunk long, samples array<float>"
@@ -54,17 +56,16 @@ def cut_wav(data: bytes, start: float, seconds: float | None) -> np.ndarray:
 
 
 def read_media(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None, decoder: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
-    """SRC-01/02/04: files as chunk rows of samples of a range. Without a decoder (for compressed media, which decodes whole files) only the
-    range's bytes are converted."""
+    """SRC-01/02/04: files as chunk rows of samples of a range. Raw and WAV files are read by the sound data source, the range's bytes alone; a
+    decoder for other media takes whole files."""
+    if decoder is None:
+        return read_audio(spark, path, start, seconds, RATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                if decoder is None:
-                    x = cut_wav(content.as_py(), start, seconds)
-                else:
-                    x = decoder(content.as_py())[int(start * RATE) :]
-                    x = x if seconds is None else x[: int(seconds * RATE)]
+                x = decoder(content.as_py())[int(start * RATE) :]
+                x = x if seconds is None else x[: int(seconds * RATE)]
                 for k in range(0, max(1, len(x)), CHUNK):
                     yield pa.record_batch([pa.array([name]), pa.array([k // CHUNK], pa.int64()), pa.array([x[k : k + CHUNK]], pa.list_(pa.float32()))], ["path", "chunk", "samples"])
 
@@ -76,8 +77,8 @@ def sample_range(chunks: DataFrame, start: int, end: int | None) -> DataFrame:
     """SRC-03: samples [start, end) of chunk rows; only the chunks that hold some are read. No end, or 0: to the end of the file."""
     lo = max(0, start)
     rows = chunks.where(F.col("chunk") >= lo // CHUNK)
-    if end:
-        rows = rows.where(F.col("chunk") * CHUNK < end)
+    if end:  # conditions on the chunk alone, which a scan can take over
+        rows = rows.where(F.col("chunk") <= (end - 1) // CHUNK)
     first = F.greatest(F.lit(0), lo - F.col("chunk") * CHUNK).cast("int")
     last = F.size("samples") if not end else F.least(F.size("samples"), (end - F.col("chunk") * CHUNK).cast("int"))
     return rows.withColumn("samples", F.slice("samples", first + 1, F.greatest(F.lit(0), last - first)))
