@@ -366,7 +366,7 @@ add("sample_indices", ["v_seg"], "select seg_id, cast(least(57600000, greatest(0
 add("local_parts", ["v_seg"], f"""select recording_id, idx, cast(row_number() over (partition by recording_id, idx order by start_s, seg_id nulls first, part) as int) as part_no, start_s, end_s from
 (select recording_id, idx, seg_id, part, start_s, end_s from hit union all select recording_id, idx, seg_id, part, start_s, end_s from alone)""", WINS + f""",
 lo as (select recording_id, idx, greatest(0e0, overlap_start - start_s - 0.15e0) as o0, least(end_s - start_s, overlap_end - start_s + 0.15e0) as o1 from win),
-sp0 as (select w.recording_id, w.idx, s.seg_id, {R("greatest(0e0, s.start_s - w.start_s)")} as start_s, {R("least(w.end_s, s.end_s) - w.start_s")} as end_s from win w join v_seg s on s.recording_id = w.recording_id and s.seg_id % 3 = 0 and s.end_s > w.start_s and s.start_s < w.end_s),
+sp0 as (select w.recording_id, w.idx, s.seg_id, {R("greatest(0e0, s.start_s - w.start_s)")} as start_s, {R("least(w.end_s, s.end_s) - w.start_s")} as end_s from win w join v_seg s on s.recording_id = w.recording_id and s.end_s > w.start_s and s.start_s < w.end_s),
 """ + split("sp0", "spp", "recording_id, idx, seg_id", 4.0) + f""",
 hit as (select spp.* from spp join lo using (recording_id, idx) where {R("least(end_s, o1) - greatest(start_s, o0)")} >= 0.04e0),
 al0 as (select recording_id, idx, cast(null as bigint) as seg_id, o0 as start_s, o1 as end_s from lo where {R("o1 - o0")} >= 0.25e0 and not exists (select 1 from hit where hit.recording_id = lo.recording_id and hit.idx = lo.idx)),
@@ -430,7 +430,7 @@ case when floor(start_s / 10) >= 3600 then {clock("(start_s / 10)")} else lpad(c
 add("number_lists", [], "select event_id, case when event_id % 3 = 0 then 1 else 2 end as n, event_id % 10 + case when event_id % 3 = 0 then 0e0 else 2.5e0 end as total from events")
 add("settings_fingerprints", [], "select event_id as job_id, sha256(cast(floor((event_id % 7) / 5e0 * 10) as bigint) || '|' || case when event_id % 4 <> 0 then cast(event_id % 6 as varchar) else '' end) as fingerprint from events")
 add("valid_times", ["v_utt"], "select recording_id, turn, coalesce(case when turn % 6 = 5 then 0e0 else end_s end > case when turn % 4 <> 0 then start_s end, false) as timed from v_utt")
-add("hotword_lines", [], "select word, count(*) as n from (select trim(substr(role, 1, turn % 4)) as word from conversations) where word <> '' group by 1")
+add("hotword_lines", [], "select word, count(*) as n from (select trim(unnest(string_split(text, chr(10)))) as word from conversations) where word <> '' group by 1")
 add("complete_model_sets", [], """select model, folder from (select *, row_number() over (partition by model order by place) as r from (select c.model, f.folder, f.place, count(distinct c.name) as n from fl f join ct c on f.name = c.name and (c.bytes is null or c.bytes = f.bytes) group by 1, 2, 3) h
 join (select model, count(*) as need from ct group by 1) using (model) where n = need) where r = 1""", """fl as (select distinct cast(user_id % 40 as varchar) as folder, user_id % 40 as place, 'f' || (event_id % 13) as name, event_id % 3 as bytes from events),
 ct as (select 'm' || (event_id % 4) as model, 'f' || (event_id % 12) as name, min(case when event_id % 12 < 6 then event_id % 2 end) as bytes from events group by 1, 2)""")
