@@ -94,14 +94,20 @@ class _Trace:
 
 
 def _differing(ref: str, hyp: str) -> tuple[int, int]:
-    """How many characters two texts begin with and end on alike."""
-    least, end = min(len(ref), len(hyp)), 0
-    while end < least and ref[-1 - end] == hyp[-1 - end]:
-        end += 1
-    begin = 0
-    while begin < least - end and ref[begin] == hyp[begin]:
-        begin += 1
-    return begin, end
+    """How many characters two texts begin with and end on alike; halves are compared whole, not character by character."""
+
+    def alike(most: int, part: Callable[[str, int, int], str]) -> int:
+        low, high = 0, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            if part(ref, low, mid) == part(hyp, low, mid):
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    end = alike(min(len(ref), len(hyp)), lambda t, a, b: t[len(t) - b : len(t) - a])
+    return alike(min(len(ref), len(hyp)) - end, lambda t, a, b: t[a:b]), end
 
 
 def edit_distance(ref: str, hyp: str) -> int:
