@@ -55,15 +55,15 @@ def _reason(near: Column, likeness: Column, added: Column) -> Column:
 
 
 def gate(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """CN-10, CN-11: the windows with their ``reason`` and ``added`` segments (array of start_s, end_s, text, norm), empty unless it is novel-transcript.
+    """CN-10, CN-11: the windows with their ``reason`` and ``added`` segments (array of place, stem, start_s, end_s, text, norm), empty unless it is novel-transcript.
 
     ``base``: recording_id, start_s, end_s, text. ``windows``: recording_id, window (a number of its own in its recording), start_s, end_s, core_start_s,
     core_end_s, shares, corr, emb_dist and stems (array of arrays of start_s, end_s, text). Null texts count as empty.
     """
     key = ["recording_id", "window"]
     b = base.select("recording_id", "start_s", "end_s", normalize_text(F.col("text")).alias("norm"))
-    flat = F.flatten(F.coalesce("stems", F.array()))
-    heard = windows.select(*key, "core_start_s", "core_end_s", F.posexplode(flat).alias("place", "s")).select(*key, "core_start_s", "core_end_s", "place", "s.*")
+    numbered = F.transform("stems", lambda x, i: F.transform(x, lambda s: F.struct(i.alias("stem"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"), s["text"].alias("text"))))
+    heard = windows.select(*key, "core_start_s", "core_end_s", F.posexplode(F.flatten(numbered)).alias("place", "s")).select(*key, "core_start_s", "core_end_s", "place", "s.*")
     heard = heard.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("norm", normalize_text(F.col("text")))
     near = range_join(windows.select(*key, "start_s", "end_s"), b).select(*key, "r_start_s", "r_end_s", "r_norm")
     likeness = anchor_similarity(F.col("norm"), F.col("r_norm"))
@@ -71,7 +71,7 @@ def gate(base: DataFrame, windows: DataFrame) -> DataFrame:
     met = heard.select(*key, "place", "start_s", "end_s", "norm").join(near, key).withColumns({"a": likeness, "now": at_once})
     met = met.groupBy(*key, "place").agg(F.max("a").alias("likeness"), F.max(F.col("now") & (F.col("a") >= ALIKE)).alias("known"))
     fresh = ~F.coalesce("known", F.lit(False)) & (F.length("norm") >= LEAST_CHARS) & (_shared((F.col("start_s"), F.col("end_s")), (F.col("core_start_s"), F.col("core_end_s"))) > 0)
-    segment = F.struct("place", "start_s", "end_s", "text", "norm")
+    segment = F.struct("place", "stem", "start_s", "end_s", "text", "norm")
     found = heard.join(met, [*key, "place"], "left").groupBy(*key).agg(F.max("likeness").alias("_likeness"), F.array_sort(F.collect_list(F.when(fresh, segment))).alias("_fresh"))
     d = windows.join(found.withColumn("_added", _novel(F.col("_fresh"))).drop("_fresh"), key, "left")
     d = d.withColumns({f"_text{i}": normalize_text(F.array_join(F.get("stems", F.lit(i))["text"], "")) for i in (0, 1)})
@@ -81,25 +81,31 @@ def gate(base: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def separated(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """CN-10 to CN-12: (recording_id, window, reason, start_s, end_s, text, separated), in order of time within a recording.
+    """CN-10 to CN-12: (recording_id, window, reason, start_s, end_s, text, separated, from_window, stem, speaker_hint, confidence), in order of time
+    within a recording.
 
     One row per window has its reason; the merged segments have a null window: all of the base, and additions that neither the base nor an
-    earlier addition has. Columns as in ``gate``.
+    earlier addition has. An addition says which window and stem it is from and, where windows have the arrays speaker_hints and confidences
+    (one value a stem), whose voice it may be and how sure that is. Other columns as in ``gate``.
     """
     judged = gate(base, windows)
-    new = judged.select("recording_id", "window", F.explode("added").alias("s")).select("recording_id", "window", "s.*")
+    of_stem = lambda c, kind: F.get(F.col(c), F.col("s.stem")) if c in windows.columns else F.lit(None).cast(kind)
+    said_by = [of_stem("speaker_hints", "int").alias("speaker_hint"), of_stem("confidences", "double").alias("confidence")]
+    new = judged.select("*", F.explode("added").alias("s")).select("recording_id", "window", "s.*", *said_by)
     key = ["recording_id", "window", "place"]
     b = base.select("recording_id", "start_s", "end_s", normalize_text(F.col("text")).alias("norm"))
     met = range_join(new, b)
     said = met.where(_shared((F.col("start_s"), F.col("end_s")), (F.col("r_start_s"), F.col("r_end_s"))) > SHARED_S).where(anchor_similarity(F.col("norm"), F.col("r_norm")) >= ALIKE)
     new = new.join(said.select(*key).distinct(), key, "left_anti")
     # the same speech overlaps, so only additions of one island of time can be each other's
-    rows = F.array_sort(F.collect_list(F.struct("window", "place", "start_s", "end_s", "text", "norm")))
+    rows = F.array_sort(F.collect_list(F.struct("window", "place", "stem", "start_s", "end_s", "text", "norm", "speaker_hint", "confidence")))
     kept = islands(new, 0.0).groupBy("recording_id", "island").agg(rows.alias("rows")).select("recording_id", F.explode(_novel(F.col("rows"))).alias("s"))
     row = lambda d, window, reason, s, separated: d.select(
         "recording_id", window.cast("int").alias("window"), reason.cast("string").alias("reason"), *((F.col(s + c) if s is not None else F.lit(None)).cast(t).alias(c) for c, t in (("start_s", "double"), ("end_s", "double"), ("text", "string"))),
-        F.lit(separated).cast("boolean").alias("separated"),
+        F.lit(separated).cast("boolean").alias("separated"), *((F.col("s." + c) if separated else F.lit(None).cast(t)).alias(n) for c, n, t in told),
     )
+    hint = new.schema["speaker_hint"].dataType.simpleString()
+    told = [("window", "from_window", "int"), ("stem", "stem", "int"), ("speaker_hint", "speaker_hint", hint), ("confidence", "confidence", "double")]
     none = F.lit(None)
     segments = row(base.withColumn("text", F.coalesce("text", F.lit(""))), none, none, "", False).unionByName(row(kept, none, none, "s.", True))
     every = segments.unionByName(row(judged, F.col("window"), F.col("reason"), None, None))

@@ -86,3 +86,12 @@ def test_gate_and_merge_against_plain_rules(spark):
         assert {x.window: x.reason for x in out if x.recording_id == rec and x.window is not None} == reasons
         assert sorted((x.start_s, x.end_s, x.text, x.separated) for x in out if x.recording_id == rec and x.window is None) == merged
     assert len({x.reason for x in out}) > 9 and sum(bool(x.separated) for x in out) > 10
+
+
+def test_additions_say_where_they_are_from(spark):
+    base = spark.createDataFrame([(1, 0.0, 4.0, "good morning everyone")], "recording_id long, start_s double, end_s double, text string")
+    stems = [[(0.0, 3.0, "good morning everyone")], [(1.0, 2.0, "not so fast")]]
+    rows = [(1, 7, 0.0, 4.0, 0.5, 3.0, [0.5, 0.5], 0.1, 0.5, stems, ["ann", "bob"], [0.9, 0.4])]
+    kind = f"recording_id long, window int, start_s double, end_s double, core_start_s double, core_end_s double, shares array<double>, corr double, emb_dist double, stems array<array<{SEG}>>, speaker_hints array<string>, confidences array<double>"
+    out = separated(base, spark.createDataFrame(rows, kind)).collect()
+    assert [(r.text, r.from_window, r.stem, r.speaker_hint, r.confidence) for r in out if r.window is None] == [("good morning everyone", None, None, None, None), ("not so fast", 7, 1, "bob", 0.4)]
