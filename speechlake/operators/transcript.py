@@ -113,11 +113,12 @@ def interpolate(rows: DataFrame, start: Column, end: Column, key: str = "recordi
 
 
 def upsert_blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """CO-02, SO-05: the new blocks replace those with their id and those whose source range they overlap, per recording."""
+    """CO-02, SO-05: the new blocks replace those with their id and those whose source range they overlap, per recording; others of the same id stay."""
     rng = lambda df: df.withColumns({"start_s": F.coalesce("source_start", "block_start"), "end_s": F.coalesce("source_end", "block_end")})
-    old = blocks.join(new.select("recording_id", "id"), ["recording_id", "id"], "left_anti")
-    hit = range_join(rng(old), rng(new).select("recording_id", "start_s", "end_s")).select("recording_id", "id").distinct()
-    return old.join(hit, ["recording_id", "id"], "left_anti").unionByName(new)
+    key = ["recording_id", "id", "start_s", "end_s"]
+    old = rng(blocks.join(new.select("recording_id", "id"), ["recording_id", "id"], "left_anti"))
+    hit = range_join(old.select(*key), rng(new).select("recording_id", "start_s", "end_s"), points=True).select(*key).distinct()
+    return old.join(hit, key, "left_anti").select(*blocks.columns).unionByName(new)
 
 
 def replace_ranges(segs: DataFrame, blocks: DataFrame, rows: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def replace_ranges(segs: DataFrame, blocks: DataFrame, rows: DataFrame) -> DataF
     segs (recording_id, seg_id, start_s, end_s, text), blocks (recording_id, id, start_s, end_s), rows (recording_id, id, ord, start_s, end_s, text).
     """
     point = segs.withColumn("end_s", F.greatest(F.col("start_s") + 0.001, F.coalesce("end_s", F.col("start_s") + 0.001)))
-    hit = range_join(point, blocks).select("recording_id", "seg_id").distinct()
+    hit = range_join(point, blocks, points=True).select("recording_id", "seg_id").distinct()
     kept = segs.join(hit, ["recording_id", "seg_id"], "left_anti")
     none = lambda t: F.lit(None).cast(t)
     a = kept.select("recording_id", "start_s", "end_s", "text", F.lit(False).alias("locked"), none("string").alias("correction_id"), none("int").alias("correction_ord"))
