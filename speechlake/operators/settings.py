@@ -113,11 +113,11 @@ def clamp_row(start: Column, end: Column, low: Column, high: Column) -> tuple[Co
 
 def hypothesis_rows(segs: DataFrame, windows: DataFrame, seg_key: str, least: float = 0.05) -> DataFrame:
     """PR-06: segments that share ``least`` seconds with a confirmed window or have their middle in one; all, where a recording has no window."""
-    j = range_join(segs, windows)
+    j = range_join(segs, windows, points=True)
     hit = round6(overlap_seconds((F.col("start_s"), F.col("end_s")), (F.col("r_start_s"), F.col("r_end_s")))) >= least
     middle = (F.col("start_s") + F.col("end_s")) / 2
     near = j.where(hit | ((middle >= F.col("r_start_s")) & (middle <= F.col("r_end_s")))).select("recording_id", seg_key).distinct()
-    free = segs.join(windows.where("end_s > start_s").select("recording_id").distinct(), "recording_id", "left_anti")
+    free = segs.join(windows.select("recording_id").distinct(), "recording_id", "left_anti")
     return segs.join(near, ["recording_id", seg_key], "left_semi").unionByName(free)
 
 
