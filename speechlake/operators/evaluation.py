@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignment import assign_udf, concatenated_udf
+from ..functions.alignment import assign_udf, concatenated_udf, shared_chars_udf
 from ..functions.scalars import normalize_text, parse_clock, round6
 from .intervals import detect_overlaps, range_join
 
@@ -77,14 +77,13 @@ def validate_cases(cases: DataFrame) -> DataFrame:
 
 def pit2(r1: Column, r2: Column, h1: Column, h2: Column) -> tuple[Column, Column]:
     """TX-08 for two speakers: (distance, whether the hypotheses are swapped); a tie keeps their order."""
-    same = F.levenshtein(r1, h1) + F.levenshtein(r2, h2)
-    crossed = F.levenshtein(r1, h2) + F.levenshtein(r2, h1)
-    return F.least(same, crossed), crossed < same
+    p = assign_udf(F.array(r1, r2), F.array(h1, h2))
+    return p["distance"], p["assignment"][0] == 1
 
 
 def cp2(r1: Column, r2: Column, h: Column) -> Column:
     """TX-09 for two speakers."""
-    return F.least(F.levenshtein(F.concat(r1, r2), h), F.levenshtein(F.concat(r2, r1), h))
+    return concatenated_udf(F.array(r1, r2), h)
 
 
 def pit(refs: Column, hyps: Column) -> Column:
@@ -131,10 +130,8 @@ def clean_remap(cases: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def shared_chars(ref: Column, hyp: Column) -> Column:
-    """SO-03: size of the multiset intersection of two texts' characters. How often one occurs is what removing it takes away."""
-    often = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-    kinds = F.filter(F.array_distinct(F.split(ref, "")), lambda c: c != "")
-    return F.aggregate(kinds, F.lit(0).cast("long"), lambda a, c: a + F.least(often(ref, c), often(hyp, c)))
+    """SO-03: size of the multiset intersection of two texts' characters."""
+    return shared_chars_udf(ref, hyp)
 
 
 def char_coverage(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
