@@ -83,48 +83,61 @@ def stem_pairs(pairs: DataFrame, cents: DataFrame, key: str, limit: float = 0.75
     return p.where((b["d0"] <= limit) & (b["d1"] <= limit)).select("id", b["k0"].alias("speaker0"), b["k1"].alias("speaker1"), sure(b["d0"]).alias("confidence0"), sure(b["d1"]).alias("confidence1"))
 
 
+BLOCK = 1 << 22  # distances held at once
+
+
 def average_linkage(vectors: np.ndarray, speakers: int = 0, threshold: float = 0.55) -> np.ndarray:
     """VE-06: labels of agglomerative clustering with size-weighted mean distances, numbered by their first member.
 
-    Each cluster knows its nearest among those after it, so a merge looks for the nearest pair in one row of numbers, and only clusters whose
-    nearest was one of the two look again: about n steps of n, where searching the matrix takes n steps of n * n.
+    Distances to a cluster are means over its members, so they follow from sums of vectors: no matrix of pairs is held, only the sums and, for
+    each cluster, its nearest among those after it. A merge looks for the nearest pair in one row of numbers, and only clusters whose nearest
+    was one of the two look again: about n steps of n. Distances are taken to 1e-12, so that equal ones are equal however they are added up.
     """
     n = len(vectors)
     if n == 0:
         return np.empty(0, np.int64)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    v = (vectors / np.where(norm == 0, 1, norm)).astype(np.float32).astype(np.float64)
-    upper = np.triu(1 - v @ v.T, 1)
-    d = upper + upper.T
-    np.fill_diagonal(d, np.inf)
+    sums = (vectors / np.where(norm == 0, 1, norm)).astype(np.float32).astype(np.float64)
     size, label, left, goal = np.ones(n), np.arange(n), n, min(speakers, n) if speakers > 0 else 1
+    gone = np.zeros(n, bool)
     near, far = np.full(n, n - 1), np.full(n, np.inf)
 
+    def row(k: int, first: int) -> np.ndarray:
+        """Distances of cluster k to those from ``first`` on."""
+        d = np.round(1 - sums[first:] @ sums[k] / (size[first:] * size[k]), 12)
+        d[gone[first:]] = np.inf
+        return d
+
     def look(k: int) -> None:
         if k + 1 < n:
-            near[k] = k + 1 + int(np.argmin(d[k, k + 1 :]))
-            far[k] = d[k, near[k]]
-
-    for k in range(n):
-        look(k)
+            d = row(k, k + 1)
+            at = int(np.argmin(d))
+            near[k], far[k] = k + 1 + at, d[at]
+
+    step = max(1, BLOCK // n)
+    for a in range(0, n, step):
+        d = np.round(1 - sums[a : a + step] @ sums[a:].T, 12)
+        d[np.tril_indices(len(d), 0, d.shape[1])] = np.inf
+        at = np.argmin(d, axis=1)
+        least = d[np.arange(len(d)), at]
+        found = np.isfinite(least)
+        near[a : a + step][found], far[a : a + step][found] = a + at[found], least[found]
     while left > goal:
         i = int(np.argmin(far))
         j = int(near[i])
         if not np.isfinite(far[i]) or (speakers <= 0 and far[i] > threshold):
             break
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        row[[i, j]] = np.inf
-        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
+        sums[i] += sums[j]
         size[i] += size[j]
         label[label == j] = i
         left -= 1
-        far[j] = np.inf
+        gone[j], far[j] = True, np.inf
         again = np.flatnonzero(((near == i) | (near == j)) & np.isfinite(far))
         for k in {i, *again.tolist()}:
             look(k)
-        before = np.arange(i)
-        closer = before[(d[:i, i] < far[:i]) | ((d[:i, i] == far[:i]) & (near[:i] > i) & np.isfinite(far[:i]))]
-        near[closer], far[closer] = i, d[closer, i]
+        d = np.round(1 - sums[:i] @ sums[i] / (size[:i] * size[i]), 12)
+        closer = np.flatnonzero(~gone[:i] & ((d < far[:i]) | ((d == far[:i]) & (near[:i] > i))))
+        near[closer], far[closer] = i, d[closer]
     return np.searchsorted(np.unique(label), label)
 
 
