@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import cmp_to_key
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.scalars import format_clock, format_time, round6, speaker_label, text_weight
 from .intervals import range_join
@@ -176,19 +178,29 @@ def greedy_map(scores: DataFrame) -> DataFrame:
     return scores.groupBy("recording_id").applyInPandas(run, scores.schema)
 
 
-def best_candidate(cands: DataFrame, key: str) -> DataFrame:
-    """WN-08 per group: the tolerant comparison isn't transitive, so a stable sort with it decides, as candidates come by ``ord``."""
+def _compared(a: dict, b: dict) -> float:
+    if abs(a["score"] - b["score"]) > 0.005:
+        return b["score"] - a["score"]
+    for c in ("deletion_rate", "seed_distance"):
+        if abs(a[c] - b[c]) > 1e-9:
+            return a[c] - b[c]
+    return a["cost"] - b["cost"]
 
-    def compare(a: dict, b: dict) -> float:
-        if abs(a["score"] - b["score"]) > 0.005:
-            return b["score"] - a["score"]
-        for c in ("deletion_rate", "seed_distance"):
-            if abs(a[c] - b[c]) > 1e-9:
-                return a[c] - b[c]
-        return a["cost"] - b["cost"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.sort_values("ord").to_dict("records"), key=cmp_to_key(compare))
-        return pd.DataFrame(rows[:1], columns=list(pdf.columns))
+@F.arrow_udf(IntegerType())
+def _first(candidates: pa.Array) -> pa.Array:
+    """The place (from 0) of the best of each array's candidates."""
+    number = lambda c: {k: float("nan") if v is None else v for k, v in c.items()}
+    return pa.array([sorted(range(len(c)), key=cmp_to_key(lambda i, j: _compared(c[i], c[j])))[0] for c in ([*map(number, x)] for x in candidates.to_pylist())], pa.int32())
+
 
-    return cands.groupBy(key).applyInPandas(run, cands.schema)
+def best_candidate(cands: DataFrame, key: str) -> DataFrame:
+    """WN-08 per group: the tolerant comparison isn't transitive, so a stable sort with it decides, as candidates come by ``ord``.
+
+    A group's few candidates are one array, and many groups go to Python together.
+    """
+    rest = [c for c in cands.columns if c not in (key, "ord")]
+    g = cands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias("c"))
+    seen = F.transform("c", lambda x: F.struct(*(x[c].cast("double").alias(c) for c in ("score", "deletion_rate", "seed_distance", "cost"))))
+    g = g.select(key, F.get("c", _first(seen)).alias("b"))
+    return g.select(*(F.col(c) if c == key else F.col(f"b.{c}").alias(c) for c in cands.columns))
