@@ -1,8 +1,8 @@
 """Separated speech: which windows' stems are let in, and what they add to a transcript (CN-10 to CN-12, CN-14).
 
-The gate is one ordered CASE over each window, its numbers coming from a range join of windows with the base segments near them. What an
-addition must differ from is known by joins too: base segments rule one out whatever the order; only among additions that overlap each
-other does the order decide, and that fold runs inside a row over few of them.
+The gate is one ordered CASE over each window and the base segments near it, which a range join brings into its row. Texts are compared inside the
+row, and only where no cheaper rule has decided. Base segments rule an addition out whatever the order; only among additions that overlap
+each other does the order decide, and that fold runs inside a row over few of them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import anchor_similarity, normalize_text, text_similarity
+from ..functions.scalars import contained, normalize_text, normalize_texts, within_edits
+from ..sources.shared import written
 from .intervals import detect_overlaps, islands, range_join, separation_windows
 
 #: Limits of the gate (fixed values): a silent stem's share, correlated stems, equal transcripts, one speaker's embeddings, the least likeness to
@@ -28,10 +29,14 @@ def _shared(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.least(a[1], b[1]) - F.greatest(a[0], b[0])
 
 
+def _at_once(o: Column, s: Column) -> Column:
+    return _shared((o["start_s"], o["end_s"]), (s["start_s"], s["end_s"])) > SHARED_S
+
+
 def _same(o: Column, s: Column) -> Column:
     """Whether two segments (structs) are the same speech."""
-    at_once = _shared((o["start_s"], o["end_s"]), (s["start_s"], s["end_s"])) > SHARED_S
-    return F.when(at_once, anchor_similarity(o["norm"], s["norm"]) >= ALIKE).otherwise(False)
+    said = contained(o["norm"], s["norm"], ALIKE) | within_edits(o["norm"], s["norm"], ALIKE)
+    return F.when(_at_once(o, s), said).otherwise(False)
 
 
 def _novel(segments: Column) -> Column:
@@ -40,18 +45,36 @@ def _novel(segments: Column) -> Column:
     return F.aggregate(segments, F.slice(segments, 1, 0), keep)
 
 
-def _reason(near: Column, likeness: Column, added: Column) -> Column:
-    """CN-10: the first rule that a window fails, or whether it brings anything new."""
+def _either(first: Column, second: Column) -> Column:
+    """Whether one of two conditions holds; the second, dear one is looked at only where the first doesn't."""
+    return F.when(first, True).otherwise(F.coalesce(second, F.lit(False)))
+
+
+def _anchored() -> Column:
+    """Whether a heard segment is like a near one."""
+    some = lambda rule: F.exists("_heard", lambda s: F.exists("_near", lambda o: rule(s["norm"], o["norm"], ANCHORED)))
+    return _either(some(contained), some(within_edits))
+
+
+def _known(s: Column) -> Column:
+    """Whether a near segment is the same speech."""
+    some = lambda rule: F.exists("_near", lambda o: _at_once(s, o) & rule(s["norm"], o["norm"], ALIKE))
+    return _either(some(contained), some(within_edits))
+
+
+def _failed() -> Column:
+    """CN-10: the first rule that a window fails before it is asked what it adds. Rules are looked at in order, so texts are compared only where
+    nothing before them decides."""
     texts = [F.coalesce(F.array_join(F.get("stems", F.lit(i))["text"], ""), F.lit("")) for i in (0, 1)]
-    shares = F.col("shares")
+    shares, told = F.col("shares"), [F.col("_text0"), F.col("_text1")]
     rules = [
         ("invalid-stem-count", F.coalesce(F.size("stems"), F.lit(-1)) != 2), ("missing-metrics", F.coalesce(F.size(shares), F.lit(-1)) != 2),
         ("silent-stem", F.exists(shares, lambda x: ~_finite(x) | (x < SILENT))), ("correlated-stems", _finite(F.col("corr")) & (F.abs("corr") > CORRELATED)),
-        ("missing-stem-transcript", (texts[0] == "") | (texts[1] == "")), ("duplicate-stem-transcript", text_similarity(F.col("_text0"), F.col("_text1")) >= DUPLICATE),
+        ("missing-stem-transcript", (texts[0] == "") | (texts[1] == "")), ("duplicate-stem-transcript", _either(contained(*told, DUPLICATE, False), within_edits(*told, DUPLICATE))),
         ("missing-speaker-embedding", ~_finite(F.col("emb_dist"))), ("same-speaker-embedding", F.col("emb_dist") < SAME_SPEAKER),
-        ("missing-baseline-anchor", ~near), ("unanchored-transcript", likeness < ANCHORED), ("no-novel-transcript", F.coalesce(F.size(added), F.lit(0)) <= 0),
+        ("missing-baseline-anchor", F.coalesce((F.size("_heard") <= 0) | (F.size("_near") <= 0), F.lit(True))), ("unanchored-transcript", ~_anchored()),
     ]
-    return reduce(lambda case, rule: F.when(F.coalesce(rule[1], F.lit(False)), rule[0]).otherwise(case), reversed(rules), F.lit("novel-transcript"))
+    return reduce(lambda case, rule: F.when(F.coalesce(rule[1], F.lit(False)), rule[0]).otherwise(case), reversed(rules), F.lit(None).cast("string"))
 
 
 def gate(base: DataFrame, windows: DataFrame) -> DataFrame:
@@ -62,22 +85,22 @@ def gate(base: DataFrame, windows: DataFrame) -> DataFrame:
     """
     key = ["recording_id", "window"]
     b = base.select("recording_id", "start_s", "end_s", normalize_text(F.col("text")).alias("norm"))
-    numbered = F.transform("stems", lambda x, i: F.transform(x, lambda s: F.struct(i.alias("stem"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"), s["text"].alias("text"))))
-    heard = windows.select(*key, "core_start_s", "core_end_s", F.posexplode(F.flatten(numbered)).alias("place", "s")).select(*key, "core_start_s", "core_end_s", "place", "s.*")
-    heard = heard.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("norm", normalize_text(F.col("text")))
-    near = range_join(windows.select(*key, "start_s", "end_s"), b).select(*key, "r_start_s", "r_end_s", "r_norm")
-    likeness = anchor_similarity(F.col("norm"), F.col("r_norm"))
-    at_once = _shared((F.col("start_s"), F.col("end_s")), (F.col("r_start_s"), F.col("r_end_s"))) > SHARED_S
-    met = heard.select(*key, "place", "start_s", "end_s", "norm").join(near, key).withColumns({"a": likeness, "now": at_once})
-    met = met.groupBy(*key, "place").agg(F.max("a").alias("likeness"), F.max(F.col("now") & (F.col("a") >= ALIKE)).alias("known"))
-    fresh = ~F.coalesce("known", F.lit(False)) & (F.length("norm") >= LEAST_CHARS) & (_shared((F.col("start_s"), F.col("end_s")), (F.col("core_start_s"), F.col("core_end_s"))) > 0)
-    segment = F.struct("place", "stem", "start_s", "end_s", "text", "norm")
-    found = heard.join(met, [*key, "place"], "left").groupBy(*key).agg(F.max("likeness").alias("_likeness"), F.array_sort(F.collect_list(F.when(fresh, segment))).alias("_fresh"))
-    d = windows.join(found.withColumn("_added", _novel(F.col("_fresh"))).drop("_fresh"), key, "left")
-    d = d.withColumns({f"_text{i}": normalize_text(F.array_join(F.get("stems", F.lit(i))["text"], "")) for i in (0, 1)})
-    d = d.withColumn("reason", _reason(F.col("_likeness").isNotNull(), F.col("_likeness"), F.col("_added")))
-    d = d.withColumn("added", F.when(F.col("reason") == "novel-transcript", F.col("_added")).otherwise(F.slice("_added", 1, 0)))
-    return d.drop("_likeness", "_added", "_text0", "_text1")
+    near = range_join(windows.select(*key, "start_s", "end_s"), b)
+    near = near.groupBy(*key).agg(F.collect_list(F.struct(*(F.col(f"r_{c}").alias(c) for c in ("start_s", "end_s", "norm")))).alias("_near"))
+    numbered = F.transform("stems", lambda x, i: F.transform(x, lambda s: F.struct(i.alias("stem"), s["start_s"].alias("start_s"), s["end_s"].alias("end_s"), F.coalesce(s["text"], F.lit("")).alias("text"))))
+    # the texts of all segments, and after them those of the two stems as a whole
+    whole = F.array(*(F.coalesce(F.array_join(F.get("stems", F.lit(i))["text"], ""), F.lit("")) for i in (0, 1)))
+    d = windows.withColumn("_segments", F.flatten(numbered))
+    d = d.withColumn("_norms", normalize_texts(F.concat(F.coalesce(F.col("_segments")["text"], F.array().cast("array<string>")), whole)))
+    d = d.withColumns({f"_text{i}": F.element_at("_norms", i - 2) for i in (0, 1)})
+    d = d.withColumn("_heard", F.transform("_segments", lambda s, i: F.struct(i.alias("place"), *(s[c].alias(c) for c in ("stem", "start_s", "end_s", "text")), F.get("_norms", i).alias("norm"))))
+    d = d.drop("_segments", "_norms").join(near, key, "left").withColumn("_failed", _failed())
+    in_core = lambda s: (F.length(s["norm"]) >= LEAST_CHARS) & (_shared((s["start_s"], s["end_s"]), (F.col("core_start_s"), F.col("core_end_s"))) > 0)
+    fresh = F.filter("_heard", lambda s: F.when(in_core(s), ~_known(s)).otherwise(False))
+    d = d.withColumn("_fresh", F.when(F.size("_heard") > 0, F.when(F.col("_failed").isNull(), fresh).otherwise(F.slice("_heard", 1, 0))))
+    d = d.withColumn("added", _novel(F.col("_fresh")))
+    new = F.when(F.size("added") > 0, "novel-transcript").otherwise("no-novel-transcript")
+    return d.withColumn("reason", F.coalesce("_failed", new)).drop("_text0", "_text1", "_heard", "_near", "_fresh", "_failed")
 
 
 def separated(base: DataFrame, windows: DataFrame) -> DataFrame:
@@ -88,18 +111,21 @@ def separated(base: DataFrame, windows: DataFrame) -> DataFrame:
     earlier addition has. An addition says which window and stem it is from and, where windows have the arrays speaker_hints and confidences
     (one value a stem), whose voice it may be and how sure that is. Other columns as in ``gate``.
     """
-    judged = gate(base, windows)
+    judged = written(gate(base, windows), "gate")
     of_stem = lambda c, kind: F.get(F.col(c), F.col("s.stem")) if c in windows.columns else F.lit(None).cast(kind)
     said_by = [of_stem("speaker_hints", "int").alias("speaker_hint"), of_stem("confidences", "double").alias("confidence")]
-    new = judged.select("*", F.explode("added").alias("s")).select("recording_id", "window", "s.*", *said_by)
+    new = judged.select("*", F.explode("added").alias("s")).select("recording_id", "window", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"), "s.*", *said_by)
     key = ["recording_id", "window", "place"]
     b = base.select("recording_id", "start_s", "end_s", normalize_text(F.col("text")).alias("norm"))
-    met = range_join(new, b)
-    said = met.where(_shared((F.col("start_s"), F.col("end_s")), (F.col("r_start_s"), F.col("r_end_s"))) > SHARED_S).where(anchor_similarity(F.col("norm"), F.col("r_norm")) >= ALIKE)
-    new = new.join(said.select(*key).distinct(), key, "left_anti")
+    # the gate has compared additions with what lies in their window; what is left is base segments outside of it
+    outside = ~F.coalesce((F.col("_to") > F.col("_from")) & (F.col("r_end_s") > F.col("_from")) & (F.col("r_start_s") < F.col("_to")), F.lit(False))
+    met = range_join(new, b).where(outside).where(_shared((F.col("start_s"), F.col("end_s")), (F.col("r_start_s"), F.col("r_end_s"))) > SHARED_S)
+    said = met.where(_either(contained(F.col("norm"), F.col("r_norm"), ALIKE), within_edits(F.col("norm"), F.col("r_norm"), ALIKE)))
+    new = new.join(said.select(*key).distinct(), key, "left_anti").drop("_from", "_to")
     # the same speech overlaps, so only additions of one island of time can be each other's
     rows = F.array_sort(F.collect_list(F.struct("window", "place", "stem", "start_s", "end_s", "text", "norm", "speaker_hint", "confidence")))
     kept = islands(new, 0.0).groupBy("recording_id", "island").agg(rows.alias("rows")).select("recording_id", F.explode(_novel(F.col("rows"))).alias("s"))
+    kept = written(kept, "kept")  # sorting looks at its rows twice
     row = lambda d, window, reason, s, separated: d.select(
         "recording_id", window.cast("int").alias("window"), reason.cast("string").alias("reason"), *((F.col(s + c) if s is not None else F.lit(None)).cast(t).alias(c) for c, t in (("start_s", "double"), ("end_s", "double"), ("text", "string"))),
         F.lit(separated).cast("boolean").alias("separated"), *((F.col("s." + c) if separated else F.lit(None).cast(t)).alias(n) for c, n, t in told),

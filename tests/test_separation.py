@@ -1,7 +1,11 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from speechlake.functions.alignment import edit_distance
-from speechlake.operators.gate import separated
+from speechlake.functions.scalars import anchor_similarity, contained, text_similarity, within_edits
+from speechlake.operators.gate import gate, separated
 
 SEG = "struct<start_s:double,end_s:double,text:string>"
 
@@ -95,3 +99,25 @@ def test_additions_say_where_they_are_from(spark):
     kind = f"recording_id long, window int, start_s double, end_s double, core_start_s double, core_end_s double, shares array<double>, corr double, emb_dist double, stems array<array<{SEG}>>, speaker_hints array<string>, confidences array<double>"
     out = separated(base, spark.createDataFrame(rows, kind)).collect()
     assert [(r.text, r.from_window, r.stem, r.speaker_hint, r.confidence) for r in out if r.window is None] == [("good morning everyone", None, None, None, None), ("not so fast", 7, 1, "bob", 0.4)]
+
+
+def test_texts_are_compared_only_where_no_earlier_rule_decides(spark):
+    r = random.Random(5)
+    long = ["".join(r.choices("abcdefgh", k=60_000)) for _ in range(3)]
+    base = spark.createDataFrame([("r", 0.0, 4.0, long[0])], "recording_id string, start_s double, end_s double, text string")
+    rows = [("r", i, 0.0, 4.0, 0.5, 3.0, shares, 0.1, dist, [[(0.0, 3.0, long[1])], [(0.5, 3.0, other)]]) for i, (shares, dist, other) in enumerate([(None, 0.5, long[2]), ([0.5, 0.001], 0.5, long[2]), ([0.5, 0.5], 0.01, long[1])])]
+    windows = spark.createDataFrame(rows, f"recording_id string, window int, start_s double, end_s double, core_start_s double, core_end_s double, shares array<double>, corr double, emb_dist double, stems array<array<{SEG}>>")
+    began = time.time()
+    assert [(x.window, x.reason, x.added) for x in gate(base, windows).orderBy("window").collect()] == [(0, "missing-metrics", []), (1, "silent-stem", []), (2, "duplicate-stem-transcript", [])]
+    assert time.time() - began < 15  # a pair of these texts alone takes several seconds to align
+
+
+def test_deciding_a_similarity_equals_comparing_it(spark):
+    r = random.Random(8)
+    text = lambda: "".join(r.choices("abé", k=r.choice([0, 1, 2, 3, 4, 5, 8, 20])))
+    pairs = [(text(), text()) for _ in range(3000)]
+    pairs += [(a, a[: r.randrange(len(a) + 1)] + r.choice(["", "a", "xyz"])) for a, _ in pairs]
+    d, a, b = spark.createDataFrame(pairs, "a string, b string"), F.col("a"), F.col("b")
+    for least in (0.45, 0.68, 0.88, 0.5, 1.0):
+        found = d.select((contained(a, b, least) | within_edits(a, b, least)).alias("x"), (anchor_similarity(a, b) >= least).alias("y"), (contained(a, b, least, False) | within_edits(a, b, least)).alias("z"), (text_similarity(a, b) >= least).alias("w"))
+        assert found.where("not (x <=> y) or not (z <=> w)").count() == 0 and 0 < found.where("x").count() < len(pairs)
