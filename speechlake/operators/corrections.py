@@ -6,11 +6,15 @@ fold per recording over blocks in order, as a block sees what earlier ones have
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sorted_rows import arrow, arrow_schema, by_key, groups
 from .settings import finite, valid_time
 from .transcript import interpolate
 
@@ -96,6 +100,42 @@ def taken(start: np.ndarray, end: np.ndarray, row_start: np.ndarray, row_end: np
     return gone
 
 
+ROW = ["row", "start_s", "end_s", "text", "id", "ord", "operation", "s0", "s1", "block_start", "block_end", "whole", "v0", "v1"]
+
+
+def _applied(g: dict[str, list[Any]]) -> Iterator[tuple[Any, ...]]:
+    """What a recording's segments (rows before those of blocks, in order) become, block after block."""
+    many = sum(not x for x in g["row"])
+    numbers = lambda values: np.array([np.nan if x is None else x for x in values], float)
+    start, end, text = numbers(g["start_s"][:many]), numbers(g["end_s"][:many]), np.array(g["text"][:many], object)
+    block, order = np.full(many, -1), np.full(many, -1.0)  # which block a segment is from, and its row's number there
+    blocks: dict[Any, list[int]] = {}
+    for i in range(many, len(g["row"])):
+        if g["id"][i] is not None:
+            blocks.setdefault(g["id"][i], []).append(i)
+    bound = lambda k, c: (g[c][blocks[k][0]] != g[c][blocks[k][0]], np.nan_to_num(g[c][blocks[k][0]]))
+    ids = sorted(blocks, key=lambda k: (bound(k, "block_start"), bound(k, "block_end"), k))
+    for n, name in enumerate(ids):
+        rows = sorted(blocks[name], key=lambda i: (g["ord"][i] is None, g["ord"][i] or 0))
+        of = {c: numbers(g[c][i] for i in rows) for c in ("start_s", "end_s", "s0", "s1", "v0", "v1", "ord")}
+        if g["whole"][rows[0]]:
+            first = np.where(np.isnan(start), 0.0, start)
+            until = np.maximum(first + 0.001, np.where(np.isfinite(end), end, first + 0.001))
+            gone = (until > g["block_start"][rows[0]]) & (first < g["block_end"][rows[0]])
+        else:
+            said = np.array([g["operation"][i] != "insert" for i in rows], bool) & (of["s1"] > of["s0"])
+            gone = taken(start, end, of["s0"][said], of["s1"][said])
+        new = (of["end_s"] > of["v0"]) & (of["start_s"] < of["v1"])
+        put = lambda old, more: np.concatenate([old[~gone], more[new]])  # noqa: E731, B023
+        start, end, text = put(start, of["start_s"]), put(end, of["end_s"]), put(text, np.array([g["text"][i] for i in rows], object))
+        block, order = put(block, np.full(len(rows), n)), put(order, of["ord"])
+    at = np.round(np.where(np.isnan(start), 0.0, start), 9)
+    known = lambda x: None if x != x else float(x)
+    for n, i in enumerate(np.lexsort((order, block, block < 0, at)).tolist()):
+        put_in = bool(block[i] >= 0)
+        yield g["of"][0], n, known(start[i]), known(end[i]), text[i], put_in, ids[block[i]] if put_in else None, int(order[i]) if put_in and order[i] == order[i] else None
+
+
 APPLIED = "start_s double, end_s double, text string, locked boolean, correction_id string, correction_ord int"
 
 
@@ -111,32 +151,21 @@ def apply_corrections(segs: DataFrame, rows: DataFrame, visible: tuple[Column, C
         F.col("recording_id").alias("of"), "id", F.col("ord").cast("int").alias("ord"), "start_s", "end_s", "text", "operation", F.coalesce("source_start", "start_s").alias("s0"), F.coalesce("source_end", "end_s").alias("s1"),
         "block_start", "block_end", F.coalesce("replace_all", F.lit(False)).alias("whole"), low.cast("double").alias("v0"), high.cast("double").alias("v1"),
     ).where("block_end > v0 AND block_start < v1")
-    kept = segs.where(~F.coalesce("locked", F.lit(False))).select("recording_id", "start_s", "end_s", F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["start_s", "end_s", "text", "locked", "correction_id", "correction_ord", "block"]
-        now = left.sort_values(["start_s", "end_s", "text"])[["start_s", "end_s", "text"]].assign(locked=False, correction_id=None, correction_ord=-1, block=-1)
-        order = right.groupby("id").agg(a=("block_start", "first"), b=("block_end", "first")).reset_index().sort_values(["a", "b", "id"])
-        for number, name in enumerate(order["id"]):
-            block = right[right["id"] == name].sort_values("ord")
-            start, end = now["start_s"].fillna(0.0).to_numpy(float), now["end_s"].to_numpy(float)
-            if block["whole"].iloc[0]:
-                until = np.maximum(start + 0.001, np.where(np.isfinite(end), end, start + 0.001))
-                gone = (until > block["block_start"].iloc[0]) & (start < block["block_end"].iloc[0])
-            else:
-                said = block[(block["operation"] != "insert") & (block["s1"] > block["s0"])]
-                gone = taken(now["start_s"].to_numpy(float), end, said["s0"].to_numpy(float), said["s1"].to_numpy(float))
-            new = block[(block["end_s"] > block["v0"]) & (block["start_s"] < block["v1"])]
-            new = new[["start_s", "end_s", "text", "ord"]].rename(columns={"ord": "correction_ord"}).assign(locked=True, correction_id=name, block=number)
-            now = pd.concat([now[~gone], new[names]]) if len(new) else now[~gone]
-        now = now.assign(at=now["start_s"].fillna(0.0).round(9), free=~now["locked"].astype(bool)).sort_values(["at", "free", "block", "correction_ord"], kind="stable")
-        rec = left["recording_id"].iloc[0] if len(left) else right["of"].iloc[0]
-        out = now[names[:-1]].assign(recording_id=rec, n=np.arange(len(now), dtype=np.int64))
-        out["correction_ord"] = out["correction_ord"].where(out["locked"].astype(bool)).astype("Int32")
-        return out[["recording_id", "n", *names[:-1]]]
-
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    kept = segs.where(~F.coalesce("locked", F.lit(False))).select(F.col("recording_id").alias("of"), number("start_s"), number("end_s"), F.coalesce("text", F.lit("")).alias("text"))
+    both = kept.withColumn("row", F.lit(False)).unionByName(r.withColumns({"row": F.lit(True), "start_s": number("start_s"), "end_s": number("end_s")}), allowMissingColumns=True)
     kind = segs.schema["recording_id"].dataType.simpleString()
-    return kept.groupBy("recording_id").cogroup(r.groupBy("of")).applyInPandas(run, f"recording_id {kind}, n long, {APPLIED}")
+    schema = arrow_schema(f"recording_id {kind}, n long, {APPLIED}")
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, ...]]:
+        for columns in groups(batches):
+            yield from _applied(dict(zip(["of", *ROW], columns, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return arrow(rows_of(batches), schema)
+
+    last = [F.col(c).asc_nulls_last() for c in ("start_s", "end_s", "text")]
+    return by_key(both.select("of", *ROW), "of", "row", *last).mapInArrow(run, f"recording_id {kind}, n long, {APPLIED}")
 
 
 def rebuild(applied: DataFrame) -> DataFrame:
