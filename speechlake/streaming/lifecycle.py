@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import slow_threshold
+from ..functions.sorted_rows import arrow, arrow_schema, by_key, stretches
 from .segmenter import Segmenter
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,15 +35,21 @@ def _plain(values: Any) -> tuple[Any, ...]:
 
 
 def _by_key(rows: DataFrame, key: str, columns: list[str], out: str, fold: Callable[[], Any]) -> DataFrame:
-    """The batch form: a rule over all rows of a key, in order of ``seq``."""
-    names = [c.split()[0] for c in out.split(", ")]
+    """The batch form: a rule over all rows of a key, in order of ``seq``. Rows pass one after the other, so a task holds a batch and the rule's state."""
+    schema = arrow_schema(out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, ...]]:
         rule = fold()
-        done = [x for r in pdf.sort_values("seq", kind="stable")[columns].itertuples(index=False) for x in rule.feed(*_plain(r))]
-        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in done], columns=names)
+        for new, (keys, *values) in stretches(batches):
+            rule = fold() if new else rule
+            for r in zip(*values, strict=True):
+                for x in rule.feed(*_plain(r)):
+                    yield (keys[0], *x)
 
-    return rows.groupBy(key).applyInPandas(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return arrow(fed(batches), schema)
+
+    return by_key(rows.select(key, *columns), key, F.col("seq").asc_nulls_last()).mapInArrow(run, out)
 
 
 class _Keyed(StatefulProcessor):

@@ -1,5 +1,6 @@
 """Sessions, ordered results and progress: rules by hand, and streams against batches."""
 
+import os
 import random
 import time
 
@@ -138,3 +139,23 @@ def test_cache_keys_change_with_what_counts(spark):
     d = spark.createDataFrame(rows, "path string, size long, mtime double, a double, b double, n int, models array<struct<path:string,size:long,mtime:long>>")
     keys = [x[0] for x in d.select(L.cache_key(*(F.col(c) for c in ("path", "size", "mtime", "a", "b", "n", "models")))).collect()]
     assert keys[0] == keys[1] and len(set(keys)) == 8
+
+
+def test_a_fold_holds_no_table_of_its_rows(spark):
+    class Held:
+        """A rule that says by how many MB its process has grown since the first row."""
+
+        first = None
+
+        def feed(self, seq, entry):
+            now = 0
+            if seq % 10_000 == 0:
+                now = int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+                self.first = now if self.first is None else self.first
+                now -= self.first
+            return [(seq, entry, now)]
+
+    log = spark.range(600_000).select(F.lit(1).cast("long").alias("cache"), F.col("id").alias("seq"), F.concat(F.lit("entry-"), F.col("id").cast("string")).alias("entry"))
+    d = L._by_key(log, "cache", ["seq", "entry"], "cache long, seq long, entry string, mb long", Held)
+    r = d.agg(F.count("*").alias("n"), F.max("mb").alias("mb"), F.sum("seq").alias("s")).first()
+    assert (r.n, r.s) == (600_000, 600_000 * 599_999 // 2) and r.mb < 60
