@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, l2_normalize, round6
+from ..functions.scalars import dot, l2_normalize, let, round6
+from ..sources.shared import written
 
 
 def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
@@ -66,21 +67,32 @@ def stem_pairs(pairs: DataFrame, cents: DataFrame, key: str, limit: float = 0.75
     A pair needs all speakers of one conversation side by side, so these are one array, and more than MOST of them an error. ``by`` names the
     conversation in both tables; without it all rows are of one.
     """
-    groups = cents.withColumn("_j", F.lit(1) if by is None else F.col(by)).groupBy("_j")
+    cents = written(cents.select(F.col(key).alias("k"), F.col("centroid").alias("c"), (F.lit(1) if by is None else F.col(by)).alias("_j")), "centroids")  # counted, then used
+    groups = cents.groupBy("_j")
     if (groups.count().agg(F.max("count")).first()[0] or 0) > MOST:
         raise ValueError(f"more than {MOST} speakers in one conversation; name the conversations with by")
-    table = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cs"))
+    table = groups.agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("cs"))
     table = F.broadcast(table) if by is None else table  # one row, or one for each conversation
     p = pairs.withColumn("_j", F.lit(1) if by is None else F.col(by)).join(table, "_j").drop("_j")
-    far = lambda e: F.transform("cs", lambda x: F.struct(x["k"].alias("k"), F.round(1 - dot(l2_normalize(F.col(e)), x["c"]), 9).alias("d")))
-    p = p.withColumns({"d0": far("e0"), "d1": far("e1")})
-    both = F.flatten(F.transform("d0", lambda a: F.transform(F.filter("d1", lambda b: b["k"] != a["k"]), lambda b: F.struct(
-        F.round(a["d"] + b["d"], 9).alias("s"), a["k"].alias("k0"), b["k"].alias("k1"), a["d"].alias("d0"), b["d"].alias("d1")))))
-    p = p.withColumn("_p", F.slice(F.sort_array(both), 1, 2)).where(F.size("_p") > 0)
-    b = F.get("_p", F.lit(0))
-    margin = F.coalesce(F.try_element_at("_p", F.lit(2))["s"] - b["s"], F.lit(0.0))
-    sure = lambda d: round6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)) * F.least(F.lit(1.0), 0.5 + margin * 4))
-    return p.where((b["d0"] <= limit) & (b["d1"] <= limit)).select("id", b["k0"].alias("speaker0"), b["k1"].alias("speaker1"), sure(b["d0"]).alias("confidence0"), sure(b["d1"]).alias("confidence1"))
+
+    # The two best pairs are among the three nearest speakers of each stem: whoever is farther has two nearer ones other than the pair's second
+    # speaker. What is used more than once is bound by let, so each distance is computed once for a row.
+    def near(e: str) -> Column:
+        far = lambda v: F.transform("cs", lambda x: F.struct(F.round(1 - dot(v, x["c"]), 9).alias("d"), x["k"].alias("k")))
+        return let(l2_normalize(F.col(e)), lambda v: F.slice(F.sort_array(far(v)), 1, 3))
+
+    pair = lambda a, b: F.struct(F.round(a["d"] + b["d"], 9).alias("s"), a["k"].alias("k0"), b["k"].alias("k1"), a["d"].alias("d0"), b["d"].alias("d1"))
+    both = lambda t0, t1: F.flatten(F.transform(t0, lambda a: F.transform(F.filter(t1, lambda b: b["k"] != a["k"]), lambda b: pair(a, b))))
+    best = let(near("e0"), lambda t0: let(near("e1"), lambda t1: F.slice(F.sort_array(both(t0, t1)), 1, 2)))
+
+    def told(two: Column) -> Column:
+        b = F.get(two, F.lit(0))
+        margin = F.coalesce(F.try_element_at(two, F.lit(2))["s"] - b["s"], F.lit(0.0))
+        sure = lambda d: round6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - d)) * F.least(F.lit(1.0), 0.5 + margin * 4))
+        row = F.struct(b["k0"].alias("speaker0"), b["k1"].alias("speaker1"), sure(b["d0"]).alias("confidence0"), sure(b["d1"]).alias("confidence1"))
+        return F.when((b["d0"] <= limit) & (b["d1"] <= limit), F.array(row))
+
+    return p.select("id", F.explode(let(best, told)).alias("r")).select("id", "r.*")  # a filter would have all of it computed twice
 
 
 BLOCK = 1 << 22  # distances held at once

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import permutations
 
 import numpy as np
@@ -236,3 +237,19 @@ def test_stem_pairs_of_each_conversation_alone(spark):
     cents = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 1.0]), ("y", 7, [1.0, 0.0]), ("y", 8, [0.0, 1.0]), ("z", 9, [1.0, 0.0])], "talk string, label int, centroid array<double>")
     pairs = spark.createDataFrame([(t, i, [1.0, 0.1], [0.1, 1.0]) for i, t in enumerate("xyz")], "talk string, id long, e0 array<double>, e1 array<double>")
     assert sorted((r.id, r.speaker0, r.speaker1) for r in V.stem_pairs(pairs, cents, "label", by="talk").collect()) == [(0, 1, 2), (1, 7, 8)]
+
+
+def test_stem_pairs_equal_all_pairs_and_compute_a_distance_once(spark):
+    g = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v)
+    cents = {k: unit(g.integers(-1, 2, 3) + np.array([0.0, 0.0, 2.0])) for k in range(9)}  # of few values, so many are equally far
+    stems = [(i, g.integers(-2, 3, 3) + np.array([0.0, 0.0, 3.0]), g.integers(-2, 3, 3) + np.array([0.0, 0.0, 3.0])) for i in range(80)]
+    c = spark.createDataFrame([(k, v.tolist()) for k, v in cents.items()], "label int, centroid array<double>")
+    got = {r.id: (r.speaker0, r.speaker1) for r in V.stem_pairs(spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, a, b in stems], "id long, e0 array<double>, e1 array<double>"), c, "label", 2.0).collect()}
+    far = lambda e, k: round(1 - sum(x * y for x, y in zip(unit(e), cents[k], strict=True)), 9)
+    assert got == {i: min((round(far(a, j) + far(b, k), 9), j, k) for j in cents for k in cents if j != k)[1:] for i, a, b in stems}
+    many = spark.createDataFrame([(k, unit(g.normal(size=64)).tolist()) for k in range(100)], "label int, centroid array<double>")
+    pairs = spark.createDataFrame([(i, g.normal(size=64).tolist(), g.normal(size=64).tolist()) for i in range(1000)], "id long, e0 array<double>, e1 array<double>")
+    began = time.time()
+    assert V.stem_pairs(pairs, many, "label", 2.0).count() == 1000 and V.stem_pairs(pairs, many, "label", 2.0).agg(F.sum("confidence0")).first()[0] > 0
+    assert time.time() - began < 15  # each distance again for each pair of speakers: minutes
