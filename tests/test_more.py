@@ -252,4 +252,4 @@ def test_stem_pairs_equal_all_pairs_and_compute_a_distance_once(spark):
     pairs = spark.createDataFrame([(i, g.normal(size=64).tolist(), g.normal(size=64).tolist()) for i in range(1000)], "id long, e0 array<double>, e1 array<double>")
     began = time.time()
     assert V.stem_pairs(pairs, many, "label", 2.0).count() == 1000 and V.stem_pairs(pairs, many, "label", 2.0).agg(F.sum("confidence0")).first()[0] > 0
-    assert time.time() - began < 15  # each distance again for each pair of speakers: minutes
+    assert time.time() - began < 15  # each distance is to be computed once, not for each pair of speakers
